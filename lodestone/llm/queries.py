@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, licenses, sharding, urlfilter
+from lodestone.llm import bpe, capfilter, licenses, secrets, sharding, simhash, urlfilter
 from lodestone.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,27 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", of_kind(0).alias("n_assign"), of_kind(1).alias("n_access"), of_kind(2).alias("n_hex"),
+        F.sha2(secrets.named(F.col("base_spans")), 256).alias("base_sha256"),
+        secrets.named(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     placed = sharding.interleave(documents, 24, extra=sharding.size_and_checksum())
@@ -46,6 +67,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_license_scan": op3_license_scan,
+    "op4_cap_filters": op4_cap_filters,
+    "op5_simhash": op5_simhash,
+    "op7_secret_scan": op7_secret_scan,
     "op8_stratified_shards": op8_stratified_shards,
     "op9_url_filter": op9_url_filter,
 }
