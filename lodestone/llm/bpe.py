@@ -33,13 +33,23 @@ from lodestone.llm.common import map_batches
 NONE = -1
 
 
-class Codec:
-    """Encoder and decoder for one rank file; pieces up to `memo_bytes` are remembered, at most `memo_size` of them."""
+class Vocabulary:
+    """The tokens of a rank file; enough to decode."""
 
-    def __init__(self, rank_file: bytes, pattern: str, memo_size: int = 1_000_000, memo_bytes: int = 48):
+    def __init__(self, rank_file: bytes):
         lines = (line.split() for line in rank_file.splitlines() if line.strip())
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.tokens = {int(rank): base64.b64decode(token) for token, rank in lines}
+
+    def decode_packed(self, packed: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+
+
+class Codec(Vocabulary):
+    """Encoder for one rank file; pieces up to `memo_bytes` are remembered, at most `memo_size` of them."""
+
+    def __init__(self, rank_file: bytes, pattern: str, memo_size: int = 400_000, memo_bytes: int = 48):
+        super().__init__(rank_file)
+        self.ranks = {token: rank for rank, token in self.tokens.items()}
         self.split_text = regex.compile(pattern).findall
         self.memo_size, self.memo_bytes = memo_size, memo_bytes
         self.memo: dict[str, bytes] = {}
@@ -173,20 +183,17 @@ class Codec:
             out.append(packed)
         return b"".join(out)
 
-    def decode_packed(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
-
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: dict[tuple[int, str | None], Vocabulary] = {}
 _lock = threading.Lock()
 
 
-def _codec(rank_file: bytes, pattern: str) -> Codec:
-    """One codec for each vocabulary in a Python worker."""
+def _codec(rank_file: bytes, pattern: str | None) -> Vocabulary:
+    """One codec for each vocabulary in a Python worker; without a pattern, one that only decodes."""
     key = (hash(rank_file), pattern)
     with _lock:
         if key not in _codecs:
-            _codecs[key] = Codec(rank_file, pattern)
+            _codecs[key] = Vocabulary(rank_file) if pattern is None else Codec(rank_file, pattern)
         return _codecs[key]
 
 
@@ -214,7 +221,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", key:
     return map_batches(df.select(key, text), f"{key} {kind}, ids binary", rows)
 
 
-def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids") -> DataFrame:
+def decode(df: DataFrame, rank_path: str, ids: str = "ids") -> DataFrame:
     """Adds `decoded` binary, the bytes that the packed `ids` stand for."""
     ranks = _shared_ranks(df, rank_path)
     kept = [c for c in df.columns if c != "decoded"]
@@ -222,7 +229,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids") -> Dat
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", decoded binary"
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
-        codec = _codec(ranks.value, pattern)
+        codec = _codec(ranks.value, None)
         decoded = pa.array([codec.decode_packed(p or b"") for p in batch.column(place).to_pylist()], type=pa.binary())
         return {c: batch.column(i) for i, c in enumerate(kept)} | {"decoded": decoded}
 
