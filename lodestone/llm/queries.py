@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, capfilter, decontaminate, licenses, secrets, sharding, simhash, urlfilter
-from lodestone.llm.common import table
+from lodestone.llm import bpe, capfilter, decontaminate, langid, licenses, secrets, sharding, simhash, urlfilter
+from lodestone.llm.common import remainder, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -68,6 +68,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents, remainder(F.col("doc_id"), 4) != 2)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return langid.predict(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_stratified_shards": op8_stratified_shards,
     "op9_url_filter": op9_url_filter,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
