@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestone.cluster import ship
 from lodestone.llm.common import cut
 
 
@@ -52,6 +53,8 @@ def map_groups(
     `work(table, starts)` gets rows sorted by key and the index at which each group
     starts. Rows stream through; only the group that a batch ends in waits for the next.
     """
+    ship(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         held = 0

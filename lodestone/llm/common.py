@@ -9,6 +9,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from lodestone.cluster import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +71,9 @@ def map_batches(
 
     `row_batch` gets a slice and returns the columns of its result, in schema order.
     """
-    target = df.sparkSession.createDataFrame([], schema).schema
+    ship(df.sparkSession)
+    target = StructType.fromDDL(schema)
     names = target.names
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.cluster import ship
 from lodestone.llm.common import map_batches
 
 K1, B = 1.2, 0.75
@@ -253,6 +254,7 @@ def decontaminate(
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """The rows of `documents` that match no item, all columns as they are; nothing is shuffled."""
+    ship(documents.sparkSession)
     place = documents.columns.index(text)
     for index in _blocks(items, item_key, item_text, block_bytes):
         shared = documents.sparkSession.sparkContext.broadcast(index)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, capfilter, decontaminate, langid, licenses, secrets, sharding, simhash, urlfilter
+from lodestone.llm import bpe, capfilter, decontaminate, langid, licenses, secrets, sharding, simhash, toxicity, urlfilter
 from lodestone.llm.common import remainder, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    classifier = toxicity.fit(documents, labels, remainder(F.col("doc_id"), 5) != 0)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return toxicity.score(documents, classifier).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of_kind = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
@@ -81,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_cap_filters": op4_cap_filters,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_stratified_shards": op8_stratified_shards,
     "op9_url_filter": op9_url_filter,
