@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -64,15 +65,15 @@ def fingerprints_of(texts: list[str | None], shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(key, fingerprint long): the 64 bits of each text, as a signed number."""
+def fingerprint(df: DataFrame, keys: list[str], text: str = "text", shingle: int = 5) -> DataFrame:
+    """(keys, fingerprint long): the 64 bits of each text, as a signed number."""
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
-        bits = fingerprints_of(batch.column(1).to_pylist(), shingle)
-        return {key: batch.column(0), "fingerprint": pa.array(bits.view(np.int64))}
+        bits = fingerprints_of(batch.column(len(keys)).to_pylist(), shingle)
+        return {k: batch.column(i) for i, k in enumerate(keys)} | {"fingerprint": pa.array(bits.view(np.int64))}
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_batches(df.select(key, text), f"{key} {kind}, fingerprint bigint", rows)
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", fingerprint bigint"
+    return map_batches(df.select(*keys, text), schema, rows)
 
 
 def segments_for(n: int, bits: int = 64) -> int:
@@ -162,15 +163,42 @@ def links(prints: DataFrame, radius: int, segments: int | None = None, bucket_li
     return map_groups(rows, ["bucket", "part_a", "part_b"], schema, lambda t, starts: _pairs_in(t, starts, radius))
 
 
+def _components(prints: DataFrame, key: str, radius: int, segments: int | None) -> DataFrame:
+    """(fingerprint, component): the smallest fingerprint that each is connected with."""
+    nodes = cut(prints.groupBy("fingerprint").agg(F.min(key).alias("least")))
+    found = connected_components(links(nodes, radius, segments)).withColumnRenamed("node", "fingerprint")
+    joined = nodes.join(found, "fingerprint", "left")
+    return cut(joined.withColumn("component", F.coalesce("component", "fingerprint")))
+
+
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 4, segments: int | None = None
 ) -> DataFrame:
     """(key, fingerprint long, component_id): the smallest id in each row's component of near-duplicates."""
-    prints = cut(fingerprint(df, key, text, shingle))
-    nodes = cut(prints.groupBy("fingerprint").agg(F.min(key).alias("least")))
-    found = connected_components(links(nodes, radius, segments)).withColumnRenamed("node", "fingerprint")
-    joined = nodes.join(found, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    joined = cut(joined)
-    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(joined.join(names, "component").select("fingerprint", "component_id"))
+    prints = cut(fingerprint(df, [key], text, shingle))
+    parts = _components(prints, key, radius, segments)
+    names = parts.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut(parts.join(names, "component").select("fingerprint", "component_id"))
     return prints.join(named, "fingerprint").select(key, "fingerprint", "component_id")
+
+
+def keep_one(
+    df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 4, segments: int | None = None
+) -> DataFrame:
+    """The row of smallest id of each component of near-duplicates, all columns of `df` as they are.
+
+    Rows are told apart by a hash of id and text; of rows that agree in both one stays.
+    Only the kept rows' hashes are joined with the texts, which is the one time that
+    texts are shuffled.
+    """
+    identity = F.xxhash64(key, text)
+    prints = cut(fingerprint(df.select(key, text, identity.alias("_row")), [key, "_row"], text, shingle))
+    parts = _components(prints, key, radius, segments).select("fingerprint", "component")
+    ordered = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r"))
+    # a first minimum for each fingerprint, so that a group of copies meets as one row
+    least = prints.groupBy("fingerprint").agg(F.min(ordered).alias("m"))
+    chosen = least.join(parts, "fingerprint").groupBy("component").agg(F.min("m").alias("m"))
+    kept = cut(chosen.select(F.col("m.r").alias("_row")))
+    marked = df.withColumn("_row", identity).join(kept, "_row", "left_semi")
+    once = marked.withColumn("_n", F.row_number().over(W.partitionBy("_row").orderBy("_row")))
+    return once.filter("_n = 1").select(*df.columns)
