@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.plans import relational, search
+from lodestone.plans import markup, relational, search
 
-_PARTS = [search, relational]
+_PARTS = [search, relational, markup]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
