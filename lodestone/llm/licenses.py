@@ -15,6 +15,7 @@ included.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -186,18 +187,13 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     for word in KEYWORDS:
         gate = gate | F.col("_words").contains(word)
     kind = "array<struct<first_word:bigint,end_word:bigint,label:string,priority:int,confidence:double>>"
-    table = F.array(
-        *(
-            F.struct(
-                F.array(*(F.lit(k) for k in r.keyword.split("|"))).alias("keywords"),
-                F.lit(whole_words(r.pattern)).alias("pattern"),
-                F.lit(r.label).alias("label"),
-                F.lit(i).alias("priority"),
-                F.lit(r.confidence).alias("confidence"),
-            )
-            for i, r in enumerate(rules)
-        )
-    )
+    # one literal for all rules: thousands of small ones would take longer to plan than to run
+    rows = [
+        {"keywords": r.keyword.split("|"), "pattern": whole_words(r.pattern), "label": r.label, "priority": i, "confidence": r.confidence}
+        for i, r in enumerate(rules)
+    ]
+    shape = "array<struct<keywords:array<string>,pattern:string,label:string,priority:int,confidence:double>>"
+    table = F.from_json(F.lit(json.dumps(rows)), shape)
 
     def places(rule: Column) -> Column:
         """Every match of a rule, its words counted up to it and through it."""
