@@ -90,7 +90,7 @@ class Automaton:
         self.symbol = np.zeros((256, self.words), dtype=np.uint64)
         self.begin, self.anywhere, self.loop = make(), make(), make()
         self.final: list[tuple[int, np.uint64]] = []
-        at = 0
+        at = 0  # the next free bit
         for _, glob in symbols:
             body = glob.lstrip(b"*")
             if not body.replace(b"*", b""):
@@ -108,6 +108,8 @@ class Automaton:
                     self.symbol[c, word] |= bit
                 at += 1
             self.final.append((word, bit))
+        # a rule's last symbol must not lead on to the first of the next rule
+        self.inner = ~(self.begin | self.anywhere)
 
     def match(self, urls: list[bytes]) -> np.ndarray:
         """Boolean [urls, rules]."""
@@ -125,6 +127,7 @@ class Automaton:
             now = state[:active]
             shifted = now << one
             shifted[:, 1:] |= now[:, :-1] >> top
+            shifted &= self.inner
             shifted |= self.anywhere if step else self.anywhere | self.begin
             state[:active] = (shifted & self.symbol[flat[offsets[:active] + step]]) | (now & self.loop)
         fits = np.empty((len(urls), len(self.final)), dtype=bool)
