@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, secrets, simhash, toxicity
+from lodestone.llm import bpe, decontaminate, secrets, simhash_groups, toxicity
 from lodestone.llm.common import remainder, shared_folder, table
 from lodestone.llm.queries import RANKS
 
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays."""
-    return simhash.keep_one(docs, shingle=5, radius=4)
+    """Of each group of documents of similarity 0.8 and more the one of smallest id stays."""
+    return simhash_groups.keep_one(docs, shingle=5, least=0.8)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
