@@ -191,14 +191,15 @@ def keep_one(
     Only the kept rows' hashes are joined with the texts, which is the one time that
     texts are shuffled.
     """
-    identity = F.xxhash64(key, text)
-    prints = cut(fingerprint(df.select(key, text, identity.alias("_row")), [key, "_row"], text, shingle))
+    # the document is one column from here on, so its columns may have any names
+    marked = df.select(F.struct(*df.columns).alias("_doc"), F.xxhash64(key, text).alias("_row"))
+    texts = marked.select(F.col(f"_doc.{key}").alias(key), "_row", F.col(f"_doc.{text}").alias(text))
+    prints = cut(fingerprint(texts, [key, "_row"], text, shingle))
     parts = _components(prints, key, radius, segments).select("fingerprint", "component")
     ordered = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r"))
     # a first minimum for each fingerprint, so that a group of copies meets as one row
     least = prints.groupBy("fingerprint").agg(F.min(ordered).alias("m"))
     chosen = least.join(parts, "fingerprint").groupBy("component").agg(F.min("m").alias("m"))
     kept = cut(chosen.select(F.col("m.r").alias("_row")))
-    marked = df.withColumn("_row", identity).join(kept, "_row", "left_semi")
-    once = marked.withColumn("_n", F.row_number().over(W.partitionBy("_row").orderBy("_row")))
-    return once.filter("_n = 1").select(*df.columns)
+    once = marked.join(kept, "_row", "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("_row").orderBy("_row")))
+    return once.filter("_n = 1").select("_doc.*")

@@ -57,14 +57,14 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(df: DataFrame, text: str, shingle: int) -> DataFrame:
-    """(_row, _key, print binary) of (_row, _key, text)."""
+def _fingerprints(df: DataFrame, shingle: int) -> DataFrame:
+    """(_row, _key, print binary) of (_row, _key, _text)."""
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
         wide = [wide_fingerprint(np.array(hashes(t or "", shingle), dtype="<u8")).tobytes() for t in batch.column(2).to_pylist()]
         return {"_row": batch.column(0), "_key": batch.column(1), "print": pa.array(wide, type=pa.binary())}
 
-    return map_batches(df.select("_row", "_key", text), f"_row bigint, _key {df.schema['_key'].dataType.simpleString()}, print binary", rows)
+    return map_batches(df.select("_row", "_key", "_text"), f"_row bigint, _key {df.schema['_key'].dataType.simpleString()}, print binary", rows)
 
 
 def _segments(nodes: DataFrame) -> DataFrame:
@@ -173,22 +173,24 @@ def _having(df: DataFrame, keys: DataFrame) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "_row", "left_semi")
 
 
-def _shingle_sets(df: DataFrame, text: str, shingle: int) -> DataFrame:
+def _shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
     """(_row, shingles binary): the sorted distinct shingle hashes of each text."""
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
         sets = [np.unique(np.array(hashes(t or "", shingle), dtype="<u8")).tobytes() for t in batch.column(1).to_pylist()]
         return {"_row": batch.column(0), "shingles": pa.array(sets, type=pa.binary())}
 
-    return map_batches(df.select("_row", text), "_row bigint, shingles binary", rows, rows=128)
+    return map_batches(df.select("_row", "_text"), "_row bigint, shingles binary", rows, rows=128)
 
 
 def keep_one(
     df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, bucket_limit: int = 4_000
 ) -> DataFrame:
     """The row of smallest id of each group of similar documents, all columns of `df` as they are."""
-    marked = df.withColumn("_row", F.xxhash64(key, text))
-    prints = cut(_fingerprints(marked.withColumn("_key", F.col(key)), text, shingle).withColumn("node", F.xxhash64("print")))
+    # the document is one column from here on, so its columns may have any names
+    marked = df.select(F.struct(*df.columns).alias("_doc"), F.xxhash64(key, text).alias("_row"))
+    texts = marked.select("_row", F.col(f"_doc.{key}").alias("_key"), F.col(f"_doc.{text}").alias("_text"))
+    prints = cut(_fingerprints(texts, shingle).withColumn("node", F.xxhash64("print")))
     ordered = F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_row").alias("r"))
     nodes = cut(prints.groupBy("node").agg(F.min(ordered).alias("m"), F.min("print").alias("print")))
     schema = StructType.fromDDL("a bigint, b bigint")
@@ -198,7 +200,7 @@ def keep_one(
     loose = cut(connected_components(map_groups(rows, keys, schema, _loose)))
 
     members = cut(loose.join(nodes, "node").select("node", F.col("component").alias("bucket"), F.col("m.r").alias("_row"), F.substring("print", 1, PAYLOAD * 8).alias("head")))
-    sets = cut(_shingle_sets(_having(marked, members.select("_row")), text, shingle).dropDuplicates(["_row"]))
+    sets = cut(_shingle_sets(_having(texts, members.select("_row")), shingle).dropDuplicates(["_row"]))
     groups = split_large(members.join(sets, "_row").drop("_row"), "bucket", "node", bucket_limit)
     strict = map_groups(groups, keys, schema, lambda t, s: _verified(t, s, least), at_once=20_000)
     parts = connected_components(strict)
@@ -212,4 +214,4 @@ def keep_one(
         once = W.partitionBy("_row").orderBy("_row")
         several = kept.join(twice, "_row", "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
         kept = kept.join(twice, "_row", "left_anti").unionByName(several)
-    return kept.select(*df.columns)
+    return kept.select("_doc.*")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestone.llm import capfilter, components, simhash
+from lodestone.llm import capfilter, components, simhash, simhash_groups
 from tests.llm.helpers import awkward, empty, prose, roots
 
 
@@ -110,3 +110,33 @@ def test_recall_of_filters():
     a, b = code.decode(x, 8), code.decode(y, 8)
     shared = (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
     assert shared.all()
+
+
+def test_similar_groups(spark):
+    """Against all pairs: groups of similarity 0.8 and more, a hot group of near copies, repeated rows and ids."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = [prose(rng, rng.randrange(20, 200), words) for _ in range(40)]
+    for t in list(texts):
+        for share in (0.005, 0.02, 0.05):
+            w = t.split()
+            for k in range(len(w)):
+                if rng.random() < share:
+                    w[k] = rng.choice(words)
+            texts.append(" ".join(w))
+    hot = prose(rng, 120, words)
+    texts += [hot.rsplit(" ", k % 8)[0] + f" end{k}" for k in range(150)] + ["", None, "one", texts[0]]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (None, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS _n", "2 AS node")
+    sets = {}
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    links = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = roots(links, sets)
+    for limit in (4_000, 20):
+        kept = simhash_groups.keep_one(df, bucket_limit=limit)
+        assert kept.columns == df.columns
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+    assert sorted(r.doc_id or 0 for r in simhash_groups.keep_one(awkward(spark)).collect()) == [0, 1, 3, 4, 6]
+    assert simhash_groups.keep_one(empty(spark)).count() == 0
