@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -97,4 +98,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _globs_sql() -> str:
+    """The block globs as one DuckDB condition over host, path and rest."""
+    tests = []
+    for spec in urlfilter.BLOCK_GLOBS:
+        part, _, glob = spec.partition(":")
+        pattern = re.escape(glob).replace(r"\*", "(.|\n)*").replace(r"\?", "(.|\n)")
+        pattern = rf"(.*\.)?{pattern}\..*" if part == "host" else pattern
+        tests.append(f"regexp_full_match({part}, '{pattern}')")
+    return " OR ".join(tests)
+
+
+def _rules_sql() -> str:
+    """The longest site rule that fits, as a CASE over host and path."""
+    whens = []
+    for text, _ in sorted(urlfilter.SITE_RULES, key=lambda r: -len(r[0])):
+        host, slash, path = text.partition("/")
+        whens.append(f"WHEN ends_with('.' || host, '.{host}') AND starts_with(path, '{slash + path}') THEN '{text}'")
+    return f"CASE {' '.join(whens)} END"
+
+
+_VERDICTS = " ".join(f"WHEN rule = '{t}' THEN '{v}'" for t, v in urlfilter.SITE_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_cap_filters": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98 AND NOT isnan(list_cosine_similarity(a.e, b.e))),
+r AS (SELECT vec_id AS s, vec_id AS t FROM embeddings UNION SELECT r.s, p.y FROM r JOIN p ON p.x = r.t),
+c AS (SELECT s, min(t) AS m FROM r GROUP BY s), n AS (SELECT x, count(*) AS k FROM p GROUP BY x)
+SELECT vec_id, coalesce(k, 0) AS n_links, m AS component_id, vec_id = m AS kept FROM embeddings JOIN c ON s = vec_id LEFT JOIN n ON x = vec_id""",
+    "op9_url_filter": rf"""WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^.*?://[^?#]*(.*)$', 1) AS rest FROM u),
+j AS (SELECT *, {_rules_sql()} AS rule FROM h)
+SELECT page_id, host, path, rule, CASE {_VERDICTS} WHEN {_globs_sql()} THEN 'block' WHEN host = '' THEN 'block' ELSE 'allow' END AS verdict FROM j""",
+}
