@@ -125,11 +125,19 @@ def fit(
 ) -> Model | None:
     """A model from rows where `usable` holds; the ids and languages are chosen without reading texts."""
     rows = df.filter(usable & F.col(lang).isNotNull()).select(F.col(key).alias("_k"), F.col(lang).alias("_l"))
-    common = [r[0] for r in rows.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(max_languages).collect()]
-    if not common:
+    counts = rows.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(max_languages).collect()
+    if not counts:
         return None
-    first = W.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k")
-    chosen = rows.filter(F.col("_l").isin(common)).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
+    common = [r[0] for r in counts]
+    # a hash low enough for some four times the rows wanted, so that few rows of a frequent language are ranked
+    low = F.shiftrightunsigned(F.xxhash64("_k"), 1)
+    most = F.lit(None).cast("long")
+    for name, count in counts:
+        share = min(1.0, 4 * per_language / count)
+        most = F.when(F.col("_l") == name, min(int(share * (1 << 63)), (1 << 63) - 1)).otherwise(most)
+    first = W.partitionBy("_l").orderBy("_h", "_k")
+    near = rows.withColumn("_h", low).filter(F.col("_h") <= most)
+    chosen = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
     ids = sorted({r._k for r in chosen.select("_k").collect()})  # bounded by per_language * max_languages
     spark = df.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], f"_k {df.schema[key].dataType.simpleString()}"))

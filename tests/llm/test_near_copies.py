@@ -99,15 +99,15 @@ def test_cap_filters(spark, limit):
 
 
 def test_recall_of_filters():
-    """At the threshold itself, where it is lowest: of 2,000 pairs none may share no filter."""
+    """At the threshold itself, where it is lowest: of 5,000 pairs none may share no filter."""
     rng = np.random.default_rng(9)
-    x = rng.standard_normal((2000, 64))
+    x = rng.standard_normal((5000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = rng.standard_normal((2000, 64))
+    z = rng.standard_normal((5000, 64))
     z -= (z * x).sum(axis=1, keepdims=True) * x
     y = 0.98 * x + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
     code = capfilter.ProductCode(64, 4, 16, 4)
-    a, b = code.decode(x, 8), code.decode(y, 8)
+    a, b = code.decode(x, 6), code.decode(y, 6)
     shared = (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
     assert shared.all()
 
