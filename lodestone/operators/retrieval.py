@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import tokens as T
-from lodestone.functions.text import ascii_lower, like_prefix
+from lodestone.functions.text import LOWER, UPPER, like_prefix
 
 K1, B = 1.2, 0.75
+_ASCII = str.maketrans(UPPER, LOWER)
 
 
 def postings(df: DataFrame, key: str, text: Column, stemmed: bool = False) -> DataFrame:
@@ -155,3 +158,36 @@ def one_dimension(df: DataFrame, vector: str, dimension: int) -> DataFrame:
     wrong = F.concat(F.lit(f"a vector has not {dimension} components but "), F.size(vector).cast("string"))
     checked = F.when(F.size(vector) == dimension, F.col(vector)).otherwise(F.raise_error(wrong))
     return df.withColumn(vector, checked)
+
+
+def phrases(query: str) -> list[list[str]]:
+    """Each word of a query as its tokens; a punctuated word is a phrase, a word without tokens is left out."""
+    found = [re.findall("[a-z0-9\x80-\U0010ffff]+", w.replace('"', "").translate(_ASCII)) for w in query.split()]
+    return [p for p in found if p]
+
+
+def sparse_search(df: DataFrame, key: str, text: Column, query: str) -> DataFrame:
+    """(key, score): documents that hold every word of a free query, by BM25 over its phrases; a word given twice counts twice.
+
+    A query without tokens finds nothing.
+    """
+    wanted = phrases(query)
+    if not wanted:
+        return df.select(key, F.lit(0.0).alias("score")).limit(0)
+    words = T.words(text)
+    # every token between spaces of its own, so that neighbouring matches do not share one
+    spaced = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+    one = df.select(F.col(key), F.size(words).alias("_length"), spaced.alias("_s"))
+    distinct = list(dict.fromkeys(map(tuple, wanted)))
+    times = [F.regexp_count("_s", F.lit(re.escape(" " + "  ".join(p) + " "))) for p in distinct]
+    counted = one.select(key, "_length", *(t.alias(f"_tf{i}") for i, t in enumerate(times)))
+    stats = counted.agg(
+        F.count("*").alias("_n"), F.avg("_length").alias("_mean"),
+        *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(distinct))),
+    )
+    match, score = F.lit(True), F.lit(0.0)
+    for i, p in enumerate(distinct):
+        match = match & (F.col(f"_tf{i}") > 0)
+        weight = idf(F.col("_n"), F.col(f"_df{i}")) * sum(tuple(w) == p for w in wanted)
+        score = score + bm25_term(weight, F.col(f"_tf{i}"), F.col("_length"), F.col("_mean"))
+    return counted.filter(match).join(F.broadcast(stats)).select(key, score.alias("score"))

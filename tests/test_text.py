@@ -119,3 +119,21 @@ def test_tables_and_infoboxes(spark):
 def test_chunks_of_nothing(spark, text):
     df = spark.createDataFrame([(1, "t", text)], "k int, title string, t string")
     assert C.article_chunks(df, "k", "title", "t").count() == 0
+
+
+def test_free_queries_against_sqlite(spark):
+    from lodestone.operators.retrieval import phrases, sparse_search
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["e-mail", "e mail", "mail", "e", "Été", "x.y", "the", "?", "e-mail-e"]) for _ in range(rng.randrange(0, 14))) for _ in range(120)]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(t, tokenize='ascii')")
+    con.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", list(enumerate(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, t string")
+    for query in ("e-mail", "the E-Mail ?", "mail mail", "Été the", 'x"."y e'):
+        match = " AND ".join('"' + w.replace('"', "") + '"' for w in query.split() if phrases(w))
+        wanted = dict(con.execute("SELECT rowid, -bm25(f) FROM f WHERE f MATCH ?", (match,)).fetchall())
+        got = dict(sparse_search(df, "doc_id", F.col("t"), query).collect())
+        assert set(got) == set(wanted), query
+        assert all(abs(got[k] - wanted[k]) < 1e-9 for k in got), query
+    assert sparse_search(df, "doc_id", F.col("t"), '"?" ""').count() == 0
