@@ -215,7 +215,7 @@ def contaminated(
     retrieve: float = 0.6,
     question: float = 0.8,
     answer: float = 0.8,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 2 << 20,
 ) -> DataFrame:
     """(key, item_key, score, first_word, question_overlap, answer_overlap) of each document and item that match."""
     kinds = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
@@ -251,7 +251,7 @@ def decontaminate(
     retrieve: float = 0.6,
     question: float = 0.8,
     answer: float = 0.8,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 2 << 20,
 ) -> DataFrame:
     """The rows of `documents` that match no item, all columns as they are; nothing is shuffled."""
     ship(documents.sparkSession)
