@@ -178,15 +178,17 @@ def fit_classifier(
     return Classifier({f: i for i, f in enumerate(names)}, both[:k], strong, *map(float, both[k:]))
 
 
-def _sample(labels: DataFrame, usable: Column, key: str, label: str, positives: int, negatives: int) -> list[tuple[object, int]]:
-    """At most `positives` + `negatives` training ids with their labels, the smallest by a hash of the id."""
+def _sample(
+    labels: DataFrame, usable: Column, key: str, label: str, positives: int, negatives: int
+) -> tuple[list[tuple[object, int]], dict[int, int]]:
+    """At most `positives` + `negatives` training ids with their labels, the smallest by a hash of the id, and how many there are of each label."""
     one = labels.filter(usable & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     order = [F.xxhash64(key), F.col(key)]
     out = []
     for value, most in ((1, positives), (0, negatives)):
         chosen = one.filter(F.col("_y") == value).orderBy(*order).limit(most).collect()
         out.extend((r[0], r[1]) for r in chosen)
-    return out
+    return out, {r[0]: r[1] for r in one.groupBy("_y").count().collect() if r[0] in (0, 1)}
 
 
 def fit(
@@ -203,7 +205,7 @@ def fit(
 ) -> Classifier | None:
     """A classifier from the labels of rows where `usable`, a condition on the id, holds."""
     spark = df.sparkSession
-    sample = _sample(labels, usable, key, label, positives, negatives)
+    sample, everywhere = _sample(labels, usable, key, label, positives, negatives)
     if not sample:
         return None
     wanted = F.broadcast(spark.createDataFrame(sample, f"_k {df.schema[key].dataType.simpleString()}, _y int"))
@@ -258,6 +260,9 @@ def fit(
         votes[i, -1] = int(y[i])
     model = fit_label_model(votes, y)
     trained = fit_classifier(found, model.posterior(votes), names, strong)
+    if min(everywhere.get(0, 0), everywhere.get(1, 0), n0, n1) > 0:
+        # the sample holds more toxic rows than the labels do; the bias goes back to their share
+        trained.bias += float(np.log(everywhere[1] / everywhere[0]) - np.log(n1 / n0))
     trained.label_model = model
     return trained
 
