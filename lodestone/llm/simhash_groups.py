@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,13 +59,15 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(df: DataFrame, shingle: int) -> DataFrame:
-    """(_row, _key, print binary) of (_row, _key, _text)."""
+    """(_row, _key, node, print binary) of (_row, _key, _text); rows of equal shingle sets are one node."""
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
-        wide = [wide_fingerprint(np.array(hashes(t or "", shingle), dtype="<u8")).tobytes() for t in batch.column(2).to_pylist()]
-        return {"_row": batch.column(0), "_key": batch.column(1), "print": pa.array(wide, type=pa.binary())}
+        every = [np.array(hashes(t or "", shingle), dtype="<u8") for t in batch.column(2).to_pylist()]
+        node = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes()) for h in every], dtype=np.uint64)
+        wide = [wide_fingerprint(h).tobytes() for h in every]
+        return {"_row": batch.column(0), "_key": batch.column(1), "node": pa.array(node.view(np.int64)), "print": pa.array(wide, type=pa.binary())}
 
-    return map_batches(df.select("_row", "_key", "_text"), f"_row bigint, _key {df.schema['_key'].dataType.simpleString()}, print binary", rows)
+    return map_batches(df.select("_row", "_key", "_text"), f"_row bigint, _key {df.schema['_key'].dataType.simpleString()}, node bigint, print binary", rows)
 
 
 def _segments(nodes: DataFrame) -> DataFrame:
@@ -190,7 +193,7 @@ def keep_one(
     # the document is one column from here on, so its columns may have any names
     marked = df.select(F.struct(*df.columns).alias("_doc"), F.xxhash64(key, text).alias("_row"))
     texts = marked.select("_row", F.col(f"_doc.{key}").alias("_key"), F.col(f"_doc.{text}").alias("_text"))
-    prints = cut(_fingerprints(texts, shingle).withColumn("node", F.xxhash64("print")))
+    prints = cut(_fingerprints(texts, shingle))
     ordered = F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_row").alias("r"))
     nodes = cut(prints.groupBy("node").agg(F.min(ordered).alias("m"), F.min("print").alias("print")))
     schema = StructType.fromDDL("a bigint, b bigint")

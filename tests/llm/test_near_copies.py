@@ -140,3 +140,11 @@ def test_similar_groups(spark):
         assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
     assert sorted(r.doc_id or 0 for r in simhash_groups.keep_one(awkward(spark)).collect()) == [0, 1, 3, 4, 6]
     assert simhash_groups.keep_one(empty(spark)).count() == 0
+
+
+def test_one_shingle_in_most_of_a_text(spark):
+    """A shingle that fills over half of a text decides no match: the rest of the text differs."""
+    rng = random.Random(5)
+    texts = [". " * 300 + prose(rng, 60, [f"v{k}x{i}" for i in range(200)]) for k in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash_groups.keep_one(df).collect()) == list(range(12))
