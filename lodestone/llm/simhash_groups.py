@@ -2,8 +2,8 @@
 
 64 bits tell apart only texts that differ a lot: at a Jaccard similarity of 0.8 two
 fingerprints differ by 10 bits of 64 on average, as many texts of 0.6 do. So a document
-gets `WORDS` * 64 bits here, from one XXH64 of each shingle and multiplicative mixes of
-it. Multi-index hashing as in `simhash`: the fingerprint is cut into segments of 16 bits,
+gets `WORDS` * 64 bits here, from one XXH64 of each distinct shingle and multiplicative
+mixes of it, so that a repeated line counts once, as in the sets that are compared. Multi-index hashing as in `simhash`: the fingerprint is cut into segments of 16 bits,
 fingerprints that agree in a segment meet (a ball of radius 0; two fingerprints with
 fewer differing bits than there are segments meet for certain), and distances over the
 first 256 bits decide who is a candidate: 60 bits are six deviations above what a
@@ -62,8 +62,8 @@ def _fingerprints(df: DataFrame, shingle: int) -> DataFrame:
     """(_row, _key, node, print binary) of (_row, _key, _text); rows of equal shingle sets are one node."""
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
-        every = [np.array(hashes(t or "", shingle), dtype="<u8") for t in batch.column(2).to_pylist()]
-        node = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes()) for h in every], dtype=np.uint64)
+        every = [np.unique(np.array(hashes(t or "", shingle), dtype="<u8")) for t in batch.column(2).to_pylist()]
+        node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in every], dtype=np.uint64)
         wide = [wide_fingerprint(h).tobytes() for h in every]
         return {"_row": batch.column(0), "_key": batch.column(1), "node": pa.array(node.view(np.int64)), "print": pa.array(wide, type=pa.binary())}
 

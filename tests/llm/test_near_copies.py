@@ -148,3 +148,15 @@ def test_one_shingle_in_most_of_a_text(spark):
     texts = [". " * 300 + prose(rng, 60, [f"v{k}x{i}" for i in range(200)]) for k in range(12)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in simhash_groups.keep_one(df).collect()) == list(range(12))
+
+
+def test_lines_repeated_a_different_number_of_times(spark):
+    """Sets alike to 0.8 and more are near copies, however often one of the texts repeats a line."""
+    rng = random.Random(6)
+    texts = []
+    for k in range(12):
+        words = [f"u{k}x{i}" for i in range(200)]
+        line, rest = prose(rng, 12, words), prose(rng, 80, words)
+        texts += [f"{line} {line} {rest}", f"{line} " * 300 + rest]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash_groups.keep_one(df).collect()) == list(range(0, 24, 2))
