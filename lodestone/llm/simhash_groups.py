@@ -1,14 +1,16 @@
-"""Groups of documents whose word shingles are similar, found by wide SimHash fingerprints.
-
-64 bits tell apart only texts that differ a lot: at a Jaccard similarity of 0.8 two
-fingerprints differ by 10 bits of 64 on average, as many texts of 0.6 do. So a document
-gets `WORDS` * 64 bits here, from one XXH64 of each distinct shingle and multiplicative
-mixes of it, so that a repeated line counts once, as in the sets that are compared. Multi-index hashing as in `simhash`: the fingerprint is cut into segments of 16 bits,
-fingerprints that agree in a segment meet (a ball of radius 0; two fingerprints with
-fewer differing bits than there are segments meet for certain), and distances over the
-first 256 bits decide who is a candidate: 60 bits are six deviations above what a
-similarity of 0.8 gives, and random texts differ in 128. Of pairs of similarity 0.8 some
-97 in 100 meet, of 0.85 over 99.5.
+"""Groups of documents whose word shingles are similar: prefixes of their sets meet, wide fingerprints choose.
+
+Candidates meet by prefix filtering and not by segments of fingerprints, which miss
+pairs: sets of a similarity of `least` or more share an element among the first
+n - ceil(least * n) + 1 of each in any common order of all shingles, so every such pair
+meets for certain. The order is by hash, with the shingles that are frequent in a sample
+of documents last, so that few documents meet in one; any set of frequent ones is right.
+
+Of documents that meet, sizes and a fingerprint of `WORDS` * 64 bits of the distinct
+shingles (one XXH64 of each and multiplicative mixes of it) decide who is a candidate.
+Sets of a similarity of 0.8 differ in some 39 of 256 bits, with a deviation below 6, and
+random ones in 128; `CANDIDATE_BITS` = 72 is over five deviations above. Small sets
+deviate more and are candidates at any distance.
 
 Candidates are verified exactly. A first pass passes on forests only; the documents of
 a loose component of two and more then bring their sets of shingle hashes, and within
@@ -21,6 +23,8 @@ id and text one stays; of a group the row of smallest id stays, null ids last.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,8 +38,9 @@ from lodestone.llm.common import cut, map_batches
 from lodestone.llm.components import connected_components, forest
 from lodestone.llm.simhash import hashes
 
-WORDS, PAYLOAD, CANDIDATE_BITS = 12, 4, 60
-SEGMENTS = WORDS * 4  # of 16 bits
+WORDS, CANDIDATE_BITS = 4, 72
+SMALL = 16  # shingles; smaller sets are candidates whatever their distance
+SAMPLE, FREQUENT = 10_000, 200_000  # documents asked for frequent shingles, and shingles kept of them
 COLUMNS = 2048
 BROADCAST_ROWS = 1_000_000  # longs, about 16 MB
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(WORDS)], dtype=np.uint64)
@@ -58,42 +63,75 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(df: DataFrame, shingle: int) -> DataFrame:
-    """(_row, _key, node, print binary) of (_row, _key, _text); rows of equal shingle sets are one node."""
+def _ordered_prefix(h: np.ndarray, least: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The elements of a sorted set by which it meets all sets of similarity `least`; frequent ones come last, by rank."""
+    keep = len(h) - math.ceil(least * len(h) - 1e-9) + 1 if len(h) else 0
+    if len(h) and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        often = frequent[at] == h
+        h = np.concatenate([h[~often], h[often][np.argsort(rank[at[often]])]])
+    return h[:keep]
+
+
+def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingle hashes, rank of each by number of documents) of those that stand in four sampled documents or more."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    some = texts.filter(F.shiftrightunsigned(F.xxhash64("_row"), 1) <= min(int(share * (1 << 63)), (1 << 63) - 1))
+
+    def rows(batch: pa.RecordBatch) -> dict[str, object]:
+        every = [np.unique(np.array(hashes(t or "", shingle), dtype="<u8")) for t in batch.column(0).to_pylist()]
+        return {"h": pa.array(np.concatenate(every).view(np.int64))}
+
+    counts = map_batches(some.select("_text"), "h bigint", rows).groupBy("h").agg(F.count("*").alias("n")).filter("n >= 4")
+    found = np.array([r.h for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], dtype=np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], -order
+
+
+def _fingerprints(df: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(_row, _key, node, size, print binary, prefix binary) of (_row, _key, _text); rows of equal shingle sets are one node."""
+    shared = df.sparkSession.sparkContext.broadcast(_frequent(df, shingle))  # FREQUENT pairs of longs at most
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
         every = [np.unique(np.array(hashes(t or "", shingle), dtype="<u8")) for t in batch.column(2).to_pylist()]
         node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in every], dtype=np.uint64)
-        wide = [wide_fingerprint(h).tobytes() for h in every]
-        return {"_row": batch.column(0), "_key": batch.column(1), "node": pa.array(node.view(np.int64)), "print": pa.array(wide, type=pa.binary())}
+        return {
+            "_row": batch.column(0), "_key": batch.column(1), "node": pa.array(node.view(np.int64)),
+            "size": pa.array([len(h) for h in every], type=pa.int64()),
+            "print": pa.array([wide_fingerprint(h).tobytes() for h in every], type=pa.binary()),
+            "prefix": pa.array([_ordered_prefix(h, least, *shared.value).tobytes() for h in every], type=pa.binary()),
+        }
 
-    return map_batches(df.select("_row", "_key", "_text"), f"_row bigint, _key {df.schema['_key'].dataType.simpleString()}, node bigint, print binary", rows)
+    kind = df.schema["_key"].dataType.simpleString()
+    return map_batches(df.select("_row", "_key", "_text"), f"_row bigint, _key {kind}, node bigint, size bigint, print binary, prefix binary", rows)
 
 
-def _segments(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, head binary): one row for each segment, with the first 256 bits to measure distances by."""
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, size, head binary): one row for each shingle of the prefix, with the fingerprint to measure distances by."""
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
-        prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u2").reshape(-1, SEGMENTS).astype(np.int64)
-        bucket = prints * SEGMENTS + np.arange(SEGMENTS)
-        heads = [p[: PAYLOAD * 8] for p in batch.column(1).to_pylist()]
-        return {
-            "bucket": pa.array(bucket.reshape(-1)),
-            "node": batch.column(0).take(pa.array(np.repeat(np.arange(len(heads)), SEGMENTS))),
-            "head": pa.array(heads, type=pa.binary()).take(pa.array(np.repeat(np.arange(len(heads)), SEGMENTS))),
-        }
+        packed = batch.column(3).to_pylist()
+        owner = pa.array(np.repeat(np.arange(len(packed)), [len(p) // 8 for p in packed]))
+        bucket = pa.array(np.frombuffer(b"".join(packed), dtype="<i8"))
+        return {"bucket": bucket, "node": batch.column(0).take(owner), "size": batch.column(1).take(owner), "head": batch.column(2).take(owner)}
 
-    return map_batches(nodes.select("node", "print"), "bucket bigint, node bigint, head binary", rows)
+    return map_batches(nodes.select("node", "size", "print", "prefix"), "bucket bigint, node bigint, size bigint, head binary", rows)
 
 
 def _heads(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, PAYLOAD)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WORDS)
 
 
 def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
+def _near(head_x: np.ndarray, head_y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs can reach `least` by their sizes, and are small or of near fingerprints."""
+    low = np.minimum(size_x, size_y)
+    return (low >= least * np.maximum(size_x, size_y) - 1e-9) & ((low < SMALL) | (_far(head_x, head_y) <= CANDIDATE_BITS))
+
+
 def _meet(side: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (side[x] == 2) | (side[x] != side[y])
 
@@ -102,9 +140,10 @@ def _batch(a: np.ndarray, b: np.ndarray) -> list[pa.RecordBatch]:
     return [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])] if len(a) else []
 
 
-def _loose(table: pa.Table, starts: np.ndarray, small: int = 48) -> list[pa.RecordBatch]:
-    """A forest of the pairs in each group whose distance is small enough."""
+def _loose(table: pa.Table, starts: np.ndarray, least: float, small: int = 48) -> list[pa.RecordBatch]:
+    """A forest of the pairs in each group whose sizes and distance are near enough."""
     node, head, side = table.column("node").to_numpy(), _heads(table.column("head")), table.column("side").to_numpy()
+    many = table.column("size").to_numpy()
     sizes = np.diff(np.append(starts, len(node)))
     group = np.repeat(np.arange(len(starts)), sizes)
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
@@ -112,7 +151,7 @@ def _loose(table: pa.Table, starts: np.ndarray, small: int = 48) -> list[pa.Reco
     def take(x: np.ndarray, y: np.ndarray) -> None:
         ok = _meet(side, x, y)
         x, y = x[ok], y[ok]
-        near = _far(head[x], head[y]) <= CANDIDATE_BITS
+        near = _near(head[x], head[y], many[x], many[y], least)
         left.append(node[x[near]])
         right.append(node[y[near]])
         if sum(map(len, left)) > 500_000:
@@ -129,7 +168,8 @@ def _loose(table: pa.Table, starts: np.ndarray, small: int = 48) -> list[pa.Reco
         members = np.arange(starts[g], starts[g] + sizes[g])
         for at in range(0, len(members), 128):
             block = members[at : at + 128]
-            near = _far(head[block][:, None, :], head[members[at:]][None, :, :]) <= CANDIDATE_BITS
+            rest = members[at:]
+            near = _near(head[block][:, None, :], head[rest][None, :, :], many[block][:, None], many[rest][None, :], least)
             i, j = np.nonzero(near)
             i, j = block[i], members[at + j]
             take(i[i < j], j[i < j])
@@ -156,8 +196,7 @@ def _verified(table: pa.Table, starts: np.ndarray, least: float) -> list[pa.Reco
             later = np.arange(i + 1, z - a)
             possible = _meet(side, np.full(len(later), a + i), places[i + 1 :])
             possible &= bound[i % 128, later] >= least / (1 + least) * (sizes[i] + sizes[later]) - 0.5
-            possible &= np.minimum(sizes[i], sizes[later]) >= least * np.maximum(sizes[i], sizes[later])
-            possible &= _far(head[a + i], head[a + i + 1 : z]) <= CANDIDATE_BITS
+            possible &= _near(head[a + i], head[a + i + 1 : z], sizes[i], sizes[later], least)
             possible &= parent[later] != parent[i]
             for j in later[possible].tolist():
                 if parent[i] == parent[j]:
@@ -193,16 +232,16 @@ def keep_one(
     # the document is one column from here on, so its columns may have any names
     marked = df.select(F.struct(*df.columns).alias("_doc"), F.xxhash64(key, text).alias("_row"))
     texts = marked.select("_row", F.col(f"_doc.{key}").alias("_key"), F.col(f"_doc.{text}").alias("_text"))
-    prints = cut(_fingerprints(texts, shingle))
+    prints = cut(_fingerprints(texts, shingle, least))
     ordered = F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_row").alias("r"))
-    nodes = cut(prints.groupBy("node").agg(F.min(ordered).alias("m"), F.min("print").alias("print")))
+    nodes = cut(prints.groupBy("node").agg(F.min(ordered).alias("m"), *(F.min(c).alias(c) for c in ("size", "print", "prefix"))))
     schema = StructType.fromDDL("a bigint, b bigint")
     keys = ["bucket", "part_a", "part_b"]
 
-    rows = split_large(_segments(nodes), "bucket", "node", 5 * bucket_limit)
-    loose = cut(connected_components(map_groups(rows, keys, schema, _loose)))
+    rows = split_large(_meetings(nodes), "bucket", "node", 5 * bucket_limit)
+    loose = cut(connected_components(map_groups(rows, keys, schema, lambda t, s: _loose(t, s, least))))
 
-    members = cut(loose.join(nodes, "node").select("node", F.col("component").alias("bucket"), F.col("m.r").alias("_row"), F.substring("print", 1, PAYLOAD * 8).alias("head")))
+    members = cut(loose.join(nodes, "node").select("node", F.col("component").alias("bucket"), F.col("m.r").alias("_row"), F.col("print").alias("head")))
     sets = cut(_shingle_sets(_having(texts, members.select("_row")), shingle).dropDuplicates(["_row"]))
     groups = split_large(members.join(sets, "_row").drop("_row"), "bucket", "node", bucket_limit)
     strict = map_groups(groups, keys, schema, lambda t, s: _verified(t, s, least), at_once=20_000)

@@ -160,3 +160,14 @@ def test_lines_repeated_a_different_number_of_times(spark):
         texts += [f"{line} {line} {rest}", f"{line} " * 300 + rest]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in simhash_groups.keep_one(df).collect()) == list(range(0, 24, 2))
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    """Short texts and the same with one more word (4 of 5 shingles), and longer ones at 12 of 15 and 80 of 100."""
+    texts = []
+    for k in range(600):
+        more, fewer = ((9, 8), (19, 16), (104, 84))[k % 3]
+        words = [f"t{k}x{i}" for i in range(more)]
+        texts += [" ".join(words[:fewer]), " ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash_groups.keep_one(df).collect()) == list(range(0, 1200, 2))
