@@ -54,6 +54,12 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def one_text(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _t): of the rows of equal keys the text of smallest hash, whatever their number and order."""
+    least = df.groupBy(*keys).agg(F.min(F.struct(F.xxhash64("_t").alias("h"), F.col("_t").alias("t"))).alias("m"))
+    return least.select(*keys, F.col("m.t").alias("_t"))
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

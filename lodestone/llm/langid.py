@@ -9,9 +9,12 @@ is fitted there. Both steps are linear after the kernel values, so they are fold
 into one matrix, and a batch is scored by two matrix products: presence by landmark
 presence, kernel values by that matrix.
 
-Training reads a bounded sample: at most `per_language` rows of each of the
-`max_languages` most frequent languages, the smallest by a hash of their id; what
-comes to the driver is their presence tables, of one size whatever the text's length.
+Training reads a bounded sample of every language: at most `per_language` rows and
+`landmarks_each` landmarks of each, the rows smallest by a hash of their id. Of more than
+`max_languages` languages the totals for that many are divided among all, so that each
+has fewer (one row and one landmark at least, without which its alphabet would be
+unknown); none is left out. What comes to the driver is presence
+tables, of one size whatever the text's length, and the languages' counts.
 Every document is then scored over its whole text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; rows
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_batches
+from lodestone.llm.common import map_batches, one_text
 
 #: n-gram length -> entries of its table
 TABLES = {1: 1 << 10, 2: 1 << 12, 3: 1 << 14}
@@ -91,8 +94,8 @@ def _landmark_matrix(seen: np.ndarray) -> np.ndarray:
 
 
 def train(seen: np.ndarray, languages: list[str], landmarks_each: int, ridge: float) -> Model:
-    names = sorted(set(languages))
-    label = np.array([names.index(x) for x in languages])
+    names, label = np.unique(np.array(languages), return_inverse=True)
+    names = names.tolist()
     chosen = np.concatenate([np.flatnonzero(label == k)[:landmarks_each] for k in range(len(names))])
     none = np.zeros((len(chosen), len(names)), dtype=np.float32)
     model = Model(names, _landmark_matrix(seen[chosen]), none, none[0])
@@ -124,46 +127,42 @@ def fit(
     ridge: float = 1e-3,
 ) -> Model | None:
     """A model from rows where `usable` holds; the ids and languages are chosen without reading texts."""
-    rows = df.filter(usable & F.col(lang).isNotNull()).select(F.col(key).alias("_k"), F.col(lang).alias("_l"))
-    counts = rows.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(max_languages).collect()
+    known = usable & F.col(lang).isNotNull() & F.col(key).isNotNull()
+    rows = df.filter(known).select(F.col(key).alias("_k"), F.col(lang).alias("_l"))
+    counts = rows.groupBy("_l").agg(F.approx_count_distinct("_k").alias("n")).collect()
     if not counts:
         return None
-    common = [r[0] for r in counts]
-    # a hash low enough for some four times the rows wanted, so that few rows of a frequent language are ranked
+    spark = df.sparkSession
+    if len(counts) > max_languages:
+        per_language = max(1, per_language * max_languages // len(counts))
+        landmarks_each = max(1, landmarks_each * max_languages // len(counts))
+    # a hash low enough for over four times the rows wanted, so that few rows of a frequent language are ranked
     low = F.shiftrightunsigned(F.xxhash64("_k"), 1)
-    most = F.lit(None).cast("long")
-    for name, count in counts:
-        share = min(1.0, 4 * per_language / count)
-        most = F.when(F.col("_l") == name, min(int(share * (1 << 63)), (1 << 63) - 1)).otherwise(most)
+    most = [(r._l, min(int(min(1.0, (4 * per_language + 60) / max(1, r.n)) * (1 << 63)), (1 << 63) - 1)) for r in counts]
+    limits = F.broadcast(spark.createDataFrame(most, "_l string, _most bigint"))
     first = W.partitionBy("_l").orderBy("_h", "_k")
-    near = rows.withColumn("_h", low).filter(F.col("_h") <= most)
+    near = rows.withColumn("_h", low).join(limits, "_l").filter(F.col("_h") <= F.col("_most")).select("_l", "_k", "_h").distinct()
     chosen = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
-    ids = sorted({r._k for r in chosen.select("_k").collect()})  # bounded by per_language * max_languages
-    spark = df.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], f"_k {df.schema[key].dataType.simpleString()}"))
-    sample = df.filter(usable & F.col(lang).isNotNull()).select(F.col(key).alias("_k"), lang, text).join(wanted, "_k", "left_semi")
+    ids = sorted((r._k, r._l) for r in chosen.select("_k", "_l").collect())  # at most per_language * max_languages, or one for each language
+    kind = df.schema[key].dataType.simpleString()
+    wanted = F.broadcast(spark.createDataFrame(ids, f"_k {kind}, _l string"))
+    sample = df.filter(known).select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.col(text).alias("_t")).join(wanted, ["_k", "_l"], "left_semi")
+    sample = one_text(sample, ["_k", "_l"])  # ids that stand in many rows do not widen the bound
 
     def rows_of(batch: pa.RecordBatch) -> dict[str, object]:
         seen = presence([t or "" for t in batch.column(2).to_pylist()])
         bits = np.packbits(seen, axis=1)
         return {"_k": batch.column(0), "lang": batch.column(1), "bits": pa.array([b.tobytes() for b in bits], type=pa.binary())}
 
-    kind = df.schema[key].dataType.simpleString()
     got = map_batches(sample, f"_k {kind}, lang string, bits binary", rows_of, rows=128).collect()
-    got = sorted((r for r in got if r.lang in set(common)), key=lambda r: (r.lang, r._k))
-    per: dict[str, int] = {}
-    kept = []
-    for r in got:  # ids that stand in many rows do not widen the bound
-        per[r.lang] = per.get(r.lang, 0) + 1
-        if per[r.lang] <= per_language:
-            kept.append(r)
-    seen = np.unpackbits(np.array([np.frombuffer(r.bits, dtype=np.uint8) for r in kept]), axis=1, count=WIDTH)
-    return train(seen, [r.lang for r in kept], landmarks_each, ridge)
+    got = sorted(got, key=lambda r: (r.lang, r._k))
+    seen = np.unpackbits(np.array([np.frombuffer(r.bits, dtype=np.uint8) for r in got]), axis=1, count=WIDTH)
+    return train(seen, [r.lang for r in got], landmarks_each, ridge)
 
 
 def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score): the language of the highest regression, and (its value + 1) / 2 within 0 and 1."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # WIDTH * max_languages * landmarks_each numbers at most
+    shared = df.sparkSession.sparkContext.broadcast(model)  # WIDTH * max_languages * landmarks_each numbers, or WIDTH for each language if that is more
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
         model, texts = shared.value, [t or "" for t in batch.column(1).to_pylist()]

@@ -179,3 +179,19 @@ def test_toxicity(spark):
 @pytest.mark.parametrize("p", secrets.ENCODINGS)
 def test_alphabets_have_no_repeats(p):
     assert len(set(p[1])) == len(p[1])
+
+
+def test_every_language_is_learned(spark):
+    """More languages than `max_languages`: the rows are divided and no language is left out."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(12):
+        letters = [chr(0x4E00 + 100 * k + j) for j in range(12)]
+        words = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(30)]
+        rows += [(len(rows) + j, prose(rng, 20, words), f"l{k:02d}") for j in range(40 if k else 200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df, remainder(F.col("doc_id"), 4) != 2, per_language=30, max_languages=4, landmarks_each=2)
+    assert model.languages == [f"l{k:02d}" for k in range(12)]
+    assert model.landmarks.shape[1] == 12
+    got = langid.predict(df, model).join(df, "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
