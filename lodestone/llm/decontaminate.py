@@ -14,8 +14,10 @@ A retrieved item is then verified. It is split into question and answer (after a
 "answer:" mark, else at its last sentence, else at two thirds of its words), and the
 shares of their five-word runs that the window has must reach `question` and `answer`.
 
-Items are collected in blocks of at most `block_bytes` of text, chosen by a hash of
-their id; each block's index is broadcast and all documents are asked against each.
+Repeated rows of the benchmark are one item with a count. Items are collected in blocks of
+about half of `block_bytes` of text, chosen by a hash of id and text; each block's index is
+broadcast and all documents are asked against each. Document frequencies, mean length and
+window size are those of all items, so scores do not depend on which items share a block.
 
 Defined results: null texts are empty and match nothing; items of fewer than five
 words have no five-word run and are left out; of several windows of a document that
@@ -30,6 +32,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.cluster import ship
-from lodestone.llm.common import map_batches
+from lodestone.llm.common import cut, map_batches
 
 K1, B = 1.2, 0.75
 RUN = 5
@@ -74,18 +77,35 @@ def runs(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + RUN]) for i in range(len(words) - RUN + 1)}
 
 
+@dataclass
+class Statistics:
+    items: int
+    words: int
+    longest: int
+    frequency: dict[bytes, int]  # word -> items with it
+
+
 class Index:
     """Postings of the items, blocks with maxima, and the parts to verify."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        read = [(i, t, words_of(t)) for i, t in items]
-        read = [(i, t, w) for i, t, w in read if len(w) >= RUN]
+    def __init__(self, items: list[tuple[int, str]], copies: list[int] | None = None, over_all: Statistics | None = None):
+        """`copies` says how many rows each item stands for; `over_all` are statistics of more items than these."""
+        every = [(i, t, words_of(t), c) for (i, t), c in zip(items, copies or [1] * len(items), strict=True)]
+        every = [x for x in every if len(x[2]) >= RUN]
+        read = [x[:3] for x in every]
+        self.copies = [x[3] for x in every]
         self.ids = [i for i, _, _ in read]
         self.parts = [tuple(map(runs, question_and_answer(t))) for _, t, _ in read]
         self.lengths = [tuple(min(len(p), RUN) for p in question_and_answer(t)) for _, t, _ in read]
-        self.longest = max((len(w) for _, _, w in read), default=0)
-        n, mean = len(read), sum(len(w) for _, _, w in read) / max(1, len(read))
-        frequency = Counter(word for _, _, w in read for word in set(w))
+        if over_all is None:
+            frequency = Counter()
+            for _, _, w, c in every:
+                for word in set(w):
+                    frequency[word] += c
+            words = sum(len(w) * c for _, _, w, c in every)
+            over_all = Statistics(sum(self.copies), words, max((len(w) for _, _, w in read), default=0), frequency)
+        self.longest, frequency = over_all.longest, over_all.frequency
+        n, mean = over_all.items, over_all.words / max(1, over_all.items)
         idf = {word: math.log(1 + (n - df + 0.5) / (df + 0.5)) for word, df in frequency.items()}
         lists: dict[bytes, list[tuple[int, float]]] = {word: [] for word in idf}
         for d, (_, _, w) in enumerate(read):
@@ -98,8 +118,8 @@ class Index:
         self.term = {word: t for t, word in enumerate(lists)}
         self.postings = [[d for d, _ in p] for p in lists.values()]
         self.impacts = [[x for _, x in p] for p in lists.values()]
-        self.block = max(BLOCK, -(-n // BLOCKS))
-        self.bounds = np.zeros((len(lists), -(-n // self.block)), dtype=np.float32)
+        self.block = max(BLOCK, -(-len(read) // BLOCKS))
+        self.bounds = np.zeros((len(lists), -(-len(read) // self.block)), dtype=np.float32)
         for t, (p, x) in enumerate(zip(self.postings, self.impacts, strict=True)):
             np.maximum.at(self.bounds[t], np.array(p) // self.block, np.array(x, dtype=np.float32))
 
@@ -198,11 +218,32 @@ class Index:
 
 
 def _blocks(items: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[Index]:
-    size = items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    n = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
+    """Indexes of the distinct items; where there are several, all score by the statistics of all items."""
+    every = items.groupBy(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t")).agg(F.count("*").alias("_c"))
+    size = every.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
+    if size <= block_bytes:
+        rows = every.collect()
+        yield Index([(r._k, r._t) for r in rows], [r._c for r in rows])
+        return
+    n = -(-2 * size // block_bytes)
+    every = cut(every.withColumn("_b", F.pmod(F.xxhash64("_k", "_t"), F.lit(n)).cast("int")))
+
+    def read(batch: pa.RecordBatch) -> dict[str, object]:
+        words = [words_of(t) for t in batch.column(0).to_pylist()]
+        return {
+            "_c": batch.column(1), "_b": batch.column(2), "n": [len(w) for w in words],
+            "words": pa.array([sorted(set(w)) for w in words], type=pa.list_(pa.binary())),
+        }
+
+    counted = cut(map_batches(every.select("_t", "_c", "_b"), "_c bigint, _b int, n bigint, words array<binary>", read).filter(F.col("n") >= RUN))
+    total = counted.agg(F.sum("_c").alias("items"), F.sum(F.col("n") * F.col("_c")).alias("words"), F.max("n").alias("longest")).first()
+    spoken = counted.select("_b", "_c", F.explode("words").alias("word"))
+    frequency = cut(spoken.groupBy("word").agg(F.sum("_c").alias("df"), F.collect_set("_b").alias("blocks")))
     for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64(key, text), F.lit(n)) == k).select(key, F.coalesce(text, F.lit("")))
-        yield Index([tuple(r) for r in part.collect()])
+        rows = every.filter(F.col("_b") == k).collect()
+        here = {bytes(r.word): r.df for r in frequency.filter(F.array_contains("blocks", k)).select("word", "df").collect()}
+        over_all = Statistics(total.items or 0, total.words or 0, total.longest or 0, here)
+        yield Index([(r._k, r._t) for r in rows], [r._c for r in rows], over_all)
 
 
 def contaminated(
@@ -230,7 +271,7 @@ def contaminated(
         def rows(batch: pa.RecordBatch, shared=shared) -> dict[str, object]:
             index = shared.value
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = index.matches(texts, retrieve, question, answer)
+            found = [m for m in index.matches(texts, retrieve, question, answer) for _ in range(index.copies[m[1]])]
             which, item, score, start, q, a = zip(*found, strict=True) if found else ((),) * 6
             return {
                 key: batch.column(0).take(pa.array(which, type=pa.int64())), item_key: [index.ids[k] for k in item],

@@ -195,3 +195,24 @@ def test_every_language_is_learned(spark):
     assert model.landmarks.shape[1] == 12
     got = langid.predict(df, model).join(df, "doc_id").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
+
+
+def test_blocks_share_their_statistics(spark):
+    """The same matches and scores from one index and from many, with items and documents that only partly agree."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(120)]
+    items = [(k, prose(rng, rng.randrange(12, 40), words)) for k in range(60)]
+    items += [items[0]] * 3
+    docs = []
+    for k in range(60):
+        w = items[k][1].split()
+        w[1] = "other"
+        docs.append((k, prose(rng, 30, words) + " " + " ".join(w) + " " + prose(rng, 30, words)))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    given = {"retrieve": 0.6, "question": 0.4, "answer": 0.4}
+    one = sorted(map(tuple, decontaminate.contaminated(d, b, **given).collect()))
+    many = sorted(map(tuple, decontaminate.contaminated(d, b, block_bytes=4_000, **given).collect()))
+    assert len(one) > 30 and sum(r[1] == 0 for r in one) % 4 == 0
+    assert [(r[0], r[1], r[3]) for r in one] == [(r[0], r[1], r[3]) for r in many]
+    assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(one, many, strict=True))
