@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.cluster import ship
-from lodestone.llm.common import cut, map_batches
+from lodestone.llm.common import cut, map_batches, one_text
 
 WORD = re.compile(r"\w+")
 STEMS = range(4, 8)
@@ -209,7 +209,7 @@ def fit(
     if not sample:
         return None
     wanted = F.broadcast(spark.createDataFrame(sample, f"_k {df.schema[key].dataType.simpleString()}, _y int"))
-    texts = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(wanted, "_k")
+    texts = one_text(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(wanted, "_k"), ["_k", "_y"])
 
     def read(batch: pa.RecordBatch) -> dict[str, object]:
         columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
@@ -242,7 +242,7 @@ def fit(
         found = [sorted(numbers[f] for f in features if f in numbers) for features in batch.column(1).to_pylist()]
         return {"_y": batch.column(0), "found": pa.array(found, type=pa.list_(pa.int32())), "hand": batch.column(2)}
 
-    rows = map_batches(read_rows.select("_y", "features", "hand"), "_y int, found array<int>, hand array<int>", number).limit(2 * (positives + negatives)).collect()
+    rows = map_batches(read_rows.select("_y", "features", "hand"), "_y int, found array<int>, hand array<int>", number).collect()  # at most one row for each sampled id
     rows.sort(key=lambda r: (r._y, r.found))
     found, y = [list(r.found) for r in rows], np.array([r._y for r in rows], dtype=np.float64)
     lexicon = {i: j for j, i in enumerate(range(min(lexicon_voters, len(toxic))))}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, langid, licenses, secrets, toxicity
-from lodestone.llm.common import remainder
+from lodestone.llm.common import one_text, remainder
 from tests.llm.helpers import awkward, empty, prose
 
 WORDS = [a + b for a in "ba ce di fo gu".split() for b in "lan mer nis tok vul rad".split()]
@@ -216,3 +216,17 @@ def test_blocks_share_their_statistics(spark):
     assert len(one) > 30 and sum(r[1] == 0 for r in one) % 4 == 0
     assert [(r[0], r[1], r[3]) for r in one] == [(r[0], r[1], r[3]) for r in many]
     assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(one, many, strict=True))
+
+
+def test_ids_in_many_rows(spark):
+    """One text for each sampled id is learned from, so hot ids neither widen the sample nor depend on the rows' order."""
+    rows = [(1, f"text {k} of one id", "en") for k in range(500)] + [(i, f"ein satz {i} hier", "de") for i in range(2, 20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)], "doc_id bigint, toxic int")
+    a, b = (langid.fit(x, F.lit(True)) for x in (df, df.orderBy(F.desc("text"))))
+    assert (a.landmarks == b.landmarks).all() and a.landmarks.shape[1] == 17
+    once = one_text(df.selectExpr("doc_id AS _k", "text AS _t"), ["_k"])
+    assert once.count() == 19
+    unique = once.selectExpr("_k AS doc_id", "_t AS text")
+    x, y = (toxicity.fit(t, labels, F.lit(True)) for t in (df, unique))
+    assert x.bias == pytest.approx(y.bias, abs=1e-9)
