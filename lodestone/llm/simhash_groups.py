@@ -103,7 +103,7 @@ def _fingerprints(df: DataFrame, shingle: int, least: float) -> DataFrame:
         }
 
     kind = df.schema["_key"].dataType.simpleString()
-    return map_batches(df.select("_row", "_key", "_text"), f"_row bigint, _key {kind}, node bigint, size bigint, print binary, prefix binary", rows)
+    return map_batches(df.select("_row", "_key", "_text"), f"_row bigint, _key {kind}, node bigint, size bigint, print binary, prefix binary", rows, rows=128)
 
 
 def _meetings(nodes: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _meetings(nodes: DataFrame) -> DataFrame:
         bucket = pa.array(np.frombuffer(b"".join(packed), dtype="<i8"))
         return {"bucket": bucket, "node": batch.column(0).take(owner), "size": batch.column(1).take(owner), "head": batch.column(2).take(owner)}
 
-    return map_batches(nodes.select("node", "size", "print", "prefix"), "bucket bigint, node bigint, size bigint, head binary", rows)
+    return map_batches(nodes.select("node", "size", "print", "prefix"), "bucket bigint, node bigint, size bigint, head binary", rows, rows=128)
 
 
 def _heads(column: pa.ChunkedArray) -> np.ndarray:
@@ -166,8 +166,8 @@ def _loose(table: pa.Table, starts: np.ndarray, least: float, small: int = 48) -
         step += 1
     for g in np.flatnonzero(sizes > small):
         members = np.arange(starts[g], starts[g] + sizes[g])
-        for at in range(0, len(members), 128):
-            block = members[at : at + 128]
+        for at in range(0, len(members), 32):
+            block = members[at : at + 32]
             rest = members[at:]
             near = _near(head[block][:, None, :], head[rest][None, :, :], many[block][:, None], many[rest][None, :], least)
             i, j = np.nonzero(near)
@@ -239,12 +239,12 @@ def keep_one(
     keys = ["bucket", "part_a", "part_b"]
 
     rows = split_large(_meetings(nodes), "bucket", "node", 5 * bucket_limit)
-    loose = cut(connected_components(map_groups(rows, keys, schema, lambda t, s: _loose(t, s, least))))
+    loose = cut(connected_components(map_groups(rows, keys, schema, lambda t, s: _loose(t, s, least), at_once=50_000)))
 
     members = cut(loose.join(nodes, "node").select("node", F.col("component").alias("bucket"), F.col("m.r").alias("_row"), F.col("print").alias("head")))
     sets = cut(_shingle_sets(_having(texts, members.select("_row")), shingle).dropDuplicates(["_row"]))
     groups = split_large(members.join(sets, "_row").drop("_row"), "bucket", "node", bucket_limit)
-    strict = map_groups(groups, keys, schema, lambda t, s: _verified(t, s, least), at_once=20_000)
+    strict = map_groups(groups, keys, schema, lambda t, s: _verified(t, s, least), at_once=5_000)
     parts = connected_components(strict)
 
     named = nodes.join(parts, "node", "left").select("m", F.coalesce("component", "node").alias("component"))
