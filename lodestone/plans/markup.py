@@ -77,7 +77,7 @@ def queue_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queue_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = articles(spark, sf_dir)
     narrow = L.with_redirects(pages).select("title", "revision_id", "is_redirect")
-    items = pages.filter("page_id % 50 = 0").selectExpr("page_id % 3 AS job_id", "title", "'queued' AS status", "CAST(2 AS BIGINT) AS hops_remaining", "0 AS force")
+    items = pages.selectExpr("page_id % 3 AS job_id", "title", "'queued' AS status", "CAST(2 AS BIGINT) AS hops_remaining", "0 AS force")
     return Q.drain(items, narrow, embedded(spark, sf_dir), L.edges(pages), 2)
 
 

@@ -22,3 +22,9 @@ def test_entry_and_names(spark):
 
     assert 0 < e.entry(spark).count() <= 10
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_queue_takes_all_pages(spark, sf_dir):
+    asked = catalog.QUERIES["queue_states"](spark, sf_dir).select("title")
+    drained = catalog.QUERIES["queue_drain"](spark, sf_dir).select("title")
+    assert asked.join(drained, "title", "left_anti").count() == 0
