@@ -33,7 +33,7 @@ BASE_PHRASES = [
 ]
 
 #: A text without any of these has no detection; each rule needs one of them besides its own keyword.
-KEYWORDS = ["licen", "copyright", "rights reserved", "public domain", "creative commons", "cc by", "cc0", "spdx", "copyleft", "proprietary", "all wrongs"]
+KEYWORDS = ["licen", "copyright", "rights reserved", "public domain", "creative commons", "cc by", "cc0", "spdx", "copyleft", "proprietary", "all wrongs", "rights are reserved", "bsd 2 clause", "bsd 3 clause", "permission", "redistribution"]
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ _FAMILIES = [
     ("lgpl", "library", "gnu library general public licen[cs]e", [("2", "2.0")]),
     ("gfdl", "documentation", "(?:gnu )?free documentation licen[cs]e", [("1 3", "1.3"), ("1 2", "1.2"), ("1 1", "1.1")]),
     ("gpl", "general public", "(?:gnu )?general public licen[cs]e", [("3", "3.0"), ("2", "2.0"), ("1", "1.0")]),
-    ("mit", "mit", "(?:the )?(?:mit|expat|x11) licen[cs]e", []),
+    ("mit", "mit|expat|x11", "(?:the )?(?:mit|expat|x11) licen[cs]e", []),
     ("bsd", "bsd", "(?:new |modified |simplified |revised )?bsd(?: style)? licen[cs]e", []),
     ("bsd-2-clause", "bsd", "bsd 2 clause(?: licen[cs]e)?", []),
     ("bsd-3-clause", "bsd", "bsd 3 clause(?: licen[cs]e)?", []),
@@ -99,7 +99,7 @@ _CC_VERSIONS = ["4 0", "3 0", "2 5", "2 0", "1 0"]
 _GRANT = "(?:licen[cs]ed|released|distributed|available|published|provided|redistributed|covered|made available)(?: to you)?(?: only)? under(?: the)?(?: terms(?: and conditions)? of)?(?: the| an?)?(?: following)?"
 
 _PLAIN = [
-    ("all-rights-reserved", "rights reserved", "all rights (?:are )?reserved", 0.9),
+    ("all-rights-reserved", "rights reserved|rights are reserved", "all rights (?:are )?reserved", 0.9),
     ("some-rights-reserved", "rights reserved", "some rights reserved", 0.8),
     ("no-rights-reserved", "rights reserved", "no rights reserved", 0.8),
     ("copyright", "copyright", "copyright (?:c )?(?:[12][0-9]{3})(?: [12][0-9]{3})*", 0.7),
@@ -109,9 +109,9 @@ _PLAIN = [
     ("proprietary", "licen", "not (?:be )?(?:copied|reproduced|redistributed|distributed)(?: \\S+){0,6} licen[cs]e", 0.7),
     ("public-domain", "public domain", "(?:in|into|to) the public domain", 0.9),
     ("public-domain", "public domain", "public domain (?:dedication|mark|work)", 0.9),
-    ("mit", "copyright", "permission is hereby granted free of charge to any person obtaining a copy", 1.0),
-    ("bsd", "copyright", "redistribution and use in source and binary forms with or without modification", 1.0),
-    ("isc", "copyright", "permission to use copy modify and or distribute this software for any purpose", 1.0),
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 1.0),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 1.0),
+    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 1.0),
     ("gpl", "licen", "either version [123] of the licen[cs]e or (?:at your option )?any later version", 0.9),
     ("copyleft", "copyleft", "copyleft", 0.5),
     ("generic", "licen", "(?:see|refer to)(?: the)? licen[cs]e(?: file)?", 0.4),
