@@ -19,7 +19,10 @@ an output column.
 from __future__ import annotations
 
 import base64
+import sys
 import threading
+from array import array
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,12 +30,21 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from lodestone.cluster import ship
 from lodestone.llm.common import map_batches
 
 NONE = -1
 
 
+def _packed(ids: list[int]) -> bytes:
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class Vocabulary:
     """The tokens of a rank file; enough to decode."""
 
@@ -53,7 +65,7 @@ class Codec(Vocabulary):
         self.split_text = regex.compile(pattern).findall
         self.memo_size, self.memo_bytes = memo_size, memo_bytes
         self.memo: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self._learn_merges()
 
     def _learn_merges(self) -> None:
@@ -90,8 +102,14 @@ class Codec(Vocabulary):
             )
         automaton.make_automaton()
         self.automaton = automaton
-        self.known = {token.decode("latin-1"): rank for token, rank in reachable.items()}
         self.lengths = {rank: len(token) for token, rank in reachable.items()}
+        # every state of the automaton by its letters: the longest token among their beginnings
+        self.best: dict[str, int] = {}
+        for token in reachable:
+            for n in range(1, len(token) + 1):
+                begin = token[:n]
+                rank = reachable.get(begin, NONE)
+                self.best[begin.decode("latin-1")] = rank if rank != NONE else self.best.get(begin[:-1].decode("latin-1"), NONE)
         self.widest = max(self.lengths.values(), default=1)
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -119,52 +137,53 @@ class Codec(Vocabulary):
                         return True
 
     def _adjacent(self, left: int, right: int) -> bool:
-        pair = (left, right)
+        """`_compatible`, remembered under both ranks in one number."""
+        pair = left << 32 | right
         known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) >= 2_000_000:
+            if len(self.fits) >= self.memo_size:
                 self.fits.clear()
             known = self.fits[pair] = self._compatible(left, right)
         return known
 
-    def _longest(self, window: str) -> int:
-        """The longest token that `window` starts with; the automaton's trie bounds its length."""
-        known = self.known
-        for n in range(self.automaton.longest_prefix(window), 0, -1):
-            rank = known.get(window[:n], NONE)
-            if rank != NONE:
-                return rank
-        return NONE
+    def forget(self) -> None:
+        """Free what was remembered, so that a worker that is kept for other work stays small."""
+        self.memo.clear()
+        self.fits.clear()
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         letters, size, widest = piece.decode("latin-1"), len(piece), self.widest
-        longest, lengths, shorter, fits = self._longest, self.lengths, self.shorter, self.fits
+        reach, best, lengths, shorter, fits = self.automaton.longest_prefix, self.best, self.lengths, self.shorter, self.fits
         open_at = bytearray(b"\x01") * (size + 1)
         ids: list[int] = []
-        at, last, candidate = 0, NONE, longest(letters[:widest])
+        at, last = 0, NONE
+        window = letters[:widest]
+        candidate = best.get(window[: reach(window)], NONE)
         while at < size:
             while candidate != NONE:
                 end = at + lengths[candidate]
                 if open_at[end]:
                     if last == NONE:
                         break
-                    fit = fits.get((last, candidate))
+                    fit = fits.get(last << 32 | candidate)
                     if self._adjacent(last, candidate) if fit is None else fit:
                         break
                 candidate = shorter[candidate]
             if candidate != NONE:
                 ids.append(candidate)
                 at, last = end, candidate
-                candidate = longest(letters[at : at + widest])
+                window = letters[at : at + widest]
+                candidate = best.get(window[: reach(window)], NONE)
             elif last == NONE:
                 raise ValueError("the vocabulary cannot spell these bytes")
             else:
                 open_at[at] = 0
                 candidate = ids.pop()
                 at -= lengths[candidate]
+                candidate = shorter[candidate]
                 last = ids[-1] if ids else NONE
         return ids
 
@@ -175,7 +194,7 @@ class Codec(Vocabulary):
             packed = memo.get(piece)
             if packed is None:
                 raw = piece.encode("utf-8", "surrogatepass")
-                packed = np.array(self.encode_piece(raw), dtype="<u4").tobytes()
+                packed = _packed(self.encode_piece(raw))
                 if len(raw) <= self.memo_bytes:
                     if len(memo) >= self.memo_size:
                         memo.clear()
@@ -206,19 +225,31 @@ def _shared_ranks(df: DataFrame, rank_path: str):
     return df.sparkSession.sparkContext.broadcast(content)
 
 
-def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids binary): the ids of each text, packed as little-endian unsigned 32-bit integers."""
+def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """(key, ids binary): the ids of each text, packed as little-endian unsigned 32-bit integers.
+
+    With `decoded` a column of that name has the bytes that the ids stand for, looked up
+    in the same pass, so that a task keeps one Python worker and not two.
+    """
     ranks = _shared_ranks(df, rank_path)
+    kind = df.schema[key].dataType.simpleString()
+    target = StructType.fromDDL(f"`{key}` {kind}, ids binary" + ", decoded binary" * decoded)
+    names = target.names
+    ship(df.sparkSession)
 
-    def rows(batch: pa.RecordBatch) -> dict[str, object]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
-        return {
-            key: batch.column(0),
-            "ids": pa.array([codec.encode_packed(t or "") for t in batch.column(1).to_pylist()], type=pa.binary()),
-        }
-
-    kind = df.schema[key].dataType.simpleString()
-    return map_batches(df.select(key, text), f"{key} {kind}, ids binary", rows)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    ids = [codec.encode_packed(t or "") for t in part.column(1).to_pylist()]
+                    columns = [ids, [codec.decode_packed(p) for p in ids]] if decoded else [ids]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, type=pa.binary()) for c in columns)], names=names)
+        finally:
+            codec.forget()
+
+    return df.select(key, text).mapInArrow(run, target)
 
 
 def decode(df: DataFrame, rank_path: str, ids: str = "ids") -> DataFrame:

@@ -142,7 +142,7 @@ class Classifier:
             hit = memo.get(word)
             if hit is None:
                 hit = tuple(self.features[f] for f in features_of(word) if f in self.features)
-                if len(memo) >= 200_000:
+                if len(memo) >= 100_000:
                     memo.clear()
                 memo[word] = hit
             if hit:

@@ -60,4 +60,7 @@ def test_awkward_rows(spark, wanted):
     texts = sorted((r.text or "") for r in df.collect())
     assert sorted(bytes(r.decoded).decode() for r in rows) == texts
     assert sorted(r.n for r in rows) == sorted(wanted(t) for t in texts)
+    both = bpe.encode(df, PATH, public_tokenizers.PATTERN, decoded=True)
+    key = lambda r: (r.doc_id or 0, bytes(r.ids), bytes(r.decoded))
+    assert sorted(map(key, both.collect())) == sorted(map(key, out.collect()))
     assert bpe.encode(empty(spark), PATH, public_tokenizers.PATTERN).count() == 0

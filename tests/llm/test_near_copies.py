@@ -132,15 +132,15 @@ def test_decoding_gives_the_highest_filters():
 
 
 def test_random_vectors_seldom_meet(spark):
-    """The filters grow with the vectors: strangers that meet stay few for each vector at ten times the rows."""
+    """The filters grow with the vectors: as many strangers meet for each vector at ten times the rows."""
     rng = np.random.default_rng(3)
     met = []
-    for n in (1_000, 10_000):
+    for n in (4_096, 40_960):
         x = rng.standard_normal((n, 64))
         names = capfilter.ProductCode(64, capfilter.codewords_for(n), 4).decode(x / np.linalg.norm(x, axis=1, keepdims=True), 6)
         count = np.unique(names, return_counts=True)[1]
         met.append((count * (count - 1)).sum() / n)
-    assert met[1] < 2 * met[0] + 1 and met[1] < 20
+    assert met[1] < 1.5 * met[0] and met[1] < 20
 
 
 def test_contents_that_share_a_hash(spark):
