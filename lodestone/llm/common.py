@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a temporary one only where that is unset."""
+    """The folder of `spark.checkpoint.dir`; where that is unset a temporary one in local mode, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -65,6 +67,43 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then(value)` with `value` computed once, however often `then` mentions it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def before_each(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """array<bigint>: `combine` of zero and all elements before each one, for an associative `combine`.
+
+    Elements are taken in blocks of the root of their number: arrays grown inside a block
+    stay short, so n elements cost n ** 1.5 copies of a number and not n ** 2.
+    """
+    longs = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), longs.alias("out"))
+
+    def scan(xs: Column, value: Callable[[Column], Column]) -> Column:
+        step = lambda s, x: F.struct(combine(s["at"], value(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(xs, start, step)
+
+    def whole(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: scan(F.slice(v, b * width + 1, width), lambda x: x.cast("bigint"))
+        )
+        joined = lambda bs: F.zip_with(bs, scan(bs, lambda b: b["at"])["out"], lambda b, st: F.transform(b["out"], lambda o: combine(st, o)))
+        return F.when(F.size(v) > 0, F.flatten(bound(blocks, joined))).otherwise(longs)
+
+    return bound(values, whole)
+
+
+def sums_before(values: Column) -> Column:
+    return before_each(values, lambda a, b: a + b)
+
+
+def highest_before(values: Column) -> Column:
+    return before_each(values, lambda a, b: F.greatest(a, b))
+
+
 def remainder(column: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null stays null."""
     return F.crc32(column.cast("string").cast("binary")) % n

@@ -17,18 +17,18 @@ unknown); none is left out. What comes to the driver is presence
 tables, of one size whatever the text's length, and the languages' counts.
 Every document is then scored over its whole text.
 
-Defined results: a null text, or one without a letter, is `und` with score 0; rows
+Defined results: a null text, or one without a letter (Unicode category L), is `und` with score 0; rows
 whose lang is null, or whose id is null, are not learned from; without any training
 row all are `und`; each row gives one row, repeated rows included.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ from lodestone.llm.common import map_batches, one_text
 #: n-gram length -> entries of its table
 TABLES = {1: 1 << 10, 2: 1 << 12, 3: 1 << 14}
 WIDTH = sum(TABLES.values())
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def presence(texts: list[str]) -> np.ndarray:

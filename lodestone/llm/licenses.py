@@ -3,10 +3,11 @@
 A text becomes its words joined by single spaces. A document that holds none of the
 `KEYWORDS` goes no further. Otherwise each rule whose own keyword occurs is searched,
 and every place it matches is a detection (first word, end word, label, priority,
-confidence). Overlaps are resolved by interval containment: of detections ordered by
-start, longer first, then by priority, one that lies within a detection kept before it
-is suppressed. The four base phrases are counted apart from that, so all their places
-count and their labels always stay.
+confidence). Overlaps are resolved by interval containment and priority: of detections
+ordered by start, longer first, then by priority, one that lies within another is
+suppressed; of neighbours that are left and overlap in part, the one of better priority
+stays. The four base phrases are counted apart from that, so all their places count and
+their labels always stay.
 
 Defined results: a null text is the empty text with no words; a document without a
 detection has no labels ('' and score 0); each row gives one row, repeated rows
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, text_or_empty
+from lodestone.llm.common import ascii_lower, bound, highest_before, sums_before, text_or_empty
 
 #: What separates words, and the base phrases with their labels.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -154,6 +155,24 @@ def _spaces_in(column: Column) -> Column:
     return (F.char_length(column) - F.char_length(F.replace(column, F.lit(" "), F.lit("")))).cast("long")
 
 
+def _outer(found: Column) -> Column:
+    """Detections in order, without those that lie within one before them: none of those ends later."""
+    with_end = F.zip_with(found, highest_before(F.transform(found, lambda d: -d["minus_end"])), lambda d, e: F.struct(d.alias("d"), e.alias("e")))
+    return F.transform(F.filter(with_end, lambda x: -x["d"]["minus_end"] > x["e"]), lambda x: x["d"])
+
+
+def _settled(found: Column) -> Column:
+    """Of neighbours that overlap in part, the one of better priority."""
+
+    def better(d: Column, other: Column) -> Column:
+        overlap = (other["first_word"] < -d["minus_end"]) & (d["first_word"] < -other["minus_end"])
+        return other.isNull() | ~overlap | (d["priority"] < other["priority"]) | ((d["priority"] == other["priority"]) & (d["first_word"] < other["first_word"]))
+
+    # element_at counts from 1, and an index beyond either end gives null
+    neighbour = lambda i: F.when(i >= 1, F.try_element_at(found, i))
+    return F.filter(found, lambda d, i: better(d, neighbour(i)) & better(d, neighbour(i + 2)))
+
+
 def whole_words(pattern: str) -> str:
     return f"(?<![^ ])(?:{pattern})(?![^ ])"
 
@@ -187,6 +206,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     for word in KEYWORDS:
         gate = gate | F.col("_words").contains(word)
     kind = "array<struct<first_word:bigint,end_word:bigint,label:string,priority:int,confidence:double>>"
+    ordered_kind = "array<struct<first_word:bigint,minus_end:bigint,priority:int,label:string,confidence:double>>"
     # one literal for all rules: thousands of small ones would take longer to plan than to run
     rows = [
         {"keywords": r.keyword.split("|"), "pattern": whole_words(r.pattern), "label": r.label, "priority": i, "confidence": r.confidence}
@@ -198,48 +218,32 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     def places(rule: Column) -> Column:
         """Every match of a rule, its words counted up to it and through it."""
         found = F.regexp_extract_all(F.col("_words"), rule["pattern"], F.lit(0))
-        steps = F.arrays_zip(F.split(F.col("_words"), rule["pattern"], -1).alias("gap"), found.alias("hit"))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
-
-        def step(done: Column, x: Column) -> Column:
-            first = done["at"] + _spaces_in(x["gap"])
-            end = first + _spaces_in(x["hit"])
-            one = F.struct(
-                first.alias("first_word"), (end + 1).alias("end_word"), rule["label"].alias("label"),
-                rule["priority"].alias("priority"), rule["confidence"].alias("confidence"),
-            )
-            return F.when(
-                x["hit"].isNotNull(), F.struct(end.alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
-            ).otherwise(done)
-
-        return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda done: done["out"])).otherwise(
-            F.array().cast(kind)
-        )
 
-    wanted = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.col("_words").contains(k)))
-    found = F.flatten(F.transform(wanted, places))
-    ordered = F.array_sort(
-        F.transform(
-            found,
-            lambda d: F.struct(
-                d["first_word"].alias("first_word"), (-d["end_word"]).alias("minus_end"), d["priority"].alias("priority"),
-                d["label"].alias("label"), d["confidence"].alias("confidence"),
-            ),
-        )
-    )
+        def counted(hits: Column) -> Column:
+            gaps = F.slice(F.split(F.col("_words"), rule["pattern"], -1), F.lit(1), F.size(hits))
+            pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(_spaces_in(g).alias("gap"), _spaces_in(h).alias("hit")))
 
-    def keep_outer(done: Column, d: Column) -> Column:
-        end = -d["minus_end"]
-        one = F.struct(
-            d["first_word"].alias("first_word"), end.alias("end_word"), d["label"].alias("label"),
-            d["priority"].alias("priority"), d["confidence"].alias("confidence"),
-        )
-        return F.when(
-            end > done["end"], F.struct(end.alias("end"), F.concat(done["out"], F.array(one)).alias("out"))
-        ).otherwise(done)
+            def one(x: Column, at: Column) -> Column:
+                first = at + x["gap"]
+                return F.struct(
+                    first.alias("first_word"), (-(first + x["hit"] + 1)).alias("minus_end"), rule["priority"].alias("priority"),
+                    rule["label"].alias("label"), rule["confidence"].alias("confidence"),
+                )
+
+            placed = lambda ps: F.zip_with(ps, sums_before(F.transform(ps, lambda x: x["gap"] + x["hit"])), one)
+            return F.when(F.size(hits) > 0, bound(pairs, placed)).otherwise(F.array().cast(ordered_kind))
+
+        return bound(found, counted)
 
-    begin = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast(kind).alias("out"))
-    kept = F.aggregate(ordered, begin, keep_outer, lambda done: done["out"])
+    wanted = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.col("_words").contains(k)))
+    ordered = F.array_sort(F.flatten(F.transform(wanted, places)))
+    kept = F.transform(
+        bound(bound(ordered, _outer), _settled),
+        lambda d: F.struct(
+            d["first_word"].alias("first_word"), (-d["minus_end"]).alias("end_word"), d["label"].alias("label"),
+            d["priority"].alias("priority"), d["confidence"].alias("confidence"),
+        ),
+    )
     df = df.select(
         *keep,
         _words_in(F.col("_words")).alias("n_words"),

@@ -9,13 +9,14 @@ uniformity over the encoding's alphabet, a runs test of characters above and bel
 the alphabet's middle, and the lag-one serial correlation of their places in it. A
 candidate that any of the three rejects at `random_level` is no secret.
 
-Could it be ordinary text? Chi-squared uniformity against letters of a language (a
-noncentral distribution that moves away with the length), and the number of changes
-between lower case, upper case, digits and signs, which ordinary words hardly have.
-The two are combined by Fisher's method into a p-value. Long candidates give far
-smaller p-values than short ones, so false discoveries are controlled by
-Benjamini-Hochberg within each octave of lengths, over the candidates of all
-documents: a first pass counts p-values in bins, a second applies the thresholds.
+Could it be ordinary text? The same three, against what text is like: chi-squared
+uniformity against letters of a language (a noncentral distribution that moves away with
+the length), runs of lower case, upper case, digits and signs, which ordinary words
+hardly have, and how far neighbours lie apart in the alphabet. The three are combined by
+Fisher's method into a p-value. Long candidates give far smaller p-values than short
+ones, so false discoveries are controlled by Benjamini-Hochberg within each octave of
+lengths, over the candidates of all documents that the first question leaves: a first
+pass counts p-values in bins, a second applies the thresholds.
 
 A random span is left out where a base span overlaps it, so base spans always stay.
 Spans are (kind, start, end) in code points, the end exclusive.
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_or_empty
+from lodestone.llm.common import bound, highest_before, sums_before, text_or_empty
 
 #: The base kinds in order, what gates each, its pattern and the least length of its secret.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -53,27 +54,26 @@ ENCODINGS = [
     ("^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 ]
-#: Sum of squared letter shares in running text, and the share of neighbours of different classes there.
-TEXT_COINCIDENCE, TEXT_CHANGES = 0.068, 0.06
+#: Running text: sum of squared letter shares, share of neighbours of different classes, and how many letters
+#: of the alphabet lie between neighbours, with its deviation.
+TEXT_COINCIDENCE, TEXT_CHANGES, TEXT_STEP, TEXT_STEP_SPREAD = 0.068, 0.06, 7.9, 5.7
 BINS_PER_UNIT, LAST_BIN = 20, 4000
 
 
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """All leftmost non-overlapping matches as (start, end, kind, text)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+    gaps = F.split(text, pattern, -1)
+    paired = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda h, g: F.struct(F.char_length(g).alias("gap"), F.char_length(h).alias("size"), h.alias("text")))
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        one = F.struct(
-            start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("text")
-        )
-        longer = F.struct(end.alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
-        return F.when(x["hit"].isNotNull(), longer).otherwise(done)
+    def placed(pairs: Column) -> Column:
+        def one(x: Column, at: Column) -> Column:
+            start = at + x["gap"]
+            return F.struct(start.alias("start"), (start + x["size"]).alias("end"), F.lit(kind).alias("kind"), x["text"].alias("text"))
 
-    return F.aggregate(steps, begin, step, lambda done: done["out"])
+        return F.zip_with(pairs, sums_before(F.transform(pairs, lambda x: x["gap"] + x["size"])), one)
+
+    return bound(paired, placed)
 
 
 def _where(gate: Column, spans: Column) -> Column:
@@ -151,9 +151,11 @@ def _judged(span: Column, v: Column) -> Column:
     text_chi = _normal_below((chi2 - (k - 1 + away)) / F.sqrt(2 * (k - 1 + 2 * away)))
     expected = TEXT_CHANGES * (n - 1)
     text_changes = 1 - _normal_below((v["blocks"] - 1 - 0.5 - expected) / F.sqrt(expected * (1 - TEXT_CHANGES)))
+    steps = add(F.zip_with(x, later(x), lambda a, b: F.coalesce(F.abs(a - b), F.lit(0.0))), lambda y: y) / (n - 1)
+    text_steps = 1 - _normal_below((steps - TEXT_STEP) / TEXT_STEP_SPREAD * F.sqrt(n - 1))
     tiny = F.lit(1e-60)
-    statistic = -F.log(F.greatest(text_chi, tiny)) - F.log(F.greatest(text_changes, tiny))
-    minus_log = statistic - F.log(1 + statistic)  # Fisher's method for two p-values
+    statistic = -F.log(F.greatest(text_chi, tiny)) - F.log(F.greatest(text_changes, tiny)) - F.log(F.greatest(text_steps, tiny))
+    minus_log = statistic - F.log(1 + statistic + statistic * statistic / 2)  # Fisher's method for three p-values
     return F.struct(
         span["start"].alias("start"),
         span["end"].alias("end"),
@@ -169,13 +171,13 @@ def candidates(text: Column) -> Column:
     return F.transform(spans, _tested)
 
 
-def thresholds(df: DataFrame, text: str = "text", rate: float = 0.01) -> dict[int, int]:
-    """octave -> the least bin of -log p that Benjamini-Hochberg accepts at `rate` among its candidates.
+def thresholds(df: DataFrame, text: str = "text", rate: float = 0.01, random_level: float = 1e-4) -> dict[int, int]:
+    """octave -> the least bin of -log p that Benjamini-Hochberg accepts at `rate` among its candidates that may be random.
 
     The counts of all documents' candidates come to the driver by octave and bin, at
     most 4,001 bins for each of some 30 octaves, whatever the size of the input.
     """
-    found = df.select(F.explode(candidates(text_or_empty(text))).alias("c"))
+    found = df.select(F.explode(candidates(text_or_empty(text))).alias("c")).filter(F.col("c.random_p") >= random_level)
     counts = found.groupBy("c.octave", "c.bin").agg(F.count("*").alias("n")).collect()
     out: dict[int, int] = {}
     for octave in {r.octave for r in counts}:
@@ -188,27 +190,45 @@ def thresholds(df: DataFrame, text: str = "text", rate: float = 0.01) -> dict[in
     return out
 
 
+def _apart(base: Column, added: Column) -> Column:
+    """`base` and those of `added` (start, kind, end) that overlap none of it, by start and then kind.
+
+    All are put in order of their starts; a span is free if no base span before it ends
+    beyond its start and the next base span does not start before its end.
+    """
+
+    def choose(every: Column) -> Column:
+        own = lambda s, value, other: F.when(s["kind"] < len(KINDS) - 1, value).otherwise(other)
+        ends = highest_before(F.transform(every, lambda s: own(s, s["end"], F.lit(0))))
+        # the least start after each, as the highest of the negative ones, from the back
+        far = 1 << 60
+        starts = F.reverse(highest_before(F.transform(F.reverse(every), lambda s: own(s, far - s["start"], F.lit(0)))))
+        marked = F.zip_with(F.zip_with(every, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), starts, lambda x, n: F.struct(x["s"].alias("s"), x["e"].alias("e"), (far - n).alias("n")))
+        kept = F.filter(marked, lambda x: own(x["s"], F.lit(True), (x["e"] <= x["s"]["start"]) & (x["n"] >= x["s"]["end"])))
+        return F.transform(kept, lambda x: x["s"])
+
+    return F.when(F.size(added) == 0, base).otherwise(bound(F.array_sort(F.concat(base, added)), choose))
+
+
 def find(
     df: DataFrame, text: str = "text", rate: float = 0.01, random_level: float = 1e-4, base: str = "base_spans", spans: str = "spans"
 ) -> DataFrame:
-    """`df` with the arrays `base` and `spans` of (start, end, kind), all spans sorted by start and then kind."""
-    accepted = thresholds(df, text, rate)
-    value = text_or_empty(text)
+    """`df` with the arrays `base` and `spans` of (start, kind, end), all spans sorted by start and then kind."""
+    accepted = thresholds(df, text, rate, random_level)
     by_octave = F.create_map(*(F.lit(x) for pair in accepted.items() for x in pair)) if accepted else None
-    short = lambda xs: F.array_sort(
-        F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    )
-    kept = [c for c in df.columns if c not in (base, spans)]
-    out = df.select(*kept, short(base_spans(value)).alias("_base"), (candidates(value) if by_octave is not None else F.array()).alias("_more"))
+    short = lambda xs: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    value = F.coalesce(F.col(f"_row.`{text}`"), F.lit(""))
+    # the row is one column from here on, so its columns may have any names
+    out = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+    out = out.withColumn("_base", F.array_sort(short(base_spans(value))))
     if by_octave is None:
-        return out.select(*kept, F.col("_base").alias(base), F.col("_base").alias(spans))
-    good = lambda c: (c["random_p"] >= random_level) & (c["bin"] >= F.coalesce(F.try_element_at(by_octave, c["octave"]), F.lit(LAST_BIN + 1)))
-    apart = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    added = F.transform(
-        F.filter("_more", lambda c: good(c) & apart(c)),
-        lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
-    )
-    return out.select(*kept, F.col("_base").alias(base), F.array_sort(F.concat("_base", added)).alias(spans))
+        out = out.withColumn("_all", F.col("_base"))
+    else:
+        good = lambda c: (c["random_p"] >= random_level) & (c["bin"] >= F.coalesce(F.try_element_at(by_octave, c["octave"]), F.lit(LAST_BIN + 1)))
+        added = F.transform(F.filter(candidates(value), good), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+        out = out.withColumn("_more", added).withColumn("_all", _apart(F.col("_base"), F.col("_more")))
+    kept = [F.col(f"_row.`{c}`") for c in df.columns if c not in (base, spans)]
+    return out.select(*kept, F.col("_base").alias(base), F.col("_all").alias(spans))
 
 
 def named(spans: Column) -> Column:
@@ -219,17 +239,25 @@ def named(spans: Column) -> Column:
     )
 
 
-def redact(df: DataFrame, text: str = "text", spans: str = "spans", mask: str = "[SECRET]") -> DataFrame:
-    """`df` with every span of `text` replaced by `mask`; spans that overlap become one."""
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+def redact(df: DataFrame, text: str = "text", spans: str = "spans", mask: str = "[SECRET]", piece: int = 1024) -> DataFrame:
+    """`df` with every span of `text` replaced by `mask`; spans that overlap become one.
 
-    def step(done: Column, s: Column) -> Column:
-        between = F.substring(F.col(text), (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
-        new = F.struct(s["end"].alias("at"), F.concat(done["out"], between, F.lit(mask)).alias("out"))
-        grown = F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out"))
-        return F.when(s["start"] >= done["at"], new).otherwise(grown)
+    The text is cut once into pieces of `piece` characters, so that what stands between
+    two spans is taken from the pieces at hand and not counted off from the text's start.
+    """
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
 
-    rest = lambda done: F.concat(
-        done["out"], F.substring(F.col(text), (done["at"] + 1).cast("int"), F.char_length(text))
-    )
-    return df.withColumn(text, F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, rest)).otherwise(F.col(text)))
+    def between(cut: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / piece).cast("int")
+        near = F.array_join(F.slice(cut, first + 1, F.floor(end / piece).cast("int") - first + 1), "")
+        return F.substring(near, (start % piece + 1).cast("int"), (end - start).cast("int"))
+
+    def masked(cut: Column) -> Column:
+        def one(s: Column, at: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(between(cut, at, s["start"]), F.lit(mask))).otherwise("")
+
+        parts = F.zip_with(F.col(spans), highest_before(F.transform(F.col(spans), lambda s: s["end"])), one)
+        rest = between(cut, F.array_max(F.transform(F.col(spans), lambda s: s["end"])), F.char_length(text).cast("bigint"))
+        return F.concat(F.array_join(parts, ""), rest)
+
+    return df.withColumn(text, F.when(F.size(spans) > 0, bound(pieces, masked)).otherwise(F.col(text)))

@@ -1,6 +1,7 @@
 """Sharding by proportional stratified interleaving, in DataFrame operations only.
 
-Rows are shuffled within their source by a seeded hash and ranked there; the
+Rows are shuffled within their source by a seeded hash of id and extra columns (size and
+checksum, so that rows of one id or of none are spread too) and ranked there; the
 fractional rank (rank - 1/2) / (rows of the source) spreads each source evenly over
 [0, 1). All rows are then ordered by fractional rank and cut into runs whose sizes
 differ by at most one, so each shard holds every source in proportion.
@@ -55,7 +56,7 @@ def interleave(
     extra = extra or {}
     n_rows = df.count()
     bits = _bucket_bits(n_rows, rows_per_bucket)
-    shuffled = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 1)
+    shuffled = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), *extra.values()), 1)
     base = df.select(
         F.col(key).alias("_key"),
         F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null")).alias("_stratum"),

@@ -10,7 +10,8 @@ patterns, votes of few or no such words for the other side, and the label of the
 itself as one voter among them, which may err. Each votes toxic, clean or abstains.
 The label model estimates each voter's rates of either vote in either class by
 expectation maximisation, and the correlations of voters given the class; voters that
-say the same get less weight, so that a word and its beginning don't count twice.
+say the same get less weight, so that a word and its beginning don't count twice. The
+labels are where it starts from; after that the annotator is a voter like the others.
 
 The posteriors are soft labels for a logistic regression on the kept features and
 their number. It alone scores a document: labels, language, source and id are no
@@ -75,50 +76,64 @@ def hand_votes(text: str, words: set[str]) -> list[int]:
 
 @dataclass
 class LabelModel:
-    """Votes are 1, 0 or -1 (abstains). Rates [voters, 2 classes, 3 votes], prior of toxic, and weights for correlated voters."""
+    """Votes are 1, 0 or -1 (abstains). Rates [voters, 2 classes, 3 votes], log odds of toxic before any vote, and weights for correlated voters."""
 
     rates: np.ndarray
-    prior: float
+    bias: float
     weights: np.ndarray
     correlations: np.ndarray = field(repr=False)
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def evidence(self, votes: np.ndarray) -> np.ndarray:
         ratio = np.log(self.rates[:, 1]) - np.log(self.rates[:, 0])  # [voters, 3]
         ratio[:, 0] = 0.0  # who abstains says nothing: most voters know one language only
-        said = np.take_along_axis(ratio[None], (votes + 1)[:, :, None], axis=2)[:, :, 0]
-        z = said @ self.weights + np.log(self.prior) - np.log1p(-self.prior)
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return np.take_along_axis(ratio[None], (votes + 1)[:, :, None], axis=2)[:, :, 0] @ self.weights
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.evidence(votes) + self.bias)
+
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-def fit_label_model(votes: np.ndarray, anchor: np.ndarray, rounds: int = 25) -> LabelModel:
-    """Expectation maximisation from `anchor`, a first guess of the classes in [0, 1]; the last voter is the annotator.
 
-    The share of toxic rows is kept at the guess's, and each round's expectation is
-    averaged with the guess: voters that can only speak for one class would otherwise
+def _bias_for(evidence: np.ndarray, share: float) -> float:
+    """The log odds that make the mean posterior `share`, by bisection."""
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _sigmoid(evidence + middle).mean() < share else (low, middle)
+    return (low + high) / 2
+
+
+def fit_label_model(votes: np.ndarray, start: np.ndarray, share: float, rounds: int = 25) -> LabelModel:
+    """Expectation maximisation over votes [rows, voters]; the last voter is the annotator.
+
+    `start` is the first guess of the classes and nothing else: from then on the rates of
+    all voters, the annotator's too, come from the posteriors alone. The share of toxic
+    rows is held at `share`: voters that can only speak for one class would otherwise
     carry all rows over to it.
     """
-    n, k = votes.shape
     seen = np.stack([votes == v for v in (-1, 0, 1)]).astype(np.float64)  # [3, n, voters]
-    q = np.clip(anchor, 0.05, 0.95)
+    share = float(np.clip(share, 1e-3, 1 - 1e-3))
+    q = np.clip(start, 0.05, 0.95)
     model = None
     for _ in range(rounds):
-        share = np.stack([1 - q, q])  # [2, n]
-        rates = np.einsum("cn,vnk->kcv", share, seen) + 0.5
+        rates = np.einsum("cn,vnk->kcv", np.stack([1 - q, q]), seen) + 0.5
         rates /= rates.sum(axis=2, keepdims=True)
-        prior = float(np.clip(anchor.mean(), 1e-3, 1 - 1e-3))
         # correlation of "voted 1" given the class: what is left after each class's mean
-        fired = seen[2]
-        left = fired - q[:, None] * rates[None, :, 1, 2] - (1 - q)[:, None] * rates[None, :, 0, 2]
+        left = seen[2] - q[:, None] * rates[None, :, 1, 2] - (1 - q)[:, None] * rates[None, :, 0, 2]
         scale = np.sqrt((left * left).sum(axis=0)) + 1e-9
         correlations = (left.T @ left) / np.outer(scale, scale)
         np.fill_diagonal(correlations, 1.0)
         weights = 1 / np.where(correlations > 0.3, correlations, 0.0).sum(axis=1)
         weights[-1] = 1.0  # the annotator saw the text and is no copy of a word
-        model = LabelModel(rates, prior, weights, correlations)
-        new = (model.posterior(votes) + np.clip(anchor, 0.05, 0.95)) / 2
-        if np.abs(new - q).max() < 1e-4:
-            break
+        model = LabelModel(rates, 0.0, weights, correlations)
+        model.bias = _bias_for(model.evidence(votes), share)
+        new = model.posterior(votes)
+        done = np.abs(new - q).max() < 1e-4
         q = new
+        if done:
+            break
     return model
 
 
@@ -258,7 +273,7 @@ def fit(
         votes[i, -3] = 0 if n == 0 else 1 if n >= 4 else -1
         votes[i, -2] = 1 if any(r.hand) else -1
         votes[i, -1] = int(y[i])
-    model = fit_label_model(votes, y)
+    model = fit_label_model(votes, y, float(y.mean()))
     trained = fit_classifier(found, model.posterior(votes), names, strong)
     if min(everywhere.get(0, 0), everywhere.get(1, 0), n0, n1) > 0:
         # the sample holds more toxic rows than the labels do; the bias goes back to their share
