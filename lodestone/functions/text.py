@@ -9,13 +9,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The namespaces whose links are no article links. The test is case-sensitive.
 EXCLUDED_NAMESPACES = [
-    "File:", "Image:", "Media:", "Category:", "Template:", "Wikipedia:", "WP:", "Help:", "Portal:", "Special:",
-    "Talk:", "User:", "User talk:", "Template talk:", "Module:", "Draft:", "MediaWiki:", "Book:", "TimedText:", "Topic:",
+    "Category:", "File:", "Image:", "Media:", "Help:", "User:", "User talk:", "Talk:", "Wikipedia:", "WP:",
+    "Template:", "Template talk:", "Portal:", "Special:", "Module:", "MediaWiki:", "Book:", "Draft:", "TimedText:", "Education Program:",
 ]
 
-_REDIRECT = r"(?i)^\s*#\s*REDIRECT\s*\[\["
-_REDIRECT_TARGET = r"(?i)^\s*#\s*REDIRECT\s*\[\[\s*([^\]|#\n]+?)\s*(?:#[^\]|\n]*)?(?:\|[^\]\n]*)?\]\]"
-LINK_TARGET = r"\[\[([^\[\]|\n#]+)"
+#: White space is any that Unicode has, line breaks included.
+_REDIRECT = r"(?iU)^\s*#\s*REDIRECT\s*\[\["
+HEADING = r"(?m)^(={2,6})[ \t]*(.+?)[ \t]*\1[ \t]*$"
+LINK_TARGET = r"(?U)\[\[\s*([^\[\]|\n#]+)"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -27,10 +28,22 @@ def normalize_title(title: Column) -> Column:
     return F.concat(F.upper(F.substring(title, 1, 1)), F.substring(title, F.lit(2), F.char_length(title)))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def redirect_target(text: Column) -> Column:
-    """The normalised title a page redirects to; null if it is no complete redirect."""
-    found = F.trim(F.regexp_extract(text, _REDIRECT_TARGET, 1))
-    return F.nullif(normalize_title(found), F.lit(""))
+    """The normalised title a page redirects to; null if it is no complete redirect.
+
+    What stands between the opening brackets and the first closing ones is cut at its
+    label and at its section.
+    """
+    rest = F.regexp_replace(text, _REDIRECT, "")
+    closed = F.substring_index(rest, "]", 1)
+    complete = is_redirect(text) & F.startswith(F.substring(rest, F.char_length(closed) + 1, F.lit(2)), F.lit("]]"))
+    target = strip(F.substring_index(F.substring_index(closed, "|", 1), "#", 1))
+    return F.when(complete, F.nullif(normalize_title(target), F.lit("")))
 
 
 def is_redirect(text: Column) -> Column:
@@ -40,7 +53,7 @@ def is_redirect(text: Column) -> Column:
 
 def normalize_target(link: Column) -> Column:
     """A link target without its section."""
-    return normalize_title(F.trim(F.substring_index(link, "#", 1)))
+    return normalize_title(strip(F.substring_index(link, "#", 1)))
 
 
 def is_excluded(title: Column) -> Column:
@@ -53,13 +66,13 @@ def is_excluded(title: Column) -> Column:
 
 def links(text: Column, own_title: Column) -> Column:
     """Article links of a text in order of first occurrence; links to `own_title` are left out. No closing brackets needed."""
-    targets = F.transform(F.regexp_extract_all(text, F.lit(LINK_TARGET), F.lit(1)), lambda t: normalize_title(F.trim(t)))
+    targets = F.transform(F.regexp_extract_all(text, F.lit(LINK_TARGET), F.lit(1)), lambda t: normalize_title(strip(t)))
     return F.array_distinct(F.filter(targets, lambda t: ~is_excluded(t) & (t != own_title)))
 
 
 def categories(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"(?i)\[\[\s*Category\s*:\s*([^\]|]+)"), F.lit(1))
-    return F.transform(found, lambda x: F.trim(x))
+    found = F.regexp_extract_all(text, F.lit(r"(?i)\[\[Category:([^\]|]+)"), F.lit(1))
+    return F.transform(found, strip)
 
 
 def collapse_white_space(text: Column) -> Column:
@@ -113,10 +126,19 @@ def elapsed(seconds: Column) -> Column:
     )
 
 
+def from_unix(seconds: Column) -> Column:
+    """Seconds since 1970 as `YYYY-MM-DD HH:MM:SS` in UTC, whatever the session's time zone."""
+    clock = F.pmod(seconds, F.lit(86400))
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("string")
+    return F.concat_ws(" ", day, F.concat_ws(":", two(clock / 3600), two(clock % 3600 / 60), two(clock % 60)))
+
+
 def pack_paragraphs(text: Column, limit: int) -> Column:
     """A long text as parts of at most `limit` characters, paragraphs packed greedily.
 
-    A paragraph over the limit is cut hard, and its tail is a part of its own.
+    A paragraph over the limit is cut hard, and its tail is a part of its own. Paragraphs
+    that are joined lose the white space before the first.
     """
     piece = "array<string>"
     hard = lambda p: F.transform(
@@ -127,7 +149,7 @@ def pack_paragraphs(text: Column, limit: int) -> Column:
     flush = lambda a: F.when(a["open"] != "", F.concat(a["parts"], F.array(a["open"]))).otherwise(a["parts"])
 
     def step(a: Column, p: Column) -> Column:
-        joined = F.when(a["open"] == "", p).otherwise(F.concat(a["open"], F.lit("\n\n"), p))
+        joined = F.when(a["open"] == "", p).otherwise(F.regexp_replace(F.concat(a["open"], F.lit("\n\n"), p), r"(?U)^\s+", ""))
         return (
             F.when(F.char_length(p) > limit, F.struct(F.concat(flush(a), hard(p)).alias("parts"), F.lit("").alias("open")))
             .when(F.char_length(joined) <= limit, F.struct(a["parts"].alias("parts"), joined.alias("open")))
@@ -140,7 +162,7 @@ def pack_paragraphs(text: Column, limit: int) -> Column:
 
 def sections(text: Column) -> Column:
     """Array of (section, body): heading lines of two to six equal signs start a section; the lead has a null section."""
-    marked = F.regexp_replace(text, r"(?m)^(={2,6})[ \t]*(.+?)[ \t]*\1[ \t]*$", "\u0001$2\u0002")
+    marked = F.regexp_replace(text, HEADING, "\u0001$2\u0002")
     parts = F.split(marked, "\u0001")
     return F.transform(
         parts,
@@ -157,7 +179,7 @@ def strip_markup(text: Column) -> Column:
     Nested templates go innermost first, five levels deep.
     """
     out = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?is)<(ref|math|chem|ce|nowiki|gallery|syntaxhighlight)\b[^>/]*>.*?</\1\s*>|<ref\b[^>]*/>", "")
+    out = F.regexp_replace(out, r"(?is)<(gallery|graph|imagemap|score|timeline)\b[^>/]*>.*?</\1\s*>", "")
     for _ in range(5):
         out = F.regexp_replace(out, r"\{\{[^{}]*\}\}", "")
     out = F.regexp_replace(out, r"(?i)\[\[\s*(?:File|Image|Media)\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", "")
@@ -179,25 +201,3 @@ def markup_to_html(text: Column) -> Column:
     out = F.regexp_replace(out, r"\[\[([^\[\]|]+)\|([^\[\]]+)\]\]([a-z]*)", '<a href="/article/$1">$2$3</a>')
     out = F.regexp_replace(out, r"\[\[([^\[\]|]+)\]\]([a-z]*)", '<a href="/article/$1">$1$2</a>')
     return F.regexp_replace(out, r"\n{3,}", "\n\n")
-
-
-def html_to_markdown(html: Column) -> Column:
-    """Headings, paragraphs, lists, bold, italics, code and links of HTML as markdown; scripts, styles, navigation and comments go."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?is)<(script|style|nav|footer|head|button)\b[^>]*>.*?</\1\s*>", "")
-    out = F.regexp_replace(out, r"(?is)<h1\b[^>]*>.*?</h1\s*>", "")
-    for level in range(2, 7):
-        out = F.regexp_replace(out, rf"(?is)<h{level}\b[^>]*>\s*(.*?)\s*</h{level}\s*>", "\n\n" + "#" * level + " $1\n\n")
-    out = F.regexp_replace(out, r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a\s*>', "[$2]($1)")
-    out = F.regexp_replace(out, r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>", "**$1**")
-    out = F.regexp_replace(out, r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)\s*>", "*$1*")
-    out = F.regexp_replace(out, r"(?is)<code\b[^>]*>(.*?)</code\s*>", "`$1`")
-    out = F.regexp_replace(out, r"(?is)<li\b[^>]*>\s*", "\n- ")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?>", "\n")
-    out = F.regexp_replace(out, r"(?i)</?(?:p|div|article|section|ul|ol|table|tr)\b[^>]*>", "\n\n")
-    out = F.regexp_replace(out, r"<[^<>]*>", "")
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(sign))
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
-    return F.concat(F.regexp_replace(out, r"^\s+|\s+$", ""), F.lit("\n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import html as H
 from lodestone.functions import text as X
 from lodestone.operators.chunks import article_chunks, paper_chunks
 from lodestone.operators.merges import delete, embedded_state
@@ -38,7 +39,7 @@ def new_meta(meta: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def embed_papers(papers: DataFrame, html: Column, dimension: int, embed=hashed_embedding) -> tuple[DataFrame, DataFrame]:
     """(papers with status and chunk_count, their chunks with embeddings): no_html where a paper has none, embedded otherwise."""
-    read = papers.select("id", F.when(F.trim(F.coalesce(html, F.lit(""))) != "", X.html_to_markdown(html)).alias("markdown"))
+    read = papers.select("id", F.when(F.trim(F.coalesce(html, F.lit(""))) != "", H.html_to_markdown(html)).alias("markdown"))
     chunks = paper_chunks(read.filter("markdown IS NOT NULL"), "id", "markdown").withColumn("embedding", embed(F.col("text"), dimension))
     counts = chunks.groupBy("id").agg(F.count("*").alias("chunk_count"))
     status = F.when(F.col("markdown").isNull(), "no_html").otherwise("embedded")

@@ -22,21 +22,23 @@ def refresh_actions(target: DataFrame, feed: DataFrame, key: str = "page_id", re
 
 
 def refresh(target: DataFrame, feed: DataFrame, key: str = "page_id", revision: str = "revision_id", kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(new target, rows to archive). Pages absent from the feed stay; columns of `kept` survive an update; old rows of updates are archived."""
+    """(new target, rows to archive). Pages absent from the feed stay; columns of `kept` survive an update; old rows of updates are archived.
+
+    What changes is found from keys and revisions alone; rows of the target that stay are
+    only passed on, and a feed that is small against it is broadcast by its keys.
+    """
     kept = kept or []
-    new = feed.select(*(F.col(c).alias(f"_n_{c}") for c in target.columns if c in feed.columns))
-    both = target.join(new, target[key] == new[f"_n_{key}"], "full_outer")
-    known, given = F.col(key).isNotNull(), F.col(f"_n_{key}").isNotNull()
-    changed = given & (~known | ~F.coalesce(F.col(revision) == F.col(f"_n_{revision}"), F.lit(False)))
-    columns = []
-    for c in target.columns:
-        if c not in feed.columns or c in kept:
-            fresh = F.col(f"_n_{c}") if c in feed.columns else F.lit(None)
-            columns.append(F.when(known, F.col(c)).otherwise(fresh).alias(c))
-        else:
-            columns.append(F.when(changed, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c))
-    archive = both.filter(known & changed).select(*target.columns)
-    return both.select(*columns), archive
+    changed = refresh_actions(target, feed, key, revision).filter("action <> 'skip'")
+    own = [c for c in target.columns if c != key and (c in kept or c not in feed.columns)]
+    old = target.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_o_{c}") for c in own))
+    rows = changed.join(old, F.col(key) == F.col("_k"), "left") if own else changed
+    update = F.col("action") == "update"
+    fresh = lambda c: F.col(c) if c in feed.columns else F.lit(None).cast(target.schema[c].dataType)
+    columns = [F.when(update, F.col(f"_o_{c}")).otherwise(fresh(c)).alias(c) if c in own else F.col(c) for c in target.columns]
+    names = changed.select(F.col(key).alias("_k"), "action")
+    same = target[key] == F.col("_k")
+    merged = target.join(names, same, "left_anti").unionByName(rows.select(*columns))
+    return merged, target.join(names.filter("action = 'update'"), same, "left_semi")
 
 
 def paper_actions(papers: DataFrame, feed: DataFrame, key: str = "id", stamp: str = "oai_datestamp") -> DataFrame:

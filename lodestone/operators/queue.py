@@ -1,10 +1,13 @@
-"""Job queues as tables: enqueue, states, recovery, and a frontier that expands links hop by hop."""
+"""Job queues as tables: enqueue, promotion, states, cancelling, recovery, and a frontier that expands links hop by hop."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.links import resolve_redirects
+
+OPEN = ["queued", "in_progress"]
 TERMINAL = ["complete", "failed", "not_found", "skipped_redirect", "skipped_unchanged", "embedded", "no_html", "skipped"]
 
 
@@ -57,6 +60,94 @@ def drain(items: DataFrame, articles: DataFrame, meta: DataFrame, edge_table: Da
     return settle(items, articles, meta)
 
 
+def link_items(sources: DataFrame, edge_table: DataFrame, articles: DataFrame, depth: int) -> DataFrame:
+    """(job_id, title, source_title, hops_remaining, force) for `sources` (job_id, title): each itself without hops, and its link targets with `depth`.
+
+    Targets are named by the end of their redirects; those without one keep their name, so
+    that the queue can tell that they were not found.
+    """
+    first = edge_table.join(sources.select("job_id", F.col("title").alias("src")), "src")
+    named = resolve_redirects(first.select(F.col("dst").alias("title")).distinct(), articles)
+    targets = first.join(named, first["dst"] == named["title"]).select("job_id", F.coalesce("resolved", "dst").alias("title"), F.col("src").alias("source_title"))
+    own = sources.select("job_id", "title", F.col("title").alias("source_title"))
+    both = targets.filter("title <> source_title").distinct().withColumn("hops_remaining", F.lit(depth))
+    return both.unionByName(own.withColumn("hops_remaining", F.lit(0))).withColumn("force", F.lit(0))
+
+
+def finish(items: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """`items` (item_id, ..., status, chunk_count, error_message, finished_at) with `results` (item_id, status, chunk_count, error_message).
+
+    A terminal status sets `finished_at`; a chunk count is kept where the result has none.
+    """
+    new = results.select("item_id", *(F.col(c).alias(f"_{c}") for c in ("status", "chunk_count", "error_message")), F.lit(True).alias("_given"))
+    joined = items.join(new, "item_id", "left")
+    given = F.col("_given").isNotNull()
+    changed = {
+        "status": F.col("_status"),
+        "chunk_count": F.coalesce("_chunk_count", "chunk_count"),
+        "error_message": F.col("_error_message"),
+        "finished_at": F.when(~F.col("_status").isin(OPEN), now).otherwise(F.col("finished_at")),
+    }
+    return joined.select(*(F.when(given, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in items.columns))
+
+
+def promote(jobs: DataFrame, now: Column) -> DataFrame:
+    """`jobs` (job_id, corpus, status, cancel_requested, started_at): the oldest queued job of each corpus without a running one starts.
+
+    Written by `sources.publish`, it is one exchange for all corpora: a job is running
+    only in the table that readers see after the swap.
+    """
+    state = jobs.groupBy("corpus").agg(
+        F.count_if(F.col("status") == "running").alias("_running"),
+        F.min(F.when((F.col("status") == "queued") & (F.col("cancel_requested") == 0), F.col("job_id"))).alias("_next"),
+    )
+    starts = (F.col("_running") == 0) & (F.col("job_id") == F.col("_next"))
+    joined = jobs.join(state, "corpus").withColumn("_starts", F.coalesce(starts, F.lit(False)))
+    return joined.withColumns({"status": F.when(F.col("_starts"), "running").otherwise(F.col("status")), "started_at": F.when(F.col("_starts"), now).otherwise(F.col("started_at"))}).select(*jobs.columns)
+
+
+def cancel(jobs: DataFrame, items: DataFrame, job_ids: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(jobs, items) after a request to stop: queued jobs are cancelled at once, running ones carry the flag; items that wait are left out."""
+    asked = F.col("job_id").isin(job_ids)
+    flagged = jobs.withColumns({
+        "cancel_requested": F.when(asked, 1).otherwise(F.col("cancel_requested")),
+        "status": F.when(asked & (F.col("status") == "queued"), "cancelled").otherwise(F.col("status")),
+    })
+    return flagged, items.filter(~(asked & (F.col("status") == "queued")))
+
+
+def finalise(meta: DataFrame, items: DataFrame, counts: DataFrame, two_hop_counts: DataFrame) -> DataFrame:
+    """`meta` (title, links_embedded, links_embedded_2hop, n_links, n_links_2hop) after its items are done.
+
+    Source titles with an item that is done have their links embedded; those with such an
+    item that had hops left, their second hop too. Their counts (src, n_links) are taken
+    anew; a source without a row there has none left.
+    """
+    done = items.filter(~F.col("status").isin(OPEN)).groupBy(F.col("source_title").alias("title")).agg((F.max("hops_remaining") >= 1).alias("_two"))
+    one = counts.select(F.col("src").alias("title"), F.col("n_links").alias("_one"))
+    two = two_hop_counts.select(F.col("src").alias("title"), F.col("n_links").alias("_second"))
+    joined = meta.join(done, "title", "left").join(one, "title", "left").join(two, "title", "left")
+    source, second = F.col("_two").isNotNull(), F.coalesce("_two", F.lit(False))
+    return joined.select(
+        *(c for c in meta.columns if c not in ("links_embedded", "links_embedded_2hop", "n_links", "n_links_2hop")),
+        F.when(source, 1).otherwise(F.col("links_embedded")).alias("links_embedded"),
+        F.when(second, 1).otherwise(F.col("links_embedded_2hop")).alias("links_embedded_2hop"),
+        F.when(source, F.coalesce("_one", F.lit(0))).otherwise(F.col("n_links")).alias("n_links"),
+        F.when(second, F.coalesce("_second", F.lit(0))).otherwise(F.col("n_links_2hop")).alias("n_links_2hop"),
+    )
+
+
+def settle_papers(items: DataFrame, papers: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Queued papers (item_id, arxiv_id, ...) as a batch: unknown ones fail, others take the status and chunks of `results` (id, status, chunk_count)."""
+    queued = items.filter("status = 'queued'").select("item_id", F.col("arxiv_id").alias("id"))
+    known = papers.select("id", F.lit(True).alias("_known"))
+    found = queued.join(known, "id", "left").join(results, "id", "left")
+    failed = F.col("_known").isNull() | F.col("status").isNull()
+    message = F.when(F.col("_known").isNull(), "unknown paper").when(failed, "no result")
+    outcome = found.select("item_id", F.when(failed, "failed").otherwise(F.col("status")).alias("status"), "chunk_count", message.alias("error_message"))
+    return finish(items, outcome, now)
+
+
 def recover(jobs: DataFrame) -> DataFrame:
     """After a crash: running jobs have failed, queued ones stay queued."""
     return jobs.withColumn("status", F.when(F.col("status").isin("running", "in_progress"), "failed").otherwise(F.col("status")))

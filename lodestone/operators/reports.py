@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import ascii_lower
+from lodestone.functions.text import ascii_lower, first_sentence, is_redirect
 
 
 def listing(left: DataFrame, right: DataFrame, key: str, title: str, counted: str, name: str, page: int, size: int) -> DataFrame:
@@ -78,13 +78,22 @@ def exclusive_quantiles(df: DataFrame, value: Column, quantiles: list[float]) ->
 
 
 def top_share(df: DataFrame, value: Column, key: str, least: int, share: int = 10) -> DataFrame:
-    """Mean and number of the largest 1/`share` of the values, `least` of them at least: the mean needs counts of values only."""
-    counts = df.select(value.alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    total = df.count()
-    wanted = max(least, total // share)
-    before = "coalesce(sum(n) OVER (ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    taken = counts.selectExpr("x", f"least(n, greatest(0, {wanted} - {before})) AS t")
-    return taken.agg(F.round(F.sum(F.col("x") * F.col("t")) / F.sum("t"), 6).alias("mean_length"), F.sum("t").alias("n_rows"))
+    """Mean and number of the largest 1/`share` of the values, `least` of them at least.
+
+    The value at the border is a percentile of the values' counts; what lies above it is
+    summed, and as many at the border are added as are wanted.
+    """
+    counts = df.select(value.alias("x")).filter("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    wanted = min(total, max(least, df.count() // share))
+    place = (total - wanted) / (total - 1) if total > 1 else 0.0
+    border = counts.agg(F.round(F.percentile("x", F.lit(place), F.col("n"))).alias("_border"))
+    sums = counts.join(F.broadcast(border)).agg(
+        F.sum(F.when(F.col("x") > F.col("_border"), F.col("x") * F.col("n"))).alias("s"),
+        F.coalesce(F.sum(F.when(F.col("x") > F.col("_border"), F.col("n"))), F.lit(0)).alias("n"), F.first("_border").alias("b"),
+    )
+    mean = (F.coalesce("s", F.lit(0)) + (wanted - F.col("n")) * F.col("b")) / wanted
+    return sums.select(F.round(mean, 6).alias("mean_length"), F.lit(wanted).cast("long").alias("n_rows"))
 
 
 def with_any(df: DataFrame, text: str, needles: list[str]) -> DataFrame:
@@ -94,11 +103,22 @@ def with_any(df: DataFrame, text: str, needles: list[str]) -> DataFrame:
     return df.filter(hit)
 
 
+def _order(key: str, seed: str) -> Column:
+    """The first 32 bits of a digest of seed and key, as a number."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+
+
 def hashed_sample(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """A sample that depends on the keys and the seed alone, not on how the rows lie."""
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return df.filter(_order(key, str(seed)) < int(share * (1 << 32)))
+
+
+def random_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """`n` rows in an order that depends on the keys and the seed alone."""
+    return df.orderBy(_order(key, str(seed)), key).limit(n)
 
 
-def daily_pick(df: DataFrame, key: str, day: str, n: int) -> DataFrame:
-    """`n` rows that are the same all day: the first by a hash of day and key."""
-    return df.orderBy(F.xxhash64(F.lit(day), F.col(key)), key).limit(n)
+def daily_pick(df: DataFrame, key: str, text: str, day: str, n: int, least_bytes: int = 3000) -> DataFrame:
+    """`n` articles that are the same all day: of those that are long enough, no redirects and have a first sentence, the first by a digest of day and key."""
+    eligible = (F.octet_length(text) >= least_bytes) & ~is_redirect(F.col(text)) & (first_sentence(F.col(text)) != "")
+    return df.filter(eligible).orderBy(_order(key, day), key).limit(n)

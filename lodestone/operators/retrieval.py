@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -104,13 +105,12 @@ def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, key: str, k: int = 60) -
 
 
 def hybrid(
-    chunks: DataFrame, key: str, text: Column, vectors: DataFrame | None, vector: Column | None, terms: list[str],
+    found: DataFrame, key: str, vectors: DataFrame | None, vector: Column | None,
     query: list[float] | None, top_k: int = 5, candidates: int = 50, rrf_k: int = 60, sparse_order: str = "bm25",
 ) -> DataFrame:
-    """(key, score, rank): dense and sparse candidates fused; without a query vector, sparse alone."""
+    """(key, score, rank): the BM25 hits `found` (key, score) and the nearest vectors fused; without a query vector, hits alone."""
     if not 1 <= top_k <= 50:
         raise ValueError("top_k must be between 1 and 50")
-    found = bm25(chunks, key, text, terms)
     order = [F.desc("score"), key] if sparse_order == "bm25" else [key]
     sparse = ranked(found.orderBy(*order).limit(candidates), key, *order)
     if query is None or vectors is None:
@@ -122,6 +122,27 @@ def hybrid(
     return best.select(key, "score", F.row_number().over(W.orderBy(F.desc("score"), "first")).alias("rank"))
 
 
+def retrieve(
+    query: str, search: Callable[[str], DataFrame], key: str, vectors: DataFrame | None, vector: Column | None,
+    embed: Callable[[str], list[float]] | None, meta: DataFrame, top_k: int = 5, **given,
+) -> tuple[DataFrame, bool]:
+    """(hits with the columns of `meta` in order of rank, whether vectors were used) for free text; articles and papers alike.
+
+    A query of white space finds nothing. Where the embedding fails the words alone
+    decide. `search` gives (key, score) for a text, such as a search of a stored index.
+    """
+    query = query.strip()
+    point = None
+    if query and embed is not None and vectors is not None:
+        try:
+            point = embed(query)
+        except OSError:
+            point = None
+    found = search(query)
+    hits = hybrid(found, key, vectors if query else None, vector, point, top_k, **given)
+    return hits.join(meta, key).orderBy("rank"), point is not None
+
+
 def title_search(df: DataFrame, key: str, title: str, query: str, limit: int = 20) -> DataFrame:
     """(key, title, score): titles that hold `query` (three characters and more, any case) by trigram BM25; shorter ones by prefix."""
     if len(query) < 3:
@@ -145,12 +166,28 @@ def per_group(hits: DataFrame, group: str, most: int, *order: Column | str) -> D
 
 
 def hashed_embedding(text: Column, dimension: int) -> Column:
-    """A deterministic embedding that needs no model: signed counts of hashed tokens, scaled to length one."""
-    place = F.transform(T.words(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimension)).alias("p"), (F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) * 2 - 1).alias("s")))
-    zero = F.array_repeat(F.lit(0.0), dimension)
-    total = F.aggregate(place, zero, lambda a, x: F.transform(a, lambda v, i: v + F.when(i == x["p"], x["s"]).otherwise(0)))
-    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(total, lambda v: (v / norm).cast("float"))).otherwise(F.transform(total, lambda v: v.cast("float")))
+    """A deterministic embedding that needs no model: signed counts of hashed tokens, scaled to length one.
+
+    Tokens are sorted by their place first, so each is read once whatever the dimension.
+    """
+    at = F.transform(T.words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)) * 2 + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)))
+    marks = F.sequence(F.lit(0).cast("bigint"), F.lit(2 * dimension).cast("bigint"))
+    once = lambda value, then: F.transform(F.array(value), then)[0]
+
+    def starts(v: Column) -> Column:
+        """Where each number, a place and a sign, begins; every number is there once besides its tokens."""
+        begins = F.transform(v, lambda x, i: F.when((i == 0) | (x != F.get(v, i - 1)), i))
+        return F.filter(begins, lambda i: i.isNotNull())
+
+    def signed(s: Column) -> Column:
+        times = lambda k: F.get(s, k + 1) - F.get(s, k) - 1
+        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda p: (times(2 * p + 1) - times(2 * p)).cast("double"))
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return once(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+
+    return once(once(once(F.array_sort(F.concat(at, marks)), starts), signed), scaled)
 
 
 def one_dimension(df: DataFrame, vector: str, dimension: int) -> DataFrame:

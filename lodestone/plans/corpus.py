@@ -2,14 +2,52 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import index as I
+from lodestone.operators import links as L
+from lodestone.scratch import cut, shared_folder
+
+_built: dict[tuple[str, str, str], object] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _once(spark: SparkSession, sf_dir: str, name: str, build):
+    """What `build()` gives, made once for each application and folder; the stored tables of a corpus."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _built:
+        _built[at] = build()
+    return _built[at]
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the stored index of documents, written when it is first asked for."""
+
+    def build() -> str:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        I.write(table(spark, sf_dir, "documents"), path, "doc_id", F.col("text"))
+        return path
+
+    return _once(spark, sf_dir, "index", build)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, pos): the stored link table of the articles."""
+    return _once(spark, sf_dir, "edges", lambda: cut(L.edges(articles(spark, sf_dir))))
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, title, revision_id, redirect_to, is_redirect): the articles without their texts, stored."""
+    narrow = lambda: cut(L.with_redirects(articles(spark, sf_dir)).select("page_id", "title", "revision_id", "redirect_to", "is_redirect"))
+    return _once(spark, sf_dir, "titles", narrow)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, title, revision_id, text): documents as pages that link and redirect to each other."""
     d = table(spark, sf_dir, "documents")

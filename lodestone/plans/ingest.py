@@ -23,7 +23,7 @@ def dump_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</id><revision><id>"), F.when(F.col("doc_id") % 10 == 4, "").otherwise(number),
         F.lit("</id><timestamp>2026-01-01T00:00:00Z</timestamp><text>"), _escaped(F.coalesce("text", F.lit(""))), F.lit("</text></revision></page>"),
     )
-    pages = d.select(wiki_dump.parse_page(xml).alias("p")).select("p.*")
+    pages = wiki_dump.parsed(d, xml)
     return wiki_dump.articles(pages).select("page_id", "title", "revision_id", "timestamp", F.md5("text_content").alias("text_md5"))
 
 
@@ -37,7 +37,7 @@ def harvested_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</keyname></author></authors><categories>"), F.col("lang"), F.lit(" x.y</categories><doi> </doi><abstract>"),
         _escaped(F.coalesce("text", F.lit(""))), F.lit("</abstract></arXiv></metadata></record>"),
     )
-    records = d.select(harvest.parse_record(xml).alias("r")).select("r.*")
+    records = harvest.parsed(d, xml)
     out = harvest.papers(records)
     return out.select("id", "oai_datestamp", "title", F.array_join("authors", ", ").alias("authors"), "primary_category", "doi", F.md5("abstract").alias("abstract_md5"))
 

@@ -283,15 +283,66 @@ def count_after_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_nationkey").agg(F.min("s_suppkey").alias("first_supplier"), F.count("s_suppkey").alias("suppliers"))
 
 
-@query(None)
+_ORDER = "('0x' || substr(md5('{}:' || doc_id), 1, 8))::BIGINT"
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_ORDER.format(7)} < 858993459")
 def hashed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.hashed_sample(table(spark, sf_dir, "documents"), "doc_id", 0.2, 7).select("doc_id")
 
 
-@query(None)
+@query(f"SELECT doc_id FROM documents ORDER BY {_ORDER.format(11)}, doc_id LIMIT 20")
+def random_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.random_rows(table(spark, sf_dir, "documents"), "doc_id", 20, 11).select("doc_id")
+
+
+@query(rf"""WITH l AS (SELECT *, trim(regexp_replace(regexp_replace(text, '(?s)\n=.*$', ''), '[ \t\n\r\f\v]+', ' ', 'g')) AS x FROM documents)
+SELECT doc_id, n_chars FROM l WHERE octet_length(encode(text)) >= 3000 AND NOT regexp_matches(text, '(?i)^\s*#\s*REDIRECT\s*\[\[')
+AND length(CASE WHEN regexp_extract(x, '^(.*?\.) [A-Z]', 1) <> '' THEN regexp_extract(x, '^(.*?\.) [A-Z]', 1) ELSE x END) >= 10 ORDER BY {_ORDER.format('2026-01-31')}, doc_id LIMIT 2""")
 def daily_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.daily_pick(table(spark, sf_dir, "documents").filter("n_chars >= 3000"), "doc_id", "2026-01-31", 2).select("doc_id", "n_chars")
+    return P.daily_pick(table(spark, sf_dir, "documents"), "doc_id", "text", "2026-01-31", 2).select("doc_id", "n_chars")
+
+
+@query("SELECT event_id, strftime(to_timestamp(event_id * 86399), '%Y-%m-%d %H:%M:%S') AS at FROM events")
+def unix_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", X.from_unix(F.col("event_id") * 86399).alias("at"))
+
+
+@query("SELECT doc_id, sha1(coalesce(text, '')) AS digest FROM documents")
+def sha1_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey = 37")
+def job_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.search_jobs(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus", None, "#37").select("o_orderkey")
+
+
+_JOBS = """jobs AS (SELECT o_orderkey AS job_id, o_custkey AS corpus, CASE o_orderstatus WHEN 'F' THEN 'running' WHEN 'O' THEN 'queued' ELSE 'complete' END AS status,
+  CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS cancel_requested FROM orders)"""
+
+
+@query(f"""WITH {_JOBS}, n AS (SELECT corpus, min(job_id) FILTER (status = 'queued' AND cancel_requested = 0) AS first, count(*) FILTER (status = 'running') AS running FROM jobs GROUP BY 1)
+SELECT job_id, CASE WHEN running = 0 AND job_id = first THEN 'running' ELSE status END AS status, (running = 0 AND job_id = first)::INT AS started FROM jobs JOIN n USING (corpus)""")
+def queue_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as jobs of their customers: the oldest queued one starts where none runs."""
+    jobs = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "running").when(F.col("o_orderstatus") == "O", "queued").otherwise("complete")
+    asked = F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)
+    jobs = jobs.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("corpus"), status.alias("status"), asked.alias("cancel_requested"), F.lit(None).cast("string").alias("started_at"))
+    return Q.promote(jobs, F.lit("now")).select("job_id", "status", F.coalesce((F.col("started_at") == "now").cast("int"), F.lit(0)).alias("started"))
+
 
+@query("""SELECT event_id AS item_id, CASE WHEN event_id % 3 = 0 THEN 'complete' WHEN event_id % 3 = 1 THEN 'in_progress' ELSE 'queued' END AS status,
+CASE WHEN event_id % 3 = 0 THEN user_id WHEN event_id % 2 = 0 THEN 1 END AS chunk_count, event_id % 3 = 0 AS done FROM events""")
+def item_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as queue items: a third gets a result that ends it, a third one that does not."""
+    events = table(spark, sf_dir, "events").withColumn("item_id", F.col("event_id"))
+    none = F.lit(None).cast("string")
+    items = events.select("item_id", F.lit("queued").alias("status"), F.when(F.col("event_id") % 2 == 0, F.lit(1).cast("long")).alias("chunk_count"), none.alias("error_message"), none.alias("finished_at"))
+    complete = F.col("event_id") % 3 == 0
+    results = events.filter("event_id % 3 <> 2").select("item_id", F.when(complete, "complete").otherwise("in_progress").alias("status"), F.when(complete, F.col("user_id")).alias("chunk_count"), none.alias("error_message"))
+    return Q.finish(items, results, F.lit("now")).select("item_id", "status", "chunk_count", F.coalesce(F.col("finished_at") == "now", F.lit(False)).alias("done"))
 
 
 ORACLE_SQL = SQL

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import tokens as T
+from lodestone.operators import index as I
 from lodestone.operators import retrieval as R
-from lodestone.plans.corpus import table
+from lodestone.plans.corpus import documents_index, table
 
 TERMS = ["the", "of", "der"]
 QUERY = [((i * 37) % 64 - 31.5) / 200 for i in range(64)]
@@ -27,13 +28,18 @@ st AS (SELECT count(*) AS n, avg(len) AS mean, {df} FROM cnt),
 bm AS (SELECT doc_id, {part} AS score FROM cnt, st WHERE {where})"""
 
 
+def _found(spark: SparkSession, sf_dir: str, terms: list[str], all_terms: bool = True) -> DataFrame:
+    """(doc_id, score) from the stored index: only the files of the terms are read."""
+    return I.search(spark, documents_index(spark, sf_dir), [[t] for t in terms], all_terms).withColumnRenamed("key", "doc_id")
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = R.bm25(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), TERMS[:2])
+    hits = _found(spark, sf_dir, TERMS[:2])
     return hits.orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = R.bm25(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), TERMS, all_terms=False)
+    hits = _found(spark, sf_dir, TERMS, all_terms=False)
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -43,13 +49,13 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.postings(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    found = I.terms(spark, documents_index(spark, sf_dir))
+    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
 def stemmed_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     # distinct tokens are counted first, so each is stemmed once
-    tokens = R.postings(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).groupBy("term").agg(F.sum("tf").alias("cf"))
+    tokens = I.terms(spark, documents_index(spark, sf_dir)).groupBy("term").agg(F.sum(F.size("positions")).alias("cf"))
     return tokens.groupBy(T.porter("term").alias("stem")).agg(F.sum("cf").alias("cf"), F.count("*").alias("n_words"))
 
 
@@ -59,27 +65,28 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    hits = R.hybrid(documents, "doc_id", F.col("text"), vectors, F.col("embedding"), TERMS[:2], QUERY, top_k=10)
+    hits = R.hybrid(_found(spark, sf_dir, TERMS[:2]), "doc_id", vectors, F.col("embedding"), QUERY, top_k=10)
     return hits.select("doc_id", F.round("score", 9).alias("score"), "rank")
 
 
 def sparse_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    hits = R.hybrid(documents, "doc_id", F.col("text"), None, None, TERMS[:2], None, top_k=20, sparse_order="rowid")
+    hits = R.hybrid(_found(spark, sf_dir, TERMS[:2]), "doc_id", None, None, None, top_k=20, sparse_order="rowid")
     return hits.select("doc_id", F.round("score", 9).alias("score"), "rank")
 
 
 def hydrated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    hits = rrf_hybrid(spark, sf_dir)
-    return hits.join(documents.select("doc_id", "source", "lang", "n_chars"), "doc_id")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    search = lambda q: I.search(spark, documents_index(spark, sf_dir), q).withColumnRenamed("key", "doc_id")
+    meta = documents.select("doc_id", "source", "lang", "n_chars")
+    hits, _ = R.retrieve(" ".join(TERMS[:2]), search, "doc_id", vectors, F.col("embedding"), lambda _: QUERY, meta, top_k=10)
+    return hits.select("doc_id", F.round("score", 9).alias("score"), "rank", "source", "lang", "n_chars")
 
 
 def hits_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    hits = R.bm25(documents, "doc_id", F.col("text"), TERMS[:1]).join(documents.select("doc_id", "source"), "doc_id")
+    hits = _found(spark, sf_dir, TERMS[:1]).join(documents.select("doc_id", "source"), "doc_id")
     hits = hits.withColumn("score", F.round("score", 6))
     return R.per_group(hits, "source", 2, F.desc("score"), "doc_id")
 

@@ -29,8 +29,9 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at")).alias("seq"))
 
 
-def parse_record(xml: Column) -> Column:
-    return F.from_xml(xml, RECORD)
+def parsed(df: DataFrame, xml: Column) -> DataFrame:
+    """Records of a column with one record element in each row; read once, by a generator."""
+    return df.select(F.inline(F.array(F.from_xml(xml, RECORD))))
 
 
 def papers(records: DataFrame) -> DataFrame:

@@ -56,9 +56,13 @@ def articles(pages: DataFrame, namespace: int | None = 0) -> DataFrame:
     return out if namespace is None else out.filter(F.col("namespace") == namespace)
 
 
-def parse_page(xml: Column) -> Column:
-    """A page element held in a column, for dumps that arrive as records."""
-    return F.from_xml(xml, PAGE, {"ignoreSurroundingSpaces": "false"})
+def parsed(df: DataFrame, xml: Column) -> DataFrame:
+    """Raw pages of a column with one page element in each row, for dumps that arrive as records.
+
+    The element is read by a generator: a projection would be copied into each of the
+    conditions and columns above it, and the page parsed again for every one.
+    """
+    return df.select(F.inline(F.array(F.from_xml(xml, PAGE, {"ignoreSurroundingSpaces": "false"}))))
 
 
 def latest_dump(spark: SparkSession, folder: str, corpus: str) -> str:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lodestone.operators.merges import last_wins, refresh
-from lodestone.sources.publish import publish
+from lodestone.sources.publish import publish, published, restore
 
 
 def refresh_stream(
@@ -16,17 +18,24 @@ def refresh_stream(
 ) -> StreamingQuery:
     """Merges all Parquet files of `feed` that were not merged before, then ends.
 
-    A batch that is tried again finds its revisions in the target and skips them; its
-    archive part is named by the batch and overwritten, so nothing is archived twice.
+    The archive part is written first, under the batch's number; the target then takes its
+    place together with a mark of stream and batch. A batch that is tried again before the
+    mark is there finds the old target and writes the same part again; after that it does
+    nothing, so no part is lost or written twice.
     """
+    stream_name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
+        mark = f"{stream_name}-{number}"
+        restore(session, target)
+        if published(session, target, mark):
+            return
         current = session.read.parquet(target)
         rows = last_wins(batch, key, order)
         merged, old = refresh(current, rows, key, revision, kept)
         old.write.mode("overwrite").parquet(f"{archive}/batch={number}")
-        publish(merged, target)
+        publish(merged, target, mark=mark)
 
     stream = spark.readStream.schema(schema).parquet(feed)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from lodestone.operators import links as L
 from lodestone.operators import merges as M
 from lodestone.operators import queue as Q
 from lodestone.operators import retrieval as R
-from lodestone.sources import harvest, publish, wiki_dump
+from lodestone.sources import catalog, harvest, publish, wiki_dump
 from lodestone.streaming.refresh import refresh_stream
 
 PAGE = "<page><title>{t}</title><ns>{n}</ns><id>{i}</id><revision><id>{r}</id><timestamp>2026</timestamp><contributor><username>u</username><id>7</id></contributor><text bytes=\"3\" xml:space=\"preserve\"> {x} </text></revision></page>"
@@ -63,12 +63,147 @@ def test_refresh_stream(spark, tmp_path):
     rows = [(1, 1, "skip", 1), (2, 2, "first", 2), (2, 3, "last", 3), (3, 4, "older", 4), (9, 1, "new", 5)]
     spark.createDataFrame(rows, schema).write.parquet(feed)
     run = lambda: refresh_stream(spark, feed, spark.read.parquet(feed).schema, target, archive, str(tmp_path / "cp")).awaitTermination()
+    merged = {1: (1, "a"), 2: (3, "last"), 3: (4, "older"), 9: (1, "new")}
+
+    def check():
+        assert {r.page_id: (r.revision_id, r.body) for r in spark.read.parquet(target).collect()} == merged
+        assert sorted(r.body for r in spark.read.parquet(archive).collect()) == ["b", "c"]
+
+    run()
+    check()
     run()
-    got = {r.page_id: (r.revision_id, r.body) for r in spark.read.parquet(target).collect()}
-    assert got == {1: (1, "a"), 2: (3, "last"), 3: (4, "older"), 9: (1, "new")}
-    assert {r.body for r in spark.read.parquet(archive).collect()} == {"b", "c"}
+    check()
+    # the batch ended, but Spark did not get to note it: it is tried again
+    for name in ("0", ".0.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink()
     run()
-    assert spark.read.parquet(archive).count() == 2
+    check()
+    # the job died between the two renames of the swap
+    (tmp_path / "target").rename(tmp_path / "target.old-x")
+    (tmp_path / "cp" / "commits" / "0").unlink()
+    (tmp_path / "cp" / "commits" / ".0.crc").unlink()
+    run()
+    check()
+
+
+def test_refresh_keeps_columns(spark):
+    old = spark.createDataFrame([(1, 1, "a", 10, "x"), (2, 1, "b", 20, "y")], "page_id int, revision_id int, body string, created int, own string")
+    feed = spark.createDataFrame([(1, 2, "A", 99), (3, 1, "C", 98), (2, 1, "skip", 97)], "page_id int, revision_id int, body string, created int")
+    merged, archive = M.refresh(old, feed, kept=["created"])
+    assert sorted(map(tuple, merged.collect())) == [(1, 2, "A", 10, "x"), (2, 1, "b", 20, "y"), (3, 1, "C", 98, None)]
+    assert [tuple(r) for r in archive.collect()] == [(1, 1, "a", 10, "x")]
+
+
+def test_truncated_archive(spark, tmp_path):
+    """A compressed dump that breaks off: pages of whole blocks before the break are kept, the read does not fail."""
+    pages = "".join(PAGE.format(t=f"P{k}", n=0, i=k, r=k + 1, x="".join(chr(97 + (k * j * 7919) % 26) for j in range(3000))) for k in range(900))
+    whole = bz2.compress(dump(pages), 1)
+    (tmp_path / "d.xml.bz2").write_bytes(whole[: len(whole) * 2 // 3])
+    rows = wiki_dump.articles(wiki_dump.read_dump(spark, str(tmp_path / "d.xml.bz2")))
+    assert rows.count() < 900 and rows.filter("title IS NULL").count() == 0
+
+
+def test_replayed_pages_are_in_order(spark, tmp_path):
+    record = "<record><header><datestamp>2026-01-0{d}</datestamp></header><metadata><arXiv><id>{i}</id><title>t</title><categories>c</categories></arXiv></metadata></record>"
+    for name, ids in (("b", (3, 4)), ("a", (1, 2))):
+        (tmp_path / f"{name}.xml").write_text("<OAI-PMH>" + "".join(record.format(d=i, i=i) for i in ids) + "</OAI-PMH>")
+    rows = harvest.read_cache(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.metadata.arXiv.id for r in rows] == ["1", "2", "3", "4"]
+
+
+def test_small_sinks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    publish.publish(spark.range(3), path, mark="one")
+    assert publish.published(spark, path, "one") and not publish.published(spark, path, "two")
+    publish.reset(spark, path)
+    assert spark.read.parquet(path).count() == 0 and spark.read.parquet(path).columns == ["id"]
+    for n in (1, 2):
+        publish.log_run(spark, str(tmp_path / "log"), {"run": n, "rows": 10 * n}, "run int, rows int")
+    assert sorted(r.rows for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [10, 20]
+    publish.write_side_files(spark.createDataFrame([("a/1", "# x\ny"), ("b", None)], "id string, md string"), str(tmp_path / "side"), "id", "md")
+    got = spark.read.text(str(tmp_path / "side"), wholetext=True).collect()
+    assert [(r.name, r.value) for r in got] == [("a_1", "# x\ny\n")]
+
+
+def test_catalog(spark, tmp_path):
+    for corpus, name in (("simple", "articles"), ("simple", "chunks"), ("other", "articles")):
+        publish.publish(spark.range(2), str(tmp_path / corpus / name))
+    assert catalog.corpora(spark, str(tmp_path), "articles") == ["other", "simple"]
+    assert catalog.corpora(spark, str(tmp_path), "chunks") == ["simple"]
+    assert catalog.open_table(spark, str(tmp_path), "simple", "chunks").count() == 2
+    with pytest.raises(FileNotFoundError):
+        catalog.open_table(spark, str(tmp_path), "other", "chunks")
+    scan = spark.createDataFrame([(3, 0, "c"), (1, 0, "a"), (2, 1, "b")], "page_id int, namespace int, t string")
+    assert [r.page_id for r in catalog.ordered_scan(scan.filter("namespace = 0"), "page_id", 5).collect()] == [1, 3]
+    info = catalog.corpus_info(spark, str(tmp_path), "simple", {"display_name": "Simple", "model": "m", "dimension": "8", "max_top_k": "50"}, "chunks")
+    assert (info["corpus"], info["embedded"], info["display_name"]) == ("simple", 2, "Simple")
+
+
+def test_index_changes(spark, tmp_path):
+    from lodestone.operators import index as I
+
+    schema = "id bigint, t string"
+    texts = {1: "a b c", 2: "a a d", 3: "b d", 4: None, 5: ""}
+    path, fresh = str(tmp_path / "i"), iter(range(10))
+
+    def same():
+        other = str(tmp_path / f"f{next(fresh)}")
+        I.write(spark.createDataFrame(list(texts.items()), schema), other, "id", F.col("t"))
+        for query in ("a", "b d", "a-b", "d z"):
+            got, wanted = (dict(I.search(spark, p, query).collect()) for p in (path, other))
+            assert set(got) == set(wanted) and all(abs(got[k] - wanted[k]) < 1e-12 for k in got), query
+
+    I.write(spark.createDataFrame(list(texts.items()), schema), path, "id", F.col("t"))
+    same()
+    texts |= {2: "b b", 6: "a b d d"}
+    I.write(spark.createDataFrame([(k, texts[k]) for k in (2, 6)], schema), path, "id", F.col("t"))
+    same()
+    I.delete(spark, path, spark.createDataFrame([(1,), (77,)], "id bigint"))
+    texts.pop(1)
+    same()
+    # a segment that was not written to the end does not count, and its number is used again
+    I.postings(spark.createDataFrame([(9, "a a a")], schema), "id", F.col("t")).selectExpr("*", "0 AS bucket").write.partitionBy("bucket").parquet(f"{path}/postings/segment=3")
+    same()
+    texts[9] = "a z"
+    I.write(spark.createDataFrame([(9, "a z")], schema), path, "id", F.col("t"))
+    same()
+    new = str(tmp_path / "n")
+    I.compact(spark, path, new)
+    path = new
+    same()
+
+
+def test_index_reads_only_the_terms(spark, tmp_path):
+    from lodestone.operators import index as I
+
+    path = str(tmp_path / "i")
+    I.write(spark.createDataFrame([(k, f"word{k} common") for k in range(500)], "id bigint, t string"), path, "id", F.col("t"))
+    every, one = (set(I.terms(spark, path, w).inputFiles()) for w in (None, ["word7"]))
+    plan = I.terms(spark, path, ["word7"])._jdf.queryExecution().toString()
+    assert one and "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[-1] and "In(term" not in plan.split("PartitionFilters")[0]
+    assert every
+
+
+def test_retrieve(spark, tmp_path):
+    from lodestone.operators import index as I
+
+    path = str(tmp_path / "i")
+    I.write(spark.createDataFrame([(1, "cats purr"), (2, "dogs bark"), (3, "cats and dogs")], "id bigint, t string"), path, "id", F.col("t"))
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1])], "id bigint, v array<float>")
+    meta = spark.createDataFrame([(1, "One"), (2, "Two"), (3, "Three")], "id bigint, title string")
+    search = lambda q: I.search(spark, path, q).withColumnRenamed("key", "id")
+
+    def fail(_):
+        raise OSError
+
+    ask = lambda q, embed: R.retrieve(q, search, "id", vectors, F.col("v"), embed, meta)
+    hits, dense = ask(" cats ", lambda _: [1.0, 0.0])
+    assert dense and [r.title for r in hits.collect()][:2] == ["One", "Three"]
+    hits, dense = ask("cats", fail)
+    assert not dense and {r.title for r in hits.collect()} == {"One", "Three"}
+    assert ask("  ", lambda _: [1.0, 0.0])[0].count() == 0
+    hits, dense = ask("?", lambda _: [0.0, 1.0])
+    assert dense and hits.first().title == "Two"
 
 
 def test_links_and_counts(spark):
@@ -98,12 +233,43 @@ def test_queue(spark):
     assert got == {"A": "complete", "B": "complete", "C": "skipped_unchanged"}
 
 
+def test_queue_life(spark):
+    jobs = spark.createDataFrame([(1, "w", "running", 0, None), (2, "w", "queued", 0, None), (3, "v", "queued", 1, None), (4, "v", "queued", 0, None)], "job_id int, corpus string, status string, cancel_requested int, started_at string")
+    got = {r.job_id: (r.status, r.started_at) for r in Q.promote(jobs, F.lit("now")).collect()}
+    assert got == {1: ("running", None), 2: ("queued", None), 3: ("queued", None), 4: ("running", "now")}
+    items = spark.createDataFrame([(1, 1, "queued"), (2, 2, "queued"), (3, 1, "complete")], "item_id int, job_id int, status string")
+    after, left = Q.cancel(jobs, items, [1, 2])
+    assert {r.job_id: (r.status, r.cancel_requested) for r in after.collect()} == {1: ("running", 1), 2: ("cancelled", 1), 3: ("queued", 1), 4: ("queued", 0)}
+    assert [r.item_id for r in left.collect()] == [3]
+    papers = spark.createDataFrame([("a",), ("b",)], "id string")
+    queued = spark.createDataFrame([(1, "a", "queued", 5, None, None), (2, "b", "queued", None, None, None), (3, "z", "queued", None, None, None), (4, "a", "failed", None, "old", "then")], "item_id int, arxiv_id string, status string, chunk_count int, error_message string, finished_at string")
+    results = spark.createDataFrame([("a", "embedded", None), ("b", "no_html", 0)], "id string, status string, chunk_count int")
+    got = {r.item_id: (r.status, r.chunk_count, r.error_message, r.finished_at) for r in Q.settle_papers(queued, papers, results, F.lit("now")).collect()}
+    assert got == {1: ("embedded", 5, None, "now"), 2: ("no_html", 0, None, "now"), 3: ("failed", None, "unknown paper", "now"), 4: ("failed", None, "old", "then")}
+
+
+def test_finalise(spark):
+    meta = spark.createDataFrame([("A", 0, 0, 7, 7), ("B", 0, 0, 7, 7), ("C", 1, 0, 7, 7)], "title string, links_embedded int, links_embedded_2hop int, n_links long, n_links_2hop long")
+    items = spark.createDataFrame([("A", "complete", 0), ("A", "queued", 1), ("B", "failed", 1), ("C", "in_progress", 0)], "source_title string, status string, hops_remaining int")
+    counts = spark.createDataFrame([("A", 3), ("C", 4)], "src string, n_links long")
+    second = spark.createDataFrame([("A", 30)], "src string, n_links long")
+    got = {r.title: tuple(r)[1:] for r in Q.finalise(meta, items, counts, second).collect()}
+    assert got == {"A": (1, 0, 3, 7), "B": (1, 1, 0, 0), "C": (1, 0, 7, 7)}
+
+
+def test_link_items(spark):
+    pages = [("A", "[[B]] [[R]] [[gone]] [[A]]"), ("B", ""), ("R", "#REDIRECT [[B]]")]
+    articles = L.with_redirects(spark.createDataFrame(pages, "title string, text string"))
+    items = Q.link_items(spark.createDataFrame([(1, "A")], "job_id int, title string"), L.edges(articles), articles, 1)
+    assert sorted((r.title, r.hops_remaining) for r in items.collect()) == [("A", 0), ("B", 1), ("Gone", 1)]
+
+
 def test_guards(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "k int, v array<float>")
     with pytest.raises(Exception, match="not 2 components"):
         R.one_dimension(df, "v", 2).collect()
     with pytest.raises(ValueError):
-        R.hybrid(df, "k", F.lit("x"), None, None, ["x"], None, top_k=51)
+        R.hybrid(df.select("k", F.lit(1.0).alias("score")), "k", None, None, None, top_k=51)
 
 
 def test_hashed_embedding(spark):
