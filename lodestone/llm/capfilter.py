@@ -232,7 +232,7 @@ def near_duplicates(
     label: str = "label",
     codewords: int | None = None,
     list_size: int = 6,
-    bucket_limit: int = 4_000,
+    bucket_limit: int = 300,
     seed: int = 4,
 ) -> DataFrame:
     """(key, n_links long, component_id, kept boolean), one row for each row of `df`.

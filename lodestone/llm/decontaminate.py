@@ -16,11 +16,13 @@ shares of their five-word runs that the window has must reach `question` and `an
 
 Repeated rows of the benchmark are one item with a count. Items are collected in blocks of
 about half of `block_bytes` of text, chosen by a hash of id and text; each block's index is
-broadcast and all documents are asked against each. Document frequencies, mean length and
-window size are those of all items, so scores do not depend on which items share a block.
+broadcast, and one pass over the documents asks `INDEXES` of them, so that what a worker
+holds is bounded and documents are read once for each 16 MB of benchmark. Document
+frequencies, mean length and window size are those of all items, so scores do not depend
+on which items share a block.
 
-Defined results: null texts are empty and match nothing; items of fewer than five
-words have no five-word run and are left out; of several windows of a document that
+Defined results: null texts and items without words match nothing; an item of fewer than
+five words is matched where all its words stand in a row; of several windows of a document that
 match an item, the best score and the first such window are reported; repeated rows
 are reported each; of items of equal id each is matched on its own.
 """
@@ -33,10 +35,11 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +50,8 @@ K1, B = 1.2, 0.75
 RUN = 5
 #: Items of a block at least, and blocks at most.
 BLOCK, BLOCKS = 4, 64
+#: Indexes asked in one pass over the documents.
+INDEXES = 16
 _TO_SPACE = bytes(
     c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)
 )
@@ -58,6 +63,9 @@ def words_of(text: str) -> list[bytes]:
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
+    whole = words_of(text)
+    if len(whole) < RUN:
+        return whole, []
     marked = re.search(r"(?is)^(.*\S)\s*\banswer\s*:\s*(\S.*)$", text)
     if marked:
         return words_of(marked[1]), words_of(marked[2])
@@ -65,9 +73,8 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     if len(sentences) > 1:
         answer = words_of(sentences[-1])
         return words_of(" ".join(sentences[:-1])), answer
-    words = words_of(text)
-    cut = len(words) * 2 // 3
-    return words[:cut], words[cut:]
+    split = len(whole) * 2 // 3
+    return whole[:split], whole[split:]
 
 
 def runs(words: list[bytes]) -> set[bytes]:
@@ -91,7 +98,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], copies: list[int] | None = None, over_all: Statistics | None = None):
         """`copies` says how many rows each item stands for; `over_all` are statistics of more items than these."""
         every = [(i, t, words_of(t), c) for (i, t), c in zip(items, copies or [1] * len(items), strict=True)]
-        every = [x for x in every if len(x[2]) >= RUN]
+        every = [x for x in every if x[2]]
         read = [x[:3] for x in every]
         self.copies = [x[3] for x in every]
         self.ids = [i for i, _, _ in read]
@@ -235,7 +242,7 @@ def _blocks(items: DataFrame, key: str, text: str, block_bytes: int) -> Iterator
             "words": pa.array([sorted(set(w)) for w in words], type=pa.list_(pa.binary())),
         }
 
-    counted = cut(map_batches(every.select("_t", "_c", "_b"), "_c bigint, _b int, n bigint, words array<binary>", read).filter(F.col("n") >= RUN))
+    counted = cut(map_batches(every.select("_t", "_c", "_b"), "_c bigint, _b int, n bigint, words array<binary>", read).filter("n > 0"))
     total = counted.agg(F.sum("_c").alias("items"), F.sum(F.col("n") * F.col("_c")).alias("words"), F.max("n").alias("longest")).first()
     spoken = counted.select("_b", "_c", F.explode("words").alias("word"))
     frequency = cut(spoken.groupBy("word").agg(F.sum("_c").alias("df"), F.collect_set("_b").alias("blocks")))
@@ -265,16 +272,21 @@ def contaminated(
         "question_overlap double, answer_overlap double"
     )
     out = None
-    for index in _blocks(items, item_key, item_text, block_bytes):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+    for shared in _shared(documents, _blocks(items, item_key, item_text, block_bytes)):
 
         def rows(batch: pa.RecordBatch, shared=shared) -> dict[str, object]:
-            index = shared.value
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = [m for m in index.matches(texts, retrieve, question, answer) for _ in range(index.copies[m[1]])]
-            which, item, score, start, q, a = zip(*found, strict=True) if found else ((),) * 6
+            which, ids, found = [], [], []
+            for one in shared:
+                index = one.value
+                for m in index.matches(texts, retrieve, question, answer):
+                    for _ in range(index.copies[m[1]]):
+                        which.append(m[0])
+                        ids.append(index.ids[m[1]])
+                        found.append(m[2:])
+            score, start, q, a = zip(*found, strict=True) if found else ((),) * 4
             return {
-                key: batch.column(0).take(pa.array(which, type=pa.int64())), item_key: [index.ids[k] for k in item],
+                key: batch.column(0).take(pa.array(which, type=pa.int64())), item_key: ids,
                 "score": score, "first_word": start, "question_overlap": q, "answer_overlap": a,
             }
 
@@ -283,6 +295,12 @@ def contaminated(
     return out
 
 
+def _shared(documents: DataFrame, indexes: Iterator[Index]) -> Iterator[list[Broadcast]]:
+    """Broadcasts of the indexes, as many at a time as one pass over the documents asks."""
+    while some := [documents.sparkSession.sparkContext.broadcast(i) for i in islice(indexes, INDEXES)]:
+        yield some
+
+
 def decontaminate(
     documents: DataFrame,
     items: DataFrame,
@@ -297,16 +315,17 @@ def decontaminate(
     """The rows of `documents` that match no item, all columns as they are; nothing is shuffled."""
     ship(documents.sparkSession)
     place = documents.columns.index(text)
-    for index in _blocks(items, item_key, item_text, block_bytes):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+    for shared in _shared(documents, _blocks(items, item_key, item_text, block_bytes)):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    texts = [t or "" for t in part.column(place).to_pylist()]
-                    bad = {m[0] for m in shared.value.matches(texts, retrieve, question, answer)}
-                    yield part.filter(pa.array([k not in bad for k in range(len(texts))], type=pa.bool_()))
+                    for one in shared:
+                        texts = [t or "" for t in part.column(place).to_pylist()]
+                        bad = {m[0] for m in one.value.matches(texts, retrieve, question, answer)}
+                        part = part.filter(pa.array([k not in bad for k in range(len(texts))], type=pa.bool_()))
+                    yield part
 
         documents = documents.mapInArrow(run, documents.schema)
     return documents

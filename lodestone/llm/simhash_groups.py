@@ -292,7 +292,7 @@ def keep_one(
     least: float = 0.8,
     radius: int = 4,
     bucket_limit: int = 20_000,
-    open_limit: int = 250,
+    open_limit: int = 120,
 ) -> DataFrame:
     """The row of smallest id of each group of similar documents, all columns of `df` as they are.
 

@@ -58,3 +58,30 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert docs.columns == awkward(spark).columns, name
     assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 3, 4, 6]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 5
+
+
+def test_empty_tables_and_clashing_names(spark, sf_dir, tmp_path):
+    """No documents give no rows; columns named like the stages' own are kept as they are."""
+    docs = awkward(spark).withColumns({"_base": F.lit(1), "_more": F.lit(2), "_spans": F.lit("s"), "_base_spans": F.lit("b"), "_all": F.lit(3), "_doc": F.lit("d"), "node": F.lit(4)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        docs = stage(spark, docs, sf_dir)
+    assert docs.columns[-7:] == ["_base", "_more", "_spans", "_base_spans", "_all", "_doc", "node"]
+    assert {tuple(r)[-7:] for r in docs.collect()} == {(1, 2, "s", "b", 3, "d", 4)}
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from lodestone.llm import common
+
+    class Session:
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+        class conf:
+            get = staticmethod(lambda name, other: other)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_folder(Session)

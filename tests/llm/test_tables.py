@@ -3,6 +3,7 @@ from collections import Counter
 
 import zlib
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import queries, sharding, urlfilter
 from tests.llm.helpers import awkward, empty
@@ -30,6 +31,28 @@ def test_shards(spark):
     assert sharding.interleave(empty(spark), 24).count() == 0
 
 
+def test_order_of_shards(spark):
+    """Shards and slots from ranks and fractions worked out in plain loops; repeated and null ids among the rows."""
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 7, i]), "x" * rng.randrange(40), rng.choice(["hot"] * 5 + ["a", None])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    extra = sharding.size_and_checksum()
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(20), F.col("doc_id"), *extra.values()), 1)
+    given = df.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("s"), hashed.alias("h"), extra["size"].alias("size"), extra["text_crc32"].alias("c")).collect()
+    none_first = lambda i: (i is not None, i)
+    order = []
+    for stratum in {r.s for r in given}:
+        own = sorted((r for r in given if r.s == stratum), key=lambda r: (r.h, none_first(r.doc_id), r.size, r.c))
+        order += [((k + 0.5) / len(own), r.s, r.h, none_first(r.doc_id), r.size, r.c, r.doc_id) for k, r in enumerate(own)]
+    order.sort(key=lambda x: x[:6])
+    wanted, n = Counter(), len(order)
+    for place, x in enumerate(order):
+        shard = place * 24 // n
+        wanted[x[6], x[4], x[5], shard, place - -(-shard * n // 24)] += 1
+    got = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.interleave(df, 24, extra=extra, rows_per_bucket=2).collect())
+    assert got == wanted
+
+
 def glob_match(glob, text):
     """By recursion over the pattern."""
     states = {0}

@@ -1,6 +1,10 @@
+import math
 import random
 import re
+import time
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,7 +127,14 @@ def test_secrets(spark):
         if text is None:
             assert masked[i] is None
         else:
-            assert base(masked[i]) == [] and not any(s in masked[i] for s in secret[:0])
+            assert base(masked[i]) == []
+    for r in found.collect():
+        text, out, at = texts[r.doc_id] or "", "", 0
+        for start, _, end in r.spans:
+            if start >= at:
+                out += text[at:start] + "[SECRET]"
+            at = max(at, end)
+        assert (masked[r.doc_id] or "") == out + text[at:]
     assert secrets.find(awkward(spark)).count() == 9 and secrets.find(empty(spark)).count() == 0
 
 
@@ -265,3 +276,273 @@ def test_every_license_rule_passes_the_gates(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     missed = licenses.scan(df, keep=["doc_id"]).filter("size(detections) = 0").collect()
     assert [texts[r.doc_id] for r in missed] == []
+
+
+def detections_of(words):
+    """Rules, containment and priority written out: every match of every rule, then pairs of them."""
+    text = " ".join(words)
+    found = []
+    for k, rule in enumerate(licenses.signatures()):
+        if any(w in text for w in rule.keyword.split("|")):
+            for m in re.finditer(licenses.whole_words(rule.pattern), text):
+                first = text[: m.start()].count(" ")
+                found.append((first, first + m[0].count(" ") + 1, k, rule.label))
+    found.sort(key=lambda d: (d[0], -d[1], d[2], d[3]))
+    left = [d for i, d in enumerate(found) if not any(e[0] <= d[0] and d[1] <= e[1] for e in found[:i])]
+    out = []
+    for i, d in enumerate(left):
+        near = [left[j] for j in (i - 1, i + 1) if 0 <= j < len(left)]
+        if not any(e[0] < d[1] and d[0] < e[1] and (e[2], e[0]) < (d[2], d[0]) for e in near):
+            out.append(d)
+    return out
+
+
+def test_license_detections(spark):
+    rng = random.Random(16)
+    pieces = [written_by(rule.pattern, rng) for rule in rng.sample(licenses.signatures(), 150)]
+    pieces += ["license", "the", "2", "0", "version", "public", "bsd", "under the", "all rights reserved", "gnu", "lesser"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(250)]
+    # a better rule that overlaps in part with a worse one before it
+    texts += ["open source license agreement", "commercial license agreement is licensed under the mit license", "see the license mit license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    separator = re.compile(licenses.SEPARATORS)
+    some = 0
+    for r in licenses.scan(df).collect():
+        words = [w for w in separator.split(texts[r.doc_id].lower()) if w]
+        wanted = detections_of(words)
+        assert [(d.first_word, d.end_word, d.priority, d.label) for d in r.detections] == wanted, texts[r.doc_id]
+        some += len(wanted)
+    assert some > 300
+
+
+def seconds(work):
+    began = time.perf_counter()
+    work()
+    return time.perf_counter() - began
+
+
+def test_time_follows_the_matches(spark):
+    """16,000 matches in one text take at most twice the time for each match that 1,000 take."""
+
+    def took(piece, work):
+        times = []
+        for n in (1_000, 1_000, 16_000):
+            df = spark.createDataFrame([(1, piece * n)], "doc_id bigint, text string")
+            times.append(seconds(lambda df=df: work(df).write.format("noop").mode("overwrite").save()))
+        return times[1], times[2]
+
+    for piece, work in (
+        ("mit license ", licenses.scan),
+        ("0123456789abcdef0 x ", secrets.find),
+        ("0123456789abcdef0 x ", lambda df: secrets.redact(secrets.find(df))),
+    ):
+        few, many = took(piece, work)
+        assert many <= 2 * 16 * few
+
+
+NORMAL = lambda z: 1 / (1 + math.exp(-1.5976 * max(-12, min(12, z)) - 0.07056 * max(-12, min(12, z)) ** 3))
+
+
+def battery(candidate):
+    """(octave, bin, p of being random) with plain loops."""
+    value = candidate.rstrip("=")
+    alphabet = next(a for p, a in secrets.ENCODINGS if not p or re.search(p, value))
+    n, k = len(value), len(alphabet)
+    places = [alphabet.find(c) for c in value]
+    chi = k / n * sum(x * x for x in Counter(c for c in value if c in alphabet).values()) - n
+    uniform = 1 - NORMAL((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+    high = [y >= k / 2 for y in places]
+    ones = sum(high)
+    middle = 2 * ones * (n - ones) / n + 1
+    variance = (middle - 1) * (middle - 2) / (n - 1)
+    changes = sum(a != b for a, b in zip(high, high[1:]))
+    runs = 2 * (1 - NORMAL(abs((changes + 1 - middle) / math.sqrt(variance)) if variance > 0 else 12))
+    mean = sum(places) / n
+    power = sum((y - mean) ** 2 for y in places)
+    lagged = sum((a - mean) * (b - mean) for a, b in zip(places, places[1:]))
+    serial = 2 * (1 - NORMAL(abs(lagged / power * math.sqrt(n)) if power > 0 else 12))
+    away = (n - 1) * max(0, k * secrets.TEXT_COINCIDENCE - 1)
+    kinds = ["A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "0" if "0" <= c <= "9" else c for c in value]
+    blocks = 1 + sum(a != b for a, b in zip(kinds, kinds[1:]))
+    expected = secrets.TEXT_CHANGES * (n - 1)
+    steps = sum(abs(a - b) for a, b in zip(places, places[1:])) / (n - 1)
+    tests = [
+        NORMAL((chi - (k - 1 + away)) / math.sqrt(2 * (k - 1 + 2 * away))),
+        1 - NORMAL((blocks - 1.5 - expected) / math.sqrt(expected * (1 - secrets.TEXT_CHANGES))),
+        1 - NORMAL((steps - secrets.TEXT_STEP) / secrets.TEXT_STEP_SPREAD * math.sqrt(n - 1)),
+    ]
+    s = sum(-math.log(max(p, 1e-60)) for p in tests)
+    bin_ = min(secrets.LAST_BIN, math.floor((s - math.log(1 + s + s * s / 2)) * secrets.BINS_PER_UNIT))
+    return int(math.log2(n)), bin_, min(uniform, runs, serial)
+
+
+def keys_and_words(rng):
+    """(encoding, length, key) for all encodings but hex, and texts that hold them among long ordinary words."""
+    alphabets = {"base32": secrets.ENCODINGS[2][1], "base36": secrets.ENCODINGS[4][1], "base62": secrets.ENCODINGS[5][1], "base64": secrets.ENCODINGS[6][1], "url": secrets.ENCODINGS[7][1]}
+    keys = [(name, n, "".join(rng.choice(a) for _ in range(n))) for name, a in alphabets.items() for n in (20, 32, 40, 64, 100, 200) for _ in range(12)]
+    long_words = ["".join(rng.choice(WORDS) for _ in range(rng.randrange(7, 12))) for _ in range(120)]
+    long_words += ["/".join(rng.choice(WORDS) for _ in range(8)) for _ in range(40)] + ["".join(rng.choice(WORDS).capitalize() for _ in range(7)) for _ in range(40)]
+    texts = [prose(rng, 12, WORDS) + f" {key} " + rng.choice(long_words) + " " + prose(rng, 5, WORDS) for _, _, key in keys]
+    return keys, texts + [prose(rng, 20, [*WORDS, *long_words]) for _ in range(60)]
+
+
+def test_battery_and_false_discoveries(spark):
+    """Every candidate's battery and the thresholds of Benjamini-Hochberg against plain loops; what is caught of planted keys."""
+    keys, texts = keys_and_words(random.Random(21))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    tested = []
+    for r in df.select("doc_id", secrets.candidates(F.col("text")).alias("c")).collect():
+        found = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.CANDIDATE, texts[r.doc_id])]
+        assert [(c.start, c.end) for c in r.c] == [(a, z) for a, z, _ in found]
+        for c, (_, _, text) in zip(r.c, found, strict=True):
+            octave, bin_, p = battery(text)
+            assert c.octave == octave and abs(c.bin - bin_) <= 1 and abs(c.random_p - p) < 1e-6
+            tested.append((c.octave, c.bin, c.random_p))
+    rate, level = 0.01, 1e-4
+    wanted = {}
+    for octave in {o for o, _, _ in tested}:
+        bins = sorted((b for o, b, p in tested if o == octave and p >= level), reverse=True)
+        accepted = [b for i, b in enumerate(bins) if math.exp(-b / secrets.BINS_PER_UNIT) <= rate * sum(x >= b for x in bins) / len(bins)]
+        if accepted:
+            wanted[octave] = min(accepted)
+    assert secrets.thresholds(df) == wanted
+    caught = Counter()
+    for r in secrets.find(df).collect():
+        extra = {texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == 3}
+        if r.doc_id < len(keys):
+            name, n, key = keys[r.doc_id]
+            caught[name, n] += key in extra
+            extra.discard(key)
+        assert not extra, "an ordinary word is no secret"
+    for name in ("base62", "base64", "url"):
+        assert all(caught[name, n] >= 11 for n in (32, 40, 64, 100, 200)), caught
+    for name in ("base32", "base36"):
+        assert all(caught[name, n] >= 11 for n in (40, 64, 100, 200)), caught
+
+
+def test_spans_apart(spark):
+    """Random spans that a base span overlaps from any side are left out, whatever the columns are called."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        cut = sorted(rng.sample(range(60), 12))
+        base_ = [(a, rng.randrange(3), z) for a, z in zip(cut[::2], cut[1::2])]
+        more = [(a, 3, a + rng.randrange(1, 9)) for a in rng.sample(range(60), 5)]
+        rows.append((k, sorted(base_), more))
+    shape = "array<struct<start:bigint,kind:int,end:bigint>>"
+    df = spark.createDataFrame(rows, f"k int, base {shape}, more {shape}")
+    for r in df.select("k", secrets._apart(F.col("base"), F.col("more")).alias("s")).collect():
+        _, b, more = rows[r.k]
+        free = [m for m in more if not any(x[0] < m[2] and m[0] < x[2] for x in b)]
+        assert [tuple(s) for s in r.s] == sorted(b + free)
+    named = spark.createDataFrame([("k=1 password=abcdefghijkl1", 1, 2, 3, 4)], "text string, _base int, _more int, _row int, _all int")
+    assert secrets.find(named).columns == [*named.columns, "base_spans", "spans"]
+    assert secrets.redact(secrets.find(named)).first().text == "k=1 [SECRET]"
+
+
+def plain_label_model(votes, start, share, rounds):
+    """The same estimates with loops over rows and voters."""
+    n, k = len(votes), len(votes[0])
+    q = [min(0.95, max(0.05, x)) for x in start]
+    for _ in range(rounds):
+        rates = [[[0.5 + sum((q[i] if c else 1 - q[i]) for i in range(n) if votes[i][v] == value) for value in (-1, 0, 1)] for c in (0, 1)] for v in range(k)]
+        rates = [[[x / sum(row) for x in row] for row in voter] for voter in rates]
+        left = [[(votes[i][v] == 1) - q[i] * rates[v][1][2] - (1 - q[i]) * rates[v][0][2] for v in range(k)] for i in range(n)]
+        size = [math.sqrt(sum(left[i][v] ** 2 for i in range(n))) + 1e-9 for v in range(k)]
+        weights = []
+        for v in range(k):
+            total = 0.0
+            for u in range(k):
+                c = 1.0 if u == v else sum(left[i][v] * left[i][u] for i in range(n)) / size[v] / size[u]
+                total += c if c > 0.3 else 0.0
+            weights.append(1 / total)
+        weights[-1] = 1.0
+        z = [sum(weights[v] * math.log(rates[v][1][votes[i][v] + 1] / rates[v][0][votes[i][v] + 1]) for v in range(k) if votes[i][v] >= 0) for i in range(n)]
+        low, high = -60.0, 60.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(1 / (1 + math.exp(-max(-40, min(40, x + mid)))) for x in z) / n < share else (low, mid)
+        new = [1 / (1 + math.exp(-max(-40, min(40, x + (low + high) / 2)))) for x in z]
+        done = max(abs(a - b) for a, b in zip(new, q)) < 1e-4
+        q = new
+        if done:
+            break
+    return q, rates, weights
+
+
+def test_label_model():
+    rng = np.random.default_rng(5)
+    truth = rng.random(400) < 0.3
+    accuracy = [0.9, 0.8, 0.75, 0.7, 0.85]
+    votes = np.stack([np.where(rng.random(400) < 0.4, -1, np.where(rng.random(400) < a, truth, ~truth)) for a in accuracy], axis=1)
+    votes = np.hstack([votes, votes[:, 1:2], np.where(rng.random(400) < 0.95, truth, ~truth)[:, None]]).astype(int)  # a copy of a voter, and an annotator who errs
+    start = votes[:, -1].astype(float)
+    model = toxicity.fit_label_model(votes, start, float(start.mean()), rounds=8)
+    q, rates, weights = plain_label_model(votes.tolist(), start.tolist(), float(start.mean()), 8)
+    assert np.allclose(model.posterior(votes), q, atol=1e-6)
+    assert np.allclose(model.weights, weights, atol=1e-6) and np.allclose(model.rates, rates, atol=1e-6)
+    assert model.weights[1] < 0.6 and model.weights[5] < 0.6, "copies share their weight"
+    # estimated rates against those of the true classes, and classes better than the annotator's
+    for v in range(5):
+        for c in (0, 1):
+            mine = np.array([(votes[truth == c, v] == value).mean() for value in (-1, 0, 1)])
+            assert np.abs(model.rates[v, c] - mine).max() < 0.12
+    assert ((model.posterior(votes) > 0.5) == truth).mean() >= (votes[:, -1] == truth).mean()
+
+
+def test_language_scores_against_a_direct_computation(spark):
+    """Kernels from sets of hashed n-grams, one by one, and the ridge regressions solved in kernel form."""
+    rng = random.Random(4)
+    sounds = {"aa": ["bla", "kro", "tu"], "bb": ["ñi", "oza", "ele"], "cc": ["the", "wh", "ing"]}
+    texts, langs = [], []
+    for i in range(36):
+        lang = sorted(sounds)[i % 3]
+        texts.append(" ".join("".join(rng.choice(sounds[lang]) for _ in range(2)) for _ in range(rng.randrange(1, 8))))
+        langs.append(lang)
+
+    def grams(text):
+        out, start = [], 0
+        points = [ord(c) for c in text.lower()]
+        for n, size in langid.TABLES.items():
+            here = set()
+            for k in range(len(points) - n + 1):
+                value = 0
+                for p in points[k : k + n]:
+                    value = (value * 0x100000001B3 + p) % (1 << 64)
+                mixed = (value ^ (value >> 29)) * 0x9E3779B97F4A7C15 % (1 << 64)
+                here.add(start + (mixed >> (64 - size.bit_length() + 1)))
+            out.append(here)
+            start += size
+        return out
+
+    every = [grams(t) for t in texts]
+    assert all(set(np.flatnonzero(row)) == set().union(*g) for row, g in zip(langid.presence(texts), every, strict=True))
+    kernel = lambda a, b: sum(len(x & y) / math.sqrt(max(1, len(x)) * max(1, len(y))) for x, y in zip(a, b, strict=True)) / 3
+    each, ridge = 4, 1e-3
+    model = langid.train(langid.presence(texts), langs, each, ridge)
+    chosen = [i for lang in sorted(sounds) for i in [j for j in range(36) if langs[j] == lang][:each]]
+    among = np.array([[kernel(every[i], every[j]) for j in chosen] for i in chosen])
+    to = np.array([[kernel(g, every[j]) for j in chosen] for g in every])
+    values, vectors = np.linalg.eigh(among)
+    x = to @ (vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()]))
+    x1 = np.hstack([x, np.ones((36, 1))])
+    for k, lang in enumerate(sorted(sounds)):
+        y = np.where(np.array(langs) == lang, 1.0, -1.0)
+        w = np.linalg.solve(x1.T @ x1 / 12 + ridge * np.eye(x1.shape[1]), x1.T @ y / 12)
+        assert np.abs(model.scores(langid.presence(texts))[:, k] - x1 @ w).max() < 1e-2
+    signs = spark.createDataFrame([(1, "\u00bd \u00b2"), (2, "\u2160 \u2461 12_3"), (3, "\u00aa"), (4, "12 x")], "doc_id bigint, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(signs, model).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und" and got[4] != "und"
+
+
+def test_short_items_and_many_indexes(spark, monkeypatch):
+    """Items of one to four words are found where they stand in a row; several passes give what one gives."""
+    items = [(1, "zebra quick fox"), (2, "unique"), (3, "a b c d"), (4, "one two three four five six. Answer: seven eight"), (5, ""), (6, None)]
+    texts = ["the Zebra, quick fox ran", "zebra fox quick", "so unique!", "x a b c d y", "a b x c d", "one two three four five six. answer: seven eight", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    wanted = {(0, 1), (2, 2), (3, 3), (5, 4)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == wanted
+    monkeypatch.setattr(decontaminate, "INDEXES", 2)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, block_bytes=20).collect()} == wanted
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench, block_bytes=20).collect()} == {1, 4, 6, 7}
