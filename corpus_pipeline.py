@@ -18,31 +18,53 @@ from lodestone.llm.queries import RANKS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    It learns from the labels of the documents at hand; without any, none goes. A null text
+    is scored as the empty one; repeated rows go or stay together; an empty table gives no
+    rows.
+    """
     classifier = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
     return toxicity.keep_clean(docs, classifier)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents of similarity 0.8 and more the one of smallest id stays."""
+    """Of each group of documents of similarity 0.8 and more the one of smallest id stays.
+
+    Null and wordless texts are one group; ids that are null come last; of rows that agree
+    in id and text one stays; an empty table gives no rows.
+    """
     return simhash_groups.keep_one(docs, shingle=5, least=0.8)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go.
+
+    A null or empty text stays, and so does every document where the benchmark is empty;
+    repeated rows go or stay together; an empty table gives no rows.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
-    found = secrets.find(docs, base="_base_spans", spans="_spans")
-    masked = secrets.redact(found, spans="_spans")
-    length = F.when(F.size("_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return masked.withColumn("n_chars", length).select(*docs.columns)
+    """Secrets are replaced by a mark; every document stays.
+
+    A null text stays null and an empty one empty; n_chars is counted anew where a text
+    has changed; repeated rows stay, an empty table gives no rows.
+    """
+    # the document is one column while it is searched, so its columns may have any names
+    found = secrets.find(docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("doc"), "text"))
+    masked = secrets.redact(found)
+    length = F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("doc.n_chars"))
+    new = {"text": F.col("text"), "n_chars": length}
+    return masked.select(*(new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids binary): the packed ids, and digests of them and of the bytes they decode to."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids binary): the packed ids, and digests of them and of the bytes they decode to.
+
+    A null text is the empty one, which has no ids; one row for each row of `docs`.
+    """
     ranks = public_tokenizers.path(RANKS)
     coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True)
     return coded.select(
