@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -189,15 +191,79 @@ def strip_markup(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"'{2,5}", ""), r"^\s+|\s+$", "")
 
 
-def markup_to_html(text: Column) -> Column:
-    """Headings with anchors, bold, italics and links of cleaned markup as HTML; the rest is left as it is."""
+#: Blocks that have no HTML here.
+UNSUPPORTED_BLOCKS = ["score", "timeline", "hiero", "imagemap", "mapframe", "maplink"]
+
+
+def _in_place(text: Column, tag: str, body: Callable[[Column], Column]) -> Column:
+    """`body(inside)` in place of each element `tag`, without regard to case; what is never closed stays."""
+    pieces = F.split(text, rf"(?i)(?=<{tag}\b)|(?<=</{tag}>)")
+    element = rf"(?is)^<{tag}\b[^>]*>(.*)</{tag}>$"
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(element), body(F.regexp_extract(p, element, 1))).otherwise(p)), "")
+
+
+def _escaped(text: Column) -> Column:
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return text
+
+
+def literal_blocks(text: Column) -> Column:
+    """`nowiki` as signs that no later step reads, galleries as lists of their captions, blocks without HTML as a note."""
+    shielded = lambda x: F.replace(F.replace(_escaped(x), F.lit("[["), F.lit("&#91;&#91;")), F.lit("]]"), F.lit("&#93;&#93;"))
+
+    def captions(inside: Column) -> Column:
+        files = F.filter(F.transform(F.split(inside, "\n"), strip), lambda x: x.rlike(r"(?i)^(?:File|Image):[^|]*\|"))
+        found = F.filter(F.transform(files, lambda x: strip(F.regexp_replace(x, r"^[^|]*\|", ""))), lambda x: x != "")
+        items = F.array_join(F.transform(found, lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), "\n")
+        return F.when(F.size(found) > 0, F.concat(F.lit('<ul class="gallery-captions">\n'), items, F.lit("\n</ul>"))).otherwise("")
+
+    out = _in_place(_in_place(text, "nowiki", shielded), "gallery", captions)
+    for tag in UNSUPPORTED_BLOCKS:
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*/>|<{tag}\b[^>]*>.*?</{tag}>", f'<div class="unsupported-content">[unsupported: {tag}]</div>')
+    return out
+
+
+def clean_markup(text: Column, depth: int = 8) -> Column:
+    """Markup without comments, notes, switches, templates and links to files and categories; what is for this page only stays.
+
+    Templates and links go innermost first, `depth` levels deep.
+    """
     out = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?i)\[\[\s*Category\s*:[^\]]*\]\]", "")
-    for level in range(6, 1, -1):
-        out = F.regexp_replace(out, rf"(?m)^={{{level}}}[ \t]*([^=\n]+?)[ \t]*={{{level}}}[ \t]*$", f'<h{level} id="$1">$1</h{level}>')
+    out = F.regexp_replace(out, r"(?is)<includeonly\b[^>]*/>|<includeonly\b[^>]*>.*?</includeonly>|</?(?:noinclude|onlyinclude)\b[^>]*>", "")
+    out = F.regexp_replace(out, r"(?i)<ref(?:erences)?\b[^>]*/>", "")
+    out = F.regexp_replace(out, r"(?is)<(ref|references)\b[^>]*>.*?</\1>", "")
+    out = F.regexp_replace(out, r"__[A-Z]+(?:_[A-Z]+)*__", "")
+    for pattern in (r"\{\{[^{}]*\}\}", r"(?i)\[\[(?:Category|File|Image|Media):[^\[\]]*\]\]"):
+        for _ in range(depth):
+            out = F.regexp_replace(out, pattern, "")
+    return out
+
+
+def _heading_line(line: Column) -> Column:
+    """A line as a heading if it is one, the most signs first; its anchor has no tags and underscores for spaces."""
+    out = line
+    for level in range(2, 7):
+        shape = rf"^={{{level}}}\s*(.+?)\s*={{{level}}}\s*$"
+        title = strip(F.regexp_extract(line, shape, 1))
+        anchor = _escaped(F.replace(strip(F.regexp_replace(title, "<[^>]+>", "")), F.lit(" "), F.lit("_")))
+        made = F.concat(F.lit(f'<h{level} id="'), anchor, F.lit('">'), title, F.lit(f"</h{level}>"))
+        out = F.when(line.rlike(shape), made).otherwise(out)
+    return out
+
+
+def markup_to_html(text: Column) -> Column:
+    """Headings with anchors, bold, italics and links of markup as HTML; the rest is left as it is. Lines lose white space at their ends."""
+    out = clean_markup(literal_blocks(text))
+    out = F.array_join(F.transform(F.split(out, "\n"), _heading_line), "\n")
     out = F.regexp_replace(out, r"'''''(.+?)'''''", "<b><i>$1</i></b>")
     out = F.regexp_replace(out, r"'''(.+?)'''", "<b>$1</b>")
     out = F.regexp_replace(out, r"''(.+?)''", "<i>$1</i>")
     out = F.regexp_replace(out, r"\[\[([^\[\]|]+)\|([^\[\]]+)\]\]([a-z]*)", '<a href="/article/$1">$2$3</a>')
     out = F.regexp_replace(out, r"\[\[([^\[\]|]+)\]\]([a-z]*)", '<a href="/article/$1">$1$2</a>')
-    return F.regexp_replace(out, r"\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"(?m)[ \t\f\x0B\r]+$", "")
+
+
+def snippet(text: Column) -> Column:
+    """The first sentence of an article's lead, its markup taken off."""
+    return first_sentence(strip_markup(F.regexp_replace(text, r"(?s)\n=.*$", "")))

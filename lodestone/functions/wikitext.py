@@ -100,6 +100,18 @@ def _folded(text: str, left: str, right: str, render: Callable[[str], str]) -> s
     return "".join(stack[0])
 
 
+def link_targets(text: str) -> list[str]:
+    """Targets of all closed links in order, those inside of templates and of other links too; comments hold none."""
+    text, found, stack = _COMMENT.sub("", text), [], []
+    for m in re.finditer(r"\[\[|\]\]", text):
+        if m[0] == "[[":
+            stack.append(m.end())
+        elif stack:
+            begin = stack.pop()
+            found.append((begin, re.split(r"[|#]|\[\[", text[begin : m.start()], maxsplit=1)[0].strip()))
+    return [target for _, target in sorted(found) if target and "\n" not in target]
+
+
 def _formula_end(text: str, at: int) -> int:
     """Where the braces that close a template begin, single ones inside counted; -1 if they are missing."""
     depth = 0

@@ -45,3 +45,21 @@ def embed_papers(papers: DataFrame, html: Column, dimension: int, embed=hashed_e
     status = F.when(F.col("markdown").isNull(), "no_html").otherwise("embedded")
     done = read.join(counts, "id", "left").select("id", status.alias("status"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
     return done, chunks
+
+
+def embed_counts(articles: DataFrame, meta: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row about an embedding job: articles new, updated, skipped and failed (without a chunk), and chunks."""
+    state = embedded_state(articles, meta, "page_id", "revision_id")
+    found = state.join(chunks.groupBy("page_id").agg(F.count("*").alias("n")), "page_id", "left")
+    of = lambda s: F.count_if((F.col("state") == s) & F.col("n").isNotNull())
+    return found.agg(
+        of("new").alias("new"), of("updated").alias("updated"), F.count_if(F.col("state") == "skipped").alias("skipped"),
+        F.count_if((F.col("state") != "skipped") & F.col("n").isNull()).alias("failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"),
+    )
+
+
+def embed_abstracts(papers: DataFrame, meta: DataFrame, dimension: int, embed=hashed_embedding) -> DataFrame:
+    """(id, oai_datestamp, state, embedding) of papers whose abstract is new or of another datestamp than in `meta` (id, oai_datestamp); one paper or all."""
+    state = embedded_state(papers, meta, "id", "oai_datestamp").filter("state <> 'skipped'")
+    todo = papers.join(state, "id")
+    return todo.select("id", "oai_datestamp", "state", embed(X.paper_prompt(F.col("title"), F.col("abstract"), F.col("categories")), dimension).alias("embedding"))

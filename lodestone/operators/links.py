@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from lodestone.functions.text import is_redirect, links, redirect_target
+from lodestone.cluster import ship
+from lodestone.functions.text import is_excluded, is_redirect, links, normalize_title, redirect_target, strip
+from lodestone.functions.wikitext import link_targets
 
 
 def with_redirects(articles: DataFrame, text: str = "text") -> DataFrame:
@@ -21,6 +25,20 @@ def edges(articles: DataFrame, title: str = "title", text: str = "text") -> Data
     return found.select("src", "dst", "pos")
 
 
+def accurate_edges(articles: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
+    """(src, dst, pos) like `edges`, from closed links only: brackets are paired, and comments hold no links."""
+    ship(articles.sparkSession)
+    found = articles.filter(~is_redirect(F.col(text))).select(F.col(title).alias("src"), _targets(F.col(text)).alias("t"))
+    named = F.transform("t", lambda t: normalize_title(strip(t)))
+    kept = F.array_distinct(F.filter(named, lambda t: ~is_excluded(t) & (t != F.col("src"))))
+    return found.select("src", F.posexplode(kept).alias("pos", "dst")).select("src", "dst", "pos")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _targets(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: link_targets(t or ""))
+
+
 def resolve_redirects(titles: DataFrame, articles: DataFrame, max_hops: int = 5) -> DataFrame:
     """(title, resolved): the article at the end of each title's redirect chain; null if it is missing, a cycle or too long.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +54,17 @@ def expand(items: DataFrame, edge_table: DataFrame) -> DataFrame:
     )
 
 
-def drain(items: DataFrame, articles: DataFrame, meta: DataFrame, edge_table: DataFrame, hops: int) -> DataFrame:
-    """All items of all jobs after `hops` rounds of settling and expanding, each a job over the whole frontier."""
+def drain(items: DataFrame, articles: DataFrame, meta: DataFrame, edge_table: DataFrame, hops: int, cancelled: Callable[[], bool] = lambda: False) -> DataFrame:
+    """All items of all jobs after `hops` rounds of settling and expanding, each a job over the whole frontier.
+
+    `cancelled` is asked before each round; once it is true, what is queued stays queued.
+    """
     for _ in range(hops):
+        if cancelled():
+            return items
         items = settle(items, articles, meta)
         items = enqueue(items, expand(items, edge_table))
-    return settle(items, articles, meta)
+    return items if cancelled() else settle(items, articles, meta)
 
 
 def link_items(sources: DataFrame, edge_table: DataFrame, articles: DataFrame, depth: int) -> DataFrame:
@@ -149,5 +156,5 @@ def settle_papers(items: DataFrame, papers: DataFrame, results: DataFrame, now:
 
 
 def recover(jobs: DataFrame) -> DataFrame:
-    """After a crash: running jobs have failed, queued ones stay queued."""
+    """After a crash, jobs or items: those that were running have failed, queued ones stay queued."""
     return jobs.withColumn("status", F.when(F.col("status").isin("running", "in_progress"), "failed").otherwise(F.col("status")))

@@ -122,6 +122,18 @@ def hybrid(
     return best.select(key, "score", F.row_number().over(W.orderBy(F.desc("score"), "first")).alias("rank"))
 
 
+def checked_request(query: str, corpus: str, top_k: int, corpora: list[str], most: int = 50) -> tuple[str, str, int]:
+    """A request with its query trimmed; ValueError for a blank query or corpus and a `top_k` out of bounds, LookupError for an unknown corpus."""
+    query, corpus = query.strip(), corpus.strip()
+    if not query or not corpus:
+        raise ValueError("query and corpus must not be blank")
+    if not 1 <= top_k <= most:
+        raise ValueError(f"top_k must be between 1 and {most}")
+    if corpus not in corpora:
+        raise LookupError(f"no corpus {corpus}")
+    return query, corpus, top_k
+
+
 def retrieve(
     query: str, search: Callable[[str], DataFrame], key: str, vectors: DataFrame | None, vector: Column | None,
     embed: Callable[[str], list[float]] | None, meta: DataFrame, top_k: int = 5, **given,

@@ -31,6 +31,19 @@ def embed_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.embed_papers(papers, F.col("html"), DIMENSION)[0].select("id", "status")
 
 
+def embed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, meta = articles(spark, sf_dir), embedded(spark, sf_dir)
+    return E.embed_counts(pages, meta, E.embed_articles(pages, meta, DIMENSION)).select("new", "updated", "skipped", "failed")
+
+
+def embed_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    stamp = F.concat(F.lit("2026-01-0"), (F.col("doc_id") % 3 + 1).cast("string"))
+    papers = d.select(F.col("doc_id").alias("id"), stamp.alias("oai_datestamp"), F.col("source").alias("title"), F.coalesce("text", F.lit("")).alias("abstract"), F.col("lang").alias("categories"))
+    meta = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("2026-01-0"), (F.col("doc_id") % 2 + 1).cast("string")).alias("oai_datestamp"))
+    return E.embed_abstracts(papers, meta, DIMENSION).select("id", "state", F.size("embedding").alias("dimension"))
+
+
 def paper_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     papers = d.select("doc_id", X.paper_prompt(F.col("source"), F.coalesce("text", F.lit("")), F.col("lang")).alias("text"))
@@ -48,8 +61,13 @@ def verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (embed_articles, embedded_pages, embed_papers, paper_search, verify_report)}
+QUERIES = {f.__name__: f for f in (embed_articles, embedded_pages, embed_papers, embed_counts, embed_abstracts, paper_search, verify_report)}
 ORACLE_SQL = {
+    "embed_counts": """WITH s AS (SELECT d.doc_id % 7 = 3 AS redirect, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN d.doc_id % 3 = d.doc_id % 2 THEN 'skipped' ELSE 'updated' END AS state
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) SELECT count(*) FILTER (state = 'new' AND NOT redirect) AS new, count(*) FILTER (state = 'updated' AND NOT redirect) AS updated,
+count(*) FILTER (state = 'skipped') AS skipped, count(*) FILTER (state <> 'skipped' AND redirect) AS failed FROM s""",
+    "embed_abstracts": """SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN 'new' ELSE 'updated' END AS state, 8 AS dimension
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR d.doc_id % 3 <> d.doc_id % 2""",
     "embedded_pages": """SELECT doc_id AS page_id, CASE WHEN doc_id % 7 = 3 THEN doc_id * 10 + doc_id % 2 ELSE doc_id * 10 + doc_id % 3 END AS revision_id
 FROM documents WHERE doc_id % 7 <> 3 OR doc_id IN (SELECT doc_id FROM labels)""",
     "embed_papers": "SELECT page_id AS id, CASE WHEN page_id % 10 = 3 THEN 'no_html' ELSE 'embedded' END AS status FROM pages",

@@ -10,6 +10,7 @@ from lodestone.functions import text as X
 from lodestone.operators import chunks as C
 from lodestone.operators import links as L
 from lodestone.operators import queue as Q
+from lodestone.sources.catalog import ordered_scan
 from lodestone.plans.corpus import ARTICLES, EMBEDDED, RESOLVED, articles, edges, embedded, table, titles
 
 ORACLE_SQL: dict[str, str] = {}
@@ -40,6 +41,17 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.edges(articles(spark, sf_dir))
 
 
+@query(f"WITH {ARTICLES} SELECT src, dst, pos FROM edges")
+def accurate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.accurate_edges(articles(spark, sf_dir))
+
+
+@query(f"WITH {ARTICLES} SELECT page_id, revision_id FROM linked WHERE NOT is_redirect ORDER BY page_id LIMIT 100")
+def ordered_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first articles in the order of their ids, as a job with a limit scans them."""
+    return ordered_scan(titles(spark, sf_dir).filter("NOT is_redirect"), "page_id", 100).select("page_id", "revision_id")
+
+
 @query(f"WITH RECURSIVE {ARTICLES}, {RESOLVED} SELECT l.title, r.resolved FROM linked l LEFT JOIN resolved r ON r.title = l.title")
 def redirect_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = titles(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.sources.publish import _Files, restore
 
@@ -38,3 +39,8 @@ def corpus_info(spark: SparkSession, base: str, corpus: str, settings: dict[str,
     except FileNotFoundError:
         count = 0
     return {"corpus": corpus, **settings, "embedded": count}
+
+
+def corpora_with(spark: SparkSession, base: str, name: str, column: str, value: str) -> list[str]:
+    """The corpora whose table `name` has a row with `value` in `column`; each is asked for one row, by a filter that its files prune."""
+    return [c for c in corpora(spark, base, name) if not open_table(spark, base, c, name).filter(F.col(column) == value).select(column).limit(1).isEmpty()]

@@ -9,7 +9,7 @@ from lodestone.operators import links as L
 from lodestone.operators import merges as M
 from lodestone.operators import queue as Q
 from lodestone.operators import retrieval as R
-from lodestone.sources import catalog, harvest, publish, wiki_dump
+from lodestone.sources import catalog, harvest, publish, settings, wiki_dump
 from lodestone.streaming.refresh import refresh_stream
 
 PAGE = "<page><title>{t}</title><ns>{n}</ns><id>{i}</id><revision><id>{r}</id><timestamp>2026</timestamp><contributor><username>u</username><id>7</id></contributor><text bytes=\"3\" xml:space=\"preserve\"> {x} </text></revision></page>"
@@ -135,10 +135,31 @@ def test_catalog(spark, tmp_path):
         catalog.open_table(spark, str(tmp_path), "other", "chunks")
     scan = spark.createDataFrame([(3, 0, "c"), (1, 0, "a"), (2, 1, "b")], "page_id int, namespace int, t string")
     assert [r.page_id for r in catalog.ordered_scan(scan.filter("namespace = 0"), "page_id", 5).collect()] == [1, 3]
+    publish.publish(spark.createDataFrame([("A",)], "title string"), str(tmp_path / "simple" / "titles"))
+    publish.publish(spark.createDataFrame([("B",)], "title string"), str(tmp_path / "other" / "titles"))
+    assert catalog.corpora_with(spark, str(tmp_path), "titles", "title", "B") == ["other"]
+    assert R.checked_request(" q ", "simple", 5, ["simple"]) == ("q", "simple", 5)
+    for bad in ((" ", "simple", 5), ("q", "", 5), ("q", "simple", 0), ("q", "simple", 51)):
+        with pytest.raises(ValueError):
+            R.checked_request(*bad, ["simple"])
+    with pytest.raises(LookupError):
+        R.checked_request("q", "none", 5, ["simple"])
     info = catalog.corpus_info(spark, str(tmp_path), "simple", {"display_name": "Simple", "model": "m", "dimension": "8", "max_top_k": "50"}, "chunks")
     assert (info["corpus"], info["embedded"], info["display_name"]) == ("simple", 2, "Simple")
 
 
+def test_settings(spark, tmp_path):
+    path = str(tmp_path / "meta")
+    assert settings.get(spark, path, "a") is None
+    settings.put(spark, path, {"a": "1", "b": "2"})
+    settings.put(spark, path, {"a": "3"})
+    assert (settings.get(spark, path, "a"), settings.get(spark, path, "b")) == ("3", "2")
+    settings.fix_dimension(spark, path, 768)
+    settings.fix_dimension(spark, path, 768)
+    with pytest.raises(ValueError, match="768"):
+        settings.fix_dimension(spark, path, 64)
+
+
 def test_index_changes(spark, tmp_path):
     from lodestone.operators import index as I
 
@@ -211,6 +232,8 @@ def test_links_and_counts(spark):
     articles = L.with_redirects(spark.createDataFrame(pages, "title string, text string"))
     edges = L.edges(articles)
     narrow = articles.select("title", "redirect_to", "is_redirect")
+    nested = spark.createDataFrame([("A", "{{t|[[in]]}} [[File:x|see [[b]]]] <!-- [[no]] --> [[c|[[d]]]] [[open"), ("R", "#REDIRECT [[x]]")], "title string, text string")
+    assert [(r.dst, r.pos) for r in L.accurate_edges(nested).orderBy("pos").collect()] == [("In", 0), ("B", 1), ("C", 2), ("D", 3)]
     embedded = spark.createDataFrame([("E",)], "title string")
     resolved = {r.title: r.resolved for r in L.resolve_redirects(narrow.select("title"), narrow).collect()}
     assert resolved["Bredirect"] == "B" and resolved["X"] is None and resolved["A"] == "A"
@@ -231,6 +254,9 @@ def test_queue(spark):
     start = spark.createDataFrame([(1, "A", "queued", 2, 0)], items.schema)
     got = {r.title: r.status for r in Q.drain(start, articles, meta, edges, 2).collect()}
     assert got == {"A": "complete", "B": "complete", "C": "skipped_unchanged"}
+    asked = iter([False, True])
+    got = {r.title: r.status for r in Q.drain(start, articles, meta, edges, 2, lambda: next(asked, True)).collect()}
+    assert got == {"A": "complete", "B": "queued"}
 
 
 def test_queue_life(spark):

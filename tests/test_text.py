@@ -105,8 +105,21 @@ a
 
 
 def test_markup_html(spark):
-    out = values(spark, X.markup_to_html(F.col("t")), ["== H ==\n'''b''' ''i'' [[A|b]]s [[Category:C]]"])
-    assert out == ['<h2 id="H">H</h2>\n<b>b</b> <i>i</i> <a href="/article/A">bs</a> ']
+    texts = [
+        "== H ==\n'''b''' ''i'' [[A|b]]s [[Category:C]]",
+        "=== A <b>c</b> \"d\" ===\n== = ==\nx  \n\n\n\ny__TOC__ __init__",
+        "<nowiki>[[x]] <b></nowiki> <NOWIKI>&</NOWIKI> <nowiki>open",
+        "<gallery mode=x>\nFile:a.png|One [[l]]\nimage:b.png\nnote|no\n File:c.png| Two \n</gallery><gallery></gallery><score x>a</score><mapframe a=1/>",
+        "a<!-- c -->{{t|{{u|{{v}}}}}}<ref name=x/><ref>r\n</ref><references><ref>q</ref></references><includeonly>no</includeonly><noinclude>yes</noinclude>[[File:x|[[Image:y]] z]]",
+    ]
+    assert values(spark, X.markup_to_html(F.col("t")), texts) == [
+        '<h2 id="H">H</h2>\n<b>b</b> <i>i</i> <a href="/article/A">bs</a>',
+        '<h3 id="A_c_&quot;d&quot;">A <b>c</b> "d"</h3>\n<h2 id="=">=</h2>\nx\n\ny __init__',
+        "&#91;&#91;x&#93;&#93; &lt;b&gt; &amp; <nowiki>open",
+        '<ul class="gallery-captions">\n<li>One <a href="/article/l">l</a></li>\n<li>Two</li>\n</ul><div class="unsupported-content">[unsupported: score]</div><div class="unsupported-content">[unsupported: mapframe]</div>',
+        "ayes",
+    ]
+    assert values(spark, X.snippet(F.col("t")), ["{{box}}'''A''' is [[x|one]] thing here. And more.\n== H =="]) == ["A is one thing here."]
 
 
 def pack(text, limit):
