@@ -57,14 +57,19 @@ class Vocabulary:
 
 
 class Codec(Vocabulary):
-    """Encoder for one rank file; pieces up to `memo_bytes` are remembered, at most `memo_size` of them."""
+    """Encoder for one rank file; pieces of up to `memo_chars` characters are remembered, at most `memo_size` of them.
 
-    def __init__(self, rank_file: bytes, pattern: str, memo_size: int = 400_000, memo_bytes: int = 48):
+    What is remembered is kept in two halves: when the newer one is full it takes the place
+    of the older one, from which only pieces that were met again have been carried over.
+    """
+
+    def __init__(self, rank_file: bytes, pattern: str, memo_size: int = 200_000, memo_chars: int = 48):
         super().__init__(rank_file)
         self.ranks = {token: rank for rank, token in self.tokens.items()}
         self.split_text = regex.compile(pattern).findall
-        self.memo_size, self.memo_bytes = memo_size, memo_bytes
+        self.memo_size, self.memo_chars = memo_size, memo_chars
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
         self._learn_merges()
 
@@ -148,7 +153,7 @@ class Codec(Vocabulary):
 
     def forget(self) -> None:
         """Free what was remembered, so that a worker that is kept for other work stays small."""
-        self.memo.clear()
+        self.memo, self.older = {}, {}
         self.fits.clear()
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -189,15 +194,17 @@ class Codec(Vocabulary):
 
     def encode_packed(self, text: str) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""
-        memo, out = self.memo, []
+        memo, older, out = self.memo, self.older, []
         for piece in self.split_text(text):
             packed = memo.get(piece)
             if packed is None:
-                raw = piece.encode("utf-8", "surrogatepass")
-                packed = _packed(self.encode_piece(raw))
-                if len(raw) <= self.memo_bytes:
-                    if len(memo) >= self.memo_size:
-                        memo.clear()
+                packed = older.get(piece)
+                if packed is None:
+                    packed = _packed(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
+                if len(piece) <= self.memo_chars:
+                    if len(memo) >= self.memo_size // 2:
+                        self.older, self.memo = memo, {}
+                        memo, older = self.memo, self.older
                     memo[piece] = packed
             out.append(packed)
         return b"".join(out)

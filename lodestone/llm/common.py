@@ -71,6 +71,14 @@ def highest_before(values: Column) -> Column:
     return before_each(values, lambda a, b: F.greatest(a, b))
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame of a few rows, as Arrow: without a Python worker on the executors, which rows of tuples would start."""
+    shape = StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(shape)
+    arrow = to_arrow_schema(shape)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), shape)
+
+
 def remainder(column: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null stays null."""
     return F.crc32(column.cast("string").cast("binary")) % n

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_batches, one_text
+from lodestone.llm.common import map_batches, one_text, small_table
 
 #: n-gram length -> entries of its table
 TABLES = {1: 1 << 10, 2: 1 << 12, 3: 1 << 14}
@@ -139,13 +139,13 @@ def fit(
     # a hash low enough for over four times the rows wanted, so that few rows of a frequent language are ranked
     low = F.shiftrightunsigned(F.xxhash64("_k"), 1)
     most = [(r._l, min(int(min(1.0, (4 * per_language + 60) / max(1, r.n)) * (1 << 63)), (1 << 63) - 1)) for r in counts]
-    limits = F.broadcast(spark.createDataFrame(most, "_l string, _most bigint"))
+    limits = F.broadcast(small_table(spark, most, "_l string, _most bigint"))
     first = W.partitionBy("_l").orderBy("_h", "_k")
     near = rows.withColumn("_h", low).join(limits, "_l").filter(F.col("_h") <= F.col("_most")).select("_l", "_k", "_h").distinct()
     chosen = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
     ids = sorted((r._k, r._l) for r in chosen.select("_k", "_l").collect())  # at most per_language * max_languages, or one for each language
     kind = df.schema[key].dataType.simpleString()
-    wanted = F.broadcast(spark.createDataFrame(ids, f"_k {kind}, _l string"))
+    wanted = F.broadcast(small_table(spark, ids, f"_k {kind}, _l string"))
     sample = df.filter(known).select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.col(text).alias("_t")).join(wanted, ["_k", "_l"], "left_semi")
     sample = one_text(sample, ["_k", "_l"])  # ids that stand in many rows do not widen the bound
 

@@ -10,8 +10,8 @@ ceil(least * n) + 1 of each in any common order of all shingles, so every such p
 for certain. The order is by hash, with the shingles that are frequent in a sample of
 documents last, so that few documents meet in one; any set of frequent ones is right.
 Of documents that meet, sizes and a fingerprint of `WORDS` * 64 bits decide who is a
-candidate: sets of a similarity of 0.8 differ in some 39 of 256 bits, with a deviation
-below 6, and random ones in 128; `CANDIDATE_BITS` = 72 is over five deviations above.
+candidate: sets of a similarity of 0.8 differ in some 19 of 128 bits, with a deviation of
+4, and random ones in 64; `CANDIDATE_BITS` = 42 is over five deviations above the first.
 Small sets deviate more and are candidates at any distance.
 
 Candidates are verified exactly by their sets, in two steps that follow a loose component
@@ -41,7 +41,7 @@ from lodestone.llm.common import cut, map_batches, told_apart
 from lodestone.llm.components import connected_components, forest
 from lodestone.llm.simhash import hashes, links
 
-WORDS, CANDIDATE_BITS = 4, 72
+WORDS, CANDIDATE_BITS = 2, 42
 SMALL = 16  # shingles; smaller sets are candidates whatever their distance
 SAMPLE, FREQUENT = 10_000, 200_000  # documents asked for frequent shingles, and shingles kept of them
 COLUMNS = 2048

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.cluster import ship
-from lodestone.llm.common import cut, map_batches, one_text
+from lodestone.llm.common import cut, map_batches, one_text, small_table
 
 WORD = re.compile(r"\w+")
 STEMS = range(4, 8)
@@ -223,7 +223,7 @@ def fit(
     sample, everywhere = _sample(labels, usable, key, label, positives, negatives)
     if not sample:
         return None
-    wanted = F.broadcast(spark.createDataFrame(sample, f"_k {df.schema[key].dataType.simpleString()}, _y int"))
+    wanted = F.broadcast(small_table(spark, sample, f"_k {df.schema[key].dataType.simpleString()}, _y int"))
     texts = one_text(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(wanted, "_k"), ["_k", "_y"])
 
     def read(batch: pa.RecordBatch) -> dict[str, object]:
