@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe, decontaminate, secrets, simhash_groups, toxicity
 from lodestone.llm.common import remainder, shared_folder, table
 from lodestone.llm.queries import RANKS
+from lodestone.scratch import scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,11 +90,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written and read again, so that a lost executor repeats no earlier stage."""
+    """All stages over `documents`, each written and read again, so that a lost executor repeats no earlier stage.
+
+    What a stage has put into the shared folder besides its result goes when it is written.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
+        with scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

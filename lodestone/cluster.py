@@ -17,9 +17,10 @@ def ship(spark: SparkSession) -> None:
     Functions that run in Python workers are pickled by reference, so workers need
     the package; Spark's own file server takes it there as a zip of a few kilobytes.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        # Spark's default; texts are long, so fewer rows travel at a time, which both sides hold in memory
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(rows) and spark.conf.get(rows) == "10000":
+        # Spark's default that nobody set; texts are long, so fewer rows travel at a time, which both sides hold in memory
+        spark.conf.set(rows, "2000")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -5,6 +5,7 @@ import bz2
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import scratch
 from lodestone.operators import links as L
 from lodestone.operators import merges as M
 from lodestone.operators import queue as Q
@@ -148,6 +149,19 @@ def test_catalog(spark, tmp_path):
     assert (info["corpus"], info["embedded"], info["display_name"]) == ("simple", 2, "Simple")
 
 
+def test_scratch_tables(spark):
+    with scratch.scope(spark):
+        inner = scratch.cut(spark.range(3))
+        assert inner.count() == 3
+    outer = scratch.cut(spark.range(2))
+    assert outer.count() == 2
+    with pytest.raises(Exception):
+        inner.count()
+    scratch.forget(outer)
+    with pytest.raises(Exception):
+        outer.count()
+
+
 def test_settings(spark, tmp_path):
     path = str(tmp_path / "meta")
     assert settings.get(spark, path, "a") is None
