@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as X
 from lodestone.operators import index as I
 from lodestone.operators import links as L
 from lodestone.scratch import cut, shared_folder
@@ -26,15 +27,24 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build):
     return _built[at]
 
 
-def documents_index(spark: SparkSession, sf_dir: str) -> str:
-    """The path of the stored index of documents, written when it is first asked for."""
+def _index(spark: SparkSession, sf_dir: str, name: str, text: Column) -> str:
+    """The path of a stored index over a text of the documents, written when it is first asked for."""
 
     def build() -> str:
-        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        I.write(table(spark, sf_dir, "documents"), path, "doc_id", F.col("text"))
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        I.write(table(spark, sf_dir, "documents"), path, "doc_id", text)
         return path
 
-    return _once(spark, sf_dir, "index", build)
+    return _once(spark, sf_dir, name, build)
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> str:
+    return _index(spark, sf_dir, "index", F.col("text"))
+
+
+def papers_index(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as papers: title, abstract and categories in one text."""
+    return _index(spark, sf_dir, "papers", X.paper_prompt(F.col("source"), F.coalesce("text", F.lit("")), F.col("lang")))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

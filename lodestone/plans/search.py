@@ -132,13 +132,13 @@ QUERIES = {
     )
 }
 
-_RRF = f"""{_bm25_sql(TERMS[:2], 'AND')},
-sp AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 50)),
+_FUSED = f"""sp AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 50)),
 dn AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY d, vec_id) AS r FROM
   (SELECT vec_id, list_distance(embedding::DOUBLE[], {_POINT}) AS d FROM embeddings ORDER BY d, vec_id LIMIT 50)),
 al AS (SELECT doc_id, r, 0 AS arm FROM dn UNION ALL SELECT doc_id, r, 1 FROM sp),
 fu AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + r)) AS s, min(arm * 1000 + r) AS f FROM al GROUP BY doc_id),
 top AS (SELECT doc_id, s, row_number() OVER (ORDER BY s DESC, f) AS rank FROM fu ORDER BY s DESC, f LIMIT 10)"""
+_RRF = f"{_bm25_sql(TERMS[:2], 'AND')}, {_FUSED}"
 
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_bm25_sql(TERMS[:2], 'AND')} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 50",
