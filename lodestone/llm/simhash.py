@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -180,26 +179,3 @@ def near_duplicates(
     names = parts.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut(parts.join(names, "component").select("fingerprint", "component_id"))
     return prints.join(named, "fingerprint").select(key, "fingerprint", "component_id")
-
-
-def keep_one(
-    df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 4, segments: int | None = None
-) -> DataFrame:
-    """The row of smallest id of each component of near-duplicates, all columns of `df` as they are.
-
-    Rows are told apart by a hash of id and text; of rows that agree in both one stays.
-    Only the kept rows' hashes are joined with the texts, which is the one time that
-    texts are shuffled.
-    """
-    # the document is one column from here on, so its columns may have any names
-    marked = df.select(F.struct(*df.columns).alias("_doc"), F.xxhash64(key, text).alias("_row"))
-    texts = marked.select(F.col(f"_doc.{key}").alias(key), "_row", F.col(f"_doc.{text}").alias(text))
-    prints = cut(fingerprint(texts, [key, "_row"], text, shingle))
-    parts = _components(prints, key, radius, segments).select("fingerprint", "component")
-    ordered = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r"))
-    # a first minimum for each fingerprint, so that a group of copies meets as one row
-    least = prints.groupBy("fingerprint").agg(F.min(ordered).alias("m"))
-    chosen = least.join(parts, "fingerprint").groupBy("component").agg(F.min("m").alias("m"))
-    kept = cut(chosen.select(F.col("m.r").alias("_row")))
-    once = marked.join(kept, "_row", "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("_row").orderBy("_row")))
-    return once.filter("_n = 1").select("_doc.*")

@@ -23,6 +23,7 @@ and of equally long ones the first; each row gives one row, repeated rows includ
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +137,12 @@ class Automaton:
         return fits
 
 
+@lru_cache(maxsize=4)
+def _automaton(globs: tuple[bytes, ...]) -> Automaton:
+    """One automaton for each list of rules in a Python worker."""
+    return Automaton(list(globs))
+
+
 def judge(
     df: DataFrame,
     site_rules: list[tuple[str, str]] = SITE_RULES,
@@ -158,7 +165,7 @@ def judge(
         F.regexp_extract(value, pattern, 3).alias("_rest"),
     )
     texts, verdicts = [r.text for r in rules[:n_site]], [r.verdict for r in rules[:n_site]]
-    globs = [r.glob for r in rules]
+    globs = tuple(r.glob for r in rules)
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
         hosts, paths, rests = (batch.column(i).to_pylist() for i in (1, 2, 3))
@@ -166,7 +173,7 @@ def judge(
             b"." + h.encode() + PATH_MARK + p.encode() + REST_MARK + r.encode()
             for h, p, r in zip(hosts, paths, rests, strict=True)
         ]
-        fits = Automaton(globs).match(urls)
+        fits = _automaton(globs).match(urls)
         site, other = fits[:, :n_site], fits[:, n_site:].any(axis=1)
         first = np.where(site.any(axis=1), site.argmax(axis=1), -1) if n_site else np.full(len(urls), -1)
         rule = [texts[k] if k >= 0 else None for k in first]

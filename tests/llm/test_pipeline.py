@@ -1,7 +1,5 @@
 """The pipeline against its stages written out by brute force."""
 
-import re
-
 import numpy as np
 import public_tokenizers
 import pytest
