@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import html as H
 from lodestone.functions import text as X
+from lodestone.operators import index
 from lodestone.operators.chunks import article_chunks, paper_chunks
 from lodestone.operators.merges import delete, embedded_state
 from lodestone.operators.retrieval import hashed_embedding
+from lodestone.scratch import cut
+from lodestone.sources.catalog import has_table, open_path
+from lodestone.sources.publish import publish
+from lodestone.sources.settings import fix_dimension
 
 
 def changed(articles: DataFrame, meta: DataFrame) -> DataFrame:
@@ -63,3 +68,43 @@ def embed_abstracts(papers: DataFrame, meta: DataFrame, dimension: int, embed=ha
     state = embedded_state(papers, meta, "id", "oai_datestamp").filter("state <> 'skipped'")
     todo = papers.join(state, "id")
     return todo.select("id", "oai_datestamp", "state", embed(X.paper_prompt(F.col("title"), F.col("abstract"), F.col("categories")), dimension).alias("embedding"))
+
+
+def _stored(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    return open_path(spark, path) if has_table(spark, path) else spark.createDataFrame([], columns)
+
+
+def run_embedding(spark: SparkSession, articles: DataFrame, folder: str, dimension: int, embed=hashed_embedding) -> dict[str, int]:
+    """One job over a corpus's articles (page_id, title, revision_id, text), all or one: what changed is chunked, embedded and indexed anew.
+
+    Below `folder`: `chunks` with their vectors, `articles_meta` with what is embedded,
+    `settings` with the dimension, `index` over the chunks. `articles_meta` is swapped
+    last: a job that broke off leaves its pages to be done again.
+    """
+    fix_dimension(spark, f"{folder}/settings", dimension)
+    meta = _stored(spark, f"{folder}/articles_meta", "page_id bigint, title string, revision_id bigint")
+    new = cut(_with_ids(embed_articles(articles, meta, dimension, embed)))
+    old = _stored(spark, f"{folder}/chunks", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema))
+    state = cut(embedded_state(articles, meta, "page_id", "revision_id"))
+    todo = state.filter("state <> 'skipped'").select("page_id")
+    gone = cut(old.join(todo, "page_id", "left_semi").select("chunk_id"))
+    counts = embed_counts(articles, meta, new).first().asDict()
+    done = cut(new_meta(meta, new))
+    publish(delete(old, todo, "page_id").unionByName(new), f"{folder}/chunks")
+    index.write(new, f"{folder}/index", "chunk_id", F.col("text"), gone=gone)
+    publish(done, f"{folder}/articles_meta")
+    return counts
+
+
+def _with_ids(chunks: DataFrame) -> DataFrame:
+    """Chunks named by their page, their place in it and their number there."""
+    return chunks.withColumn("chunk_id", F.concat_ws("-", "page_id", "place", "chunk_index"))
+
+
+def forget_pages(spark: SparkSession, folder: str, pages: DataFrame) -> None:
+    """Take pages (page_id) out of chunks, index and what is recorded as embedded."""
+    chunks, meta = open_path(spark, f"{folder}/chunks"), open_path(spark, f"{folder}/articles_meta")
+    gone = cut(chunks.join(pages, "page_id", "left_semi").select("chunk_id"))
+    publish(delete(meta, pages, "page_id"), f"{folder}/articles_meta")
+    publish(delete(chunks, pages, "page_id"), f"{folder}/chunks")
+    index.delete(spark, f"{folder}/index", gone)

@@ -96,13 +96,24 @@ def top_share(df: DataFrame, value: Column, key: str, least: int, share: int = 1
     return sums.select(F.round(mean, 6).alias("mean_length"), F.lit(wanted).cast("long").alias("n_rows"))
 
 
+#: What is left in a chunk of picture links that were read wrongly.
+PICTURE_NOISE = ["thumb|", "frame|", "frameless|", "upright|"]
+
+
 def with_any(df: DataFrame, text: str, needles: list[str]) -> DataFrame:
+    """Rows whose text holds any of `needles`, letters A-Z of either case."""
     hit = F.lit(False)
     for needle in needles:
-        hit = hit | F.col(text).contains(needle)
+        hit = hit | ascii_lower(F.col(text)).contains(needle.lower())
     return df.filter(hit)
 
 
+def without_noise(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """`chunks` without those of any page that has a chunk with picture noise, so that the page is chunked anew."""
+    noisy = with_any(chunks, text, PICTURE_NOISE).select(key).distinct()
+    return chunks.join(noisy, key, "left_anti")
+
+
 def _order(key: str, seed: str) -> Column:
     """The first 32 bits of a digest of seed and key, as a number."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")

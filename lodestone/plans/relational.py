@@ -283,6 +283,19 @@ def count_after_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_nationkey").agg(F.min("s_suppkey").alias("first_supplier"), F.count("s_suppkey").alias("suppliers"))
 
 
+@query("SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 0)")
+def rechunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of their source: a source with one noisy chunk loses all."""
+    noisy = F.when(F.col("doc_id") % 97 == 0, " [[x.png|THUMB|y]]").otherwise(" thumb, frame")
+    chunks = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"\|", "/"), noisy).alias("text"))
+    return P.without_noise(chunks, "source", "text").select("doc_id")
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 5")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source").orderBy("doc_id").limit(5)
+
+
 _ORDER = "('0x' || substr(md5('{}:' || doc_id), 1, 8))::BIGINT"
 
 

@@ -18,15 +18,23 @@ def corpora(spark: SparkSession, base: str, name: str) -> list[str]:
     return sorted({path.rstrip("/").rsplit("/", 2)[1] for path in found})
 
 
-def open_table(spark: SparkSession, base: str, corpus: str, name: str) -> DataFrame:
-    """A corpus's table; FileNotFoundError if there is none. One whose last swap broke off is put back first."""
-    path = table_path(base, corpus, name)
+def has_table(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at `path`; one whose last swap broke off is put back first."""
     restore(spark, path)
-    if not _Files(spark, base).exists(path):
-        raise FileNotFoundError(f"{corpus} has no table {name}")
+    return _Files(spark, path).exists(path)
+
+
+def open_path(spark: SparkSession, path: str) -> DataFrame:
+    if not has_table(spark, path):
+        raise FileNotFoundError(f"there is no table at {path}")
     return spark.read.parquet(path)
 
 
+def open_table(spark: SparkSession, base: str, corpus: str, name: str) -> DataFrame:
+    """A corpus's table; FileNotFoundError if there is none."""
+    return open_path(spark, table_path(base, corpus, name))
+
+
 def ordered_scan(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     """Rows in the order of `key`, the first `limit` of them if it is given."""
     return df.orderBy(key) if limit is None else df.orderBy(key).limit(limit)

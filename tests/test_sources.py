@@ -219,6 +219,27 @@ def test_index_reads_only_the_terms(spark, tmp_path):
     assert every
 
 
+def test_embedding_job(spark, tmp_path):
+    from lodestone.operators import embedding as E
+    from lodestone.operators import index as I
+
+    folder = str(tmp_path)
+    schema = "page_id bigint, title string, revision_id bigint, text string"
+    pages = {1: ("A", 1, "cats purr\n== S ==\nmore cats"), 2: ("B", 1, "dogs bark"), 3: ("R", 1, "#REDIRECT [[A]]")}
+    run = lambda: E.run_embedding(spark, spark.createDataFrame([(k, *v) for k, v in pages.items()], schema), folder, 8)
+    find = lambda q: {r.key.split("-")[0] for r in I.search(spark, f"{folder}/index", q).collect()}
+    assert run() == {"new": 2, "updated": 0, "skipped": 0, "failed": 1, "chunks": 3}
+    assert find("cats") == {"1"} and find("dogs") == {"2"}
+    pages |= {1: ("A", 2, "birds sing")}
+    assert run() == {"new": 0, "updated": 1, "skipped": 1, "failed": 1, "chunks": 1}
+    assert find("cats") == set() and find("birds") == {"1"} and find("dogs") == {"2"}
+    assert sorted((r.page_id, r.text) for r in spark.read.parquet(f"{folder}/chunks").collect()) == [(1, "birds sing"), (2, "dogs bark")]
+    E.forget_pages(spark, folder, spark.createDataFrame([(2,)], "page_id bigint"))
+    assert find("dogs") == set() and [r.page_id for r in spark.read.parquet(f"{folder}/articles_meta").collect()] == [1]
+    with pytest.raises(ValueError):
+        E.run_embedding(spark, spark.createDataFrame([], schema), folder, 16)
+
+
 def test_retrieve(spark, tmp_path):
     from lodestone.operators import index as I
 
