@@ -47,15 +47,18 @@ def postings(df: DataFrame, key: str, text: Column) -> DataFrame:
     return grouped.select("term", "key", "length", "positions")
 
 
+def _clustered(found: DataFrame) -> DataFrame:
+    """Postings side by side by their bucket and sorted in it; adaptive execution cuts a bucket with a term of very many documents into several files."""
+    return found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "key")
+
+
 def write(df: DataFrame, path: str, key: str, text: Column, gone: DataFrame | None = None, buckets: int = BUCKETS) -> int:
     """Add a segment with the documents of `df`, in place of what the index has of their ids and of those in `gone` (key); gives its number."""
     spark = df.sparkSession
     last = _last(spark, path)
     number, at = last + 1, f"segment={last + 1}"
     found = postings(df, key, text).withColumn("bucket", _bucket(F.col("term"), buckets))
-    # by range, so that a term of very many documents is cut into several files
-    spread = found.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key")
-    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{at}")
+    _clustered(found).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{at}")
     lengths = df.select(F.col(key).alias("key"), F.size(T.words(text)).alias("length"))
     lengths.write.mode("overwrite").parquet(f"{path}/lengths/{at}")
     lengths = spark.read.parquet(f"{path}/lengths/{at}")
@@ -100,8 +103,7 @@ def compact(spark: SparkSession, path: str, new: str, buckets: int = BUCKETS) ->
     """Write the index anew at `new`, as one segment without replaced rows; no text is read."""
     last = _last(spark, path)
     found = _alive(spark, path, "postings", last).withColumn("bucket", _bucket(F.col("term"), buckets))
-    spread = found.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key")
-    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{new}/postings/segment=0")
+    _clustered(found).write.mode("overwrite").partitionBy("bucket").parquet(f"{new}/postings/segment=0")
     lengths = _alive(spark, path, "lengths", last)
     lengths.write.mode("overwrite").parquet(f"{new}/lengths/segment=0")
     lengths.select("key").write.mode("overwrite").parquet(f"{new}/gone/segment=0")
