@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestone.cluster import ship
-from lodestone.llm.common import map_batches
+from lodestone.llm.common import give_back, map_batches
 
 NONE = -1
 
@@ -255,6 +255,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", key:
                     yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, type=pa.binary()) for c in columns)], names=names)
         finally:
             codec.forget()
+            give_back()
 
     return df.select(key, text).mapInArrow(run, target)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestone.cluster import ship
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, give_back
 
 
 def split_large(rows: DataFrame, bucket: str, member: str, limit: int) -> DataFrame:
@@ -79,6 +79,8 @@ def map_groups(
         if waiting:
             done, _, starts = whole(True)
             yield from work(done, starts)
+        waiting = []
+        give_back()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

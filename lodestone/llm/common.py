@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -97,6 +98,19 @@ def told_apart(df: DataFrame, hash_: str, check: str) -> DataFrame:
     return apart.withColumn(hash_, F.when(F.col("_shared"), F.col(check)).otherwise(F.col(hash_))).drop("_shared", check)
 
 
+try:
+    _C = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _C = None
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: Spark keeps the worker for other work, beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    if _C is not None:
+        _C.malloc_trim(0)
+
+
 def map_batches(
     df: DataFrame, schema: str, row_batch: Callable[[pa.RecordBatch], dict[str, object]], rows: int = 512
 ) -> DataFrame:
@@ -117,6 +131,8 @@ def map_batches(
                     value if isinstance(value, pa.Array) else pa.array(value, type=arrow.field(name).type)
                     for name, value in ((n, out[n]) for n in names)
                 ]
+                del out
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        give_back()
 
     return df.mapInArrow(run, target)

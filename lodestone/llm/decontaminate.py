@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.cluster import ship
-from lodestone.llm.common import cut, map_batches
+from lodestone.llm.common import cut, give_back, map_batches
 
 K1, B = 1.2, 0.75
 RUN = 5
@@ -326,6 +326,7 @@ def decontaminate(
                         bad = {m[0] for m in one.value.matches(texts, retrieve, question, answer)}
                         part = part.filter(pa.array([k not in bad for k in range(len(texts))], type=pa.bool_()))
                     yield part
+            give_back()
 
         documents = documents.mapInArrow(run, documents.schema)
     return documents

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.cluster import ship
-from lodestone.llm.common import cut, map_batches, one_text, small_table
+from lodestone.llm.common import cut, give_back, map_batches, one_text, small_table
 
 WORD = re.compile(r"\w+")
 STEMS = range(4, 8)
@@ -308,5 +308,8 @@ def keep_clean(df: DataFrame, classifier: Classifier | None, text: str = "text",
                 part = batch.slice(at, 512)
                 clean = [c is None or c.score(c.found(words_of(t or ""))) < threshold for t in part.column(place).to_pylist()]
                 yield part.filter(pa.array(clean, type=pa.bool_()))
+        if c is not None:
+            c.memo.clear()
+        give_back()
 
     return df.mapInArrow(run, df.schema)
