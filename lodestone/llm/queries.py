@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, capfilter, decontaminate, filteraudit, langid, licenses, secrets, sharding, simhash, toxicity, urlfilter, vectorcodes
+from lodestone.llm import bpe, capfilter, decontaminate, filteraudit, langid, licenses, secrets, sharding, simhash, suffixdedup, toxicity, urlfilter, vectorcodes
 from lodestone.llm.common import remainder, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -92,6 +92,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_filter_audit": op11_filter_audit,
     "op12_vector_codes": op12_vector_codes,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 
