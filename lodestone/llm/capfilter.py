@@ -8,7 +8,14 @@ List decoding gives the filters whose cap the vector lies in without trying all:
 highest sums of two lists can only come from the tops of both. The height is set for
 each vector such that `list_size` filters are exceeded; one height for all would leave
 some vectors in no cap and others in thousands. `codewords` grows with the fourth root
-of the number of vectors, so that strangers seldom share a filter at any size.
+of the number of vectors, so that strangers seldom share a filter.
+
+How often two vectors at the threshold share a filter of one rotation depends on the
+dimension, the directions and the list alone, since a rotation turns any pair into a
+random one. It is measured on random pairs before the work begins; rotations are then as
+many as a miss of 1 in 500 asks for. Few dimensions hold few caps of that angle: where
+over 12 rotations would be needed, directions are fewer instead, and a vector meets more
+strangers, as it then has more true neighbours too.
 
 Vectors meet in the filters they share, within a label, and every pair that meets is
 verified by its cosine in double precision. Names of vectors and filters are shuffled
@@ -19,7 +26,7 @@ ever written: a task passes on sums for each vector and a forest of links. Bucke
 beyond `bucket_limit` vectors are dealt over several tasks.
 
 Recall at cosine 0.98 itself, where it is lowest, of random pairs (tests measure it):
-0.998 and more in 16, 64 and 384 dimensions for 16 to 128 directions.
+0.995 and more in 8, 16, 64 and 384 dimensions for 16 to 1,024 directions.
 
 Defined results: vectors that are null, zero or of a null label, or that hold null or
 non-finite components, have no links and are their own component; so are those whose
@@ -47,13 +54,12 @@ BLOCKS = 4
 class ProductCode:
     """Random filters for one dimension; the same seed gives the same filters everywhere."""
 
-    def __init__(self, dimension: int, codewords: int, seed: int, rotations: int | None = None):
-        rng = np.random.default_rng([seed, dimension])
+    def __init__(self, dimension: int, codewords: int, seed: int | list[int], rotations: int):
+        rng = np.random.default_rng([*np.atleast_1d(seed), dimension])
         padded = -(-dimension // BLOCKS) * BLOCKS
         self.codewords = codewords
         self.turns, self.codes = [], []
-        # of more filters two near vectors share fewer, which further rotations make up for
-        for _ in range(rotations or (4 if codewords <= 32 else 6 if codewords <= 64 else 8)):
+        for _ in range(rotations):
             turn, _ = np.linalg.qr(rng.standard_normal((padded, padded)))
             words = rng.standard_normal((BLOCKS, codewords, padded // BLOCKS))
             self.turns.append(turn[:dimension])
@@ -94,21 +100,56 @@ def codewords_for(n: int) -> int:
     return max(16, math.ceil((16 * n) ** (1 / BLOCKS)))
 
 
+def pairs_at(cosine: float, dimension: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors, and others at `cosine` from them."""
+    rng = np.random.default_rng([seed, dimension])
+    x = rng.standard_normal((n, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((n, dimension))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    length = np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * np.divide(z, length, out=np.zeros_like(z), where=length > 0)
+
+
+def met(code: ProductCode, x: np.ndarray, y: np.ndarray, list_size: int) -> np.ndarray:
+    """Whether the vectors of each pair share a filter."""
+    a, b = code.decode(x, list_size), code.decode(y, list_size)
+    return (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
+
+
+def rotations_for(dimension: int, codewords: int, least: float, list_size: int, seed: int, miss: float = 0.002, most: int = 12) -> tuple[int, int]:
+    """(directions, rotations), so that of pairs at cosine `least` no more than `miss` share no filter."""
+    pairs = 1_500
+    x, y = pairs_at(least, dimension, pairs, seed + 1)
+    while True:
+        shared = np.mean([met(ProductCode(dimension, codewords, [seed, k + 1], 1), x, y, list_size).mean() for k in range(2)])
+        shared = min(0.99, shared - math.sqrt(max(shared * (1 - shared), 1e-9) / pairs))
+        rotations = math.ceil(math.log(miss) / math.log1p(-shared)) if shared > 0 else most + 1
+        if rotations <= most or codewords <= 4:
+            return codewords, max(4, min(rotations, 4 * most))
+        codewords = max(4, int(codewords * 0.8))
+
+
 def _units(vectors: np.ndarray) -> np.ndarray:
     x = np.array(vectors, dtype=np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _with_filters(nodes: DataFrame, codewords: int, list_size: int, seed: int) -> DataFrame:
+def _with_filters(nodes: DataFrame, codewords: int, least: float, list_size: int, seed: int) -> DataFrame:
     codes: dict[int, ProductCode] = {}
+    # chosen once, here, so that all tasks have the same filters; a table has few dimensions
+    shapes = {r.d: rotations_for(r.d, codewords, least, list_size, seed) for r in nodes.select(F.size("vector").alias("d")).distinct().collect()}
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
         vectors = batch.column(1)
         lengths = np.diff(vectors.offsets.to_numpy())
         filters: list[list[int]] = [[] for _ in range(len(lengths))]
         for dimension in np.unique(lengths).tolist():
-            code = codes.setdefault(dimension, ProductCode(dimension, codewords, seed))
+            if dimension not in codes:
+                words, rotations = shapes[dimension]
+                codes[dimension] = ProductCode(dimension, words, seed, rotations)
+            code = codes[dimension]
             which = np.flatnonzero(lengths == dimension)
             x = vectors.take(pa.array(which)).flatten().to_numpy(zero_copy_only=False).reshape(len(which), dimension)
             for i, f in zip(which.tolist(), code.decode(_units(x), list_size).tolist(), strict=True):
@@ -260,7 +301,7 @@ def near_duplicates(
         .agg(F.first("vector").alias("vector"), F.first("group").alias("group"), F.count("*").alias("weight"), F.min("_id").alias("least"))
     )
     codewords = codewords or codewords_for(nodes.count())
-    filters = cut(_with_filters(nodes, codewords, list_size, seed).join(nodes.select("node", "group", F.size("vector").alias("dimension")), "node"))
+    filters = cut(_with_filters(nodes, codewords, least, list_size, seed).join(nodes.select("node", "group", F.size("vector").alias("dimension")), "node"))
     # vectors are only brought to filters that two and more share
     meetings = filters.select("node", F.explode("filters").alias("filter"), "group", "dimension")
     meetings = meetings.withColumn("bucket", F.xxhash64("group", "dimension", "filter"))

@@ -95,20 +95,15 @@ def test_cap_filters(spark, limit):
     assert capfilter.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("dimension", [16, 64, 384])
-@pytest.mark.parametrize("codewords", [16, 32, 64, 128])
+@pytest.mark.parametrize("dimension", [8, 16, 64, 384])
+@pytest.mark.parametrize("codewords", [16, 64, 256, 1024])
 def test_recall_of_filters(dimension, codewords):
-    """At the threshold itself, where it is lowest: pairs that share a filter, against all pairs."""
-    rng = np.random.default_rng(9)
-    x = rng.standard_normal((2000, dimension))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = rng.standard_normal((2000, dimension))
-    z -= (z * x).sum(axis=1, keepdims=True) * x
-    y = 0.98 * x + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    code = capfilter.ProductCode(dimension, codewords, 4)
-    a, b = code.decode(x, 6), code.decode(y, 6)
-    shared = (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
-    assert shared.mean() >= 0.998
+    """At the threshold itself, where it is lowest: pairs that share a filter, against all pairs, at any number of directions."""
+    x, y = capfilter.pairs_at(0.98, dimension, 2000, 9)
+    assert np.allclose((x * y).sum(axis=1), 0.98)
+    words, rotations = capfilter.rotations_for(dimension, codewords, 0.98, 6, 4)
+    assert words <= codewords and 4 <= rotations <= 12
+    assert capfilter.met(capfilter.ProductCode(dimension, words, 4, rotations), x, y, 6).mean() >= 0.995
 
 
 def test_decoding_gives_the_highest_filters():
@@ -133,7 +128,7 @@ def test_random_vectors_seldom_meet(spark):
     met = []
     for n in (4_096, 40_960):
         x = rng.standard_normal((n, 64))
-        names = capfilter.ProductCode(64, capfilter.codewords_for(n), 4).decode(x / np.linalg.norm(x, axis=1, keepdims=True), 6)
+        names = capfilter.ProductCode(64, *capfilter.rotations_for(64, capfilter.codewords_for(n), 0.98, 6, 4)[:1], 4, 4).decode(x / np.linalg.norm(x, axis=1, keepdims=True), 6)
         count = np.unique(names, return_counts=True)[1]
         met.append((count * (count - 1)).sum() / n)
     assert met[1] < 1.5 * met[0] and met[1] < 20
