@@ -162,15 +162,27 @@ def _outer(found: Column) -> Column:
 
 
 def _settled(found: Column) -> Column:
-    """Of neighbours that overlap in part, the one of better priority."""
+    """Detections taken by priority, best first and earlier ones first, each unless it overlaps one that is taken.
 
-    def better(d: Column, other: Column) -> Column:
-        overlap = (other["first_word"] < -d["minus_end"]) & (d["first_word"] < -other["minus_end"])
-        return other.isNull() | ~overlap | (d["priority"] < other["priority"]) | ((d["priority"] == other["priority"]) & (d["first_word"] < other["first_word"]))
-
-    # element_at counts from 1, and an index beyond either end gives null
-    neighbour = lambda i: F.when(i >= 1, F.try_element_at(found, i))
-    return F.filter(found, lambda d, i: better(d, neighbour(i)) & better(d, neighbour(i + 2)))
+    None lies within another here, so starts and ends both rise, and only detections of one
+    chain of overlaps decide on each other: chains are settled one by one.
+    """
+    overlap = lambda d, e: (e["first_word"] < -d["minus_end"]) & (d["first_word"] < -e["minus_end"])
+
+    def taken(chain: Column) -> Column:
+        ranked = F.array_sort(F.transform(chain, lambda d: F.struct(d["priority"].alias("priority"), d["first_word"].alias("first_word"), d["minus_end"].alias("minus_end"), d.alias("d"))))
+        nothing = F.filter(ranked, lambda d: F.lit(False))
+        best = F.aggregate(ranked, nothing, lambda got, d: F.when(F.exists(got, lambda e: overlap(d, e)), got).otherwise(F.concat(got, F.array(d))))
+        return F.transform(best, lambda d: d["d"])
+
+    def chains(begins: Column) -> Column:
+        ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(found)))
+        return F.zip_with(begins, ends, lambda a, z: bound(F.slice(found, a + 1, z - a), lambda c: F.when(F.size(c) > 1, bound(c, taken)).otherwise(c)))
+
+    # a chain begins where the one before has ended; the ends rise, so the last end is the highest
+    at = F.transform(found, lambda d, i: F.when((i == 0) | (d["first_word"] >= -F.try_element_at(found, i)["minus_end"]), i))
+    begins = F.filter(at, lambda i: i.isNotNull())
+    return F.when(F.size(found) > 1, F.array_sort(F.flatten(bound(begins, chains)))).otherwise(found)
 
 
 def whole_words(pattern: str) -> str:

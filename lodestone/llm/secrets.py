@@ -12,7 +12,8 @@ candidate that any of the three rejects at `random_level` is no secret.
 Could it be ordinary text? The same three, against what text is like: chi-squared
 uniformity against letters of a language (a noncentral distribution that moves away with
 the length), runs of lower case, upper case, digits and signs, which ordinary words
-hardly have, and how far neighbours lie apart in the alphabet. The three are combined by
+hardly have, and how far neighbours lie apart in the alphabet; a capital that begins a word counts as a small
+letter in all of them. The three are combined by
 Fisher's method into a p-value. Long candidates give far smaller p-values than short
 ones, so false discoveries are controlled by Benjamini-Hochberg within each octave of
 lengths, over the candidates of all documents that the first question leaves: a first
@@ -92,10 +93,14 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _normal_below(z: Column) -> Column:
-    """The normal distribution function, by its logistic approximation."""
-    z = F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0))
-    return 1 / (1 + F.exp(-1.5976 * z - 0.07056 * z * z * z))
+def _normal_above(z: Column) -> Column:
+    """The normal distribution's upper tail, within 0.3 % of itself however far out."""
+
+    def tail(x: Column) -> Column:
+        return F.exp(-x * x / 2) / 2.5066282746310002 / (0.661 * x + 0.339 * F.sqrt(x * x + 5.51))
+
+    z = F.greatest(F.least(z, F.lit(36.0)), F.lit(-36.0))
+    return F.when(z >= 0, tail(z)).otherwise(1 - tail(-z))
 
 
 def _tested(span: Column) -> Column:
@@ -106,21 +111,29 @@ def _tested(span: Column) -> Column:
         alphabet = F.when(value.rlike(pattern), letters).otherwise(alphabet)
     n = F.char_length(value).cast("double")
     k = F.char_length(alphabet).cast("double")
-    classes = F.translate(
-        value,
+    classes = lambda v: F.translate(
+        v,
         "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
         "A" * 26 + "a" * 26 + "0" * 10,
     )
-    blocks = F.char_length(F.regexp_replace(classes, "(.)\\1*", "-")).cast("double")
-    counts = F.transform(
-        F.split(alphabet, ""), lambda c: n - F.char_length(F.replace(value, c, F.lit("")))
-    )
+    # for the question after text, a capital that begins a word is a small letter
+    kinds = F.split(classes(value), "")
+    begins = lambda i: (F.get(kinds, i) == "A") & F.coalesce(F.get(kinds, i + 1) == "a", F.lit(False))
+    folded = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(begins(i), F.lower(c)).otherwise(c)), "")
     add = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
-    squares = add(counts, lambda c: c * c)
-    chi2 = k / n * squares - n
+
+    def chi(v: Column) -> Column:
+        counts = F.transform(F.split(alphabet, ""), lambda c: n - F.char_length(F.replace(v, c, F.lit(""))))
+        return k / n * add(counts, lambda c: c * c) - n
+
     # places 0 .. k-1 of the characters in the alphabet
-    places = F.transform(F.split(value, ""), lambda c: (F.position(c, alphabet) - 1).cast("double"))
-    s = F.struct(n.alias("n"), k.alias("k"), chi2.alias("chi2"), places.alias("x"), blocks.alias("blocks"))
+    places = lambda v: F.transform(F.split(v, ""), lambda c: (F.position(c, alphabet) - 1).cast("double"))
+    parts = lambda f: F.struct(
+        n.alias("n"), k.alias("k"), chi(value).alias("chi2"), places(value).alias("x"),
+        F.char_length(F.regexp_replace(classes(f), "(.)\\1*", "-")).cast("double").alias("blocks"),
+        chi(f).alias("text_chi2"), places(f).alias("text_x"),
+    )
+    s = bound(folded, parts)
     # bind the parts once, then test
     return F.transform(F.array(s), lambda v: _judged(span, v))[0]
 
@@ -129,7 +142,7 @@ def _judged(span: Column, v: Column) -> Column:
     n, k, chi2, x = v["n"], v["k"], v["chi2"], v["x"]
     add = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, y: a + f(y))
     spread = F.sqrt(2 * (k - 1) * (n - 1) / n)
-    uniform = 1 - _normal_below((chi2 - (k - 1)) / spread)
+    uniform = _normal_above((chi2 - (k - 1)) / spread)
 
     high = F.transform(x, lambda y: F.when(y >= k / 2, 1.0).otherwise(0.0))
     later = lambda xs: F.slice(xs, F.lit(2), F.size(xs))
@@ -138,22 +151,22 @@ def _judged(span: Column, v: Column) -> Column:
     zeros = n - ones
     middle = 2 * ones * zeros / n + 1
     variance = (middle - 1) * (middle - 2) / (n - 1)
-    runs_z = F.when(variance > 0, (changes + 1 - middle) / F.sqrt(variance)).otherwise(F.lit(12.0))
-    runs = 2 * (1 - _normal_below(F.abs(runs_z)))
+    runs_z = F.when(variance > 0, (changes + 1 - middle) / F.sqrt(variance)).otherwise(F.lit(36.0))
+    runs = 2 * _normal_above(F.abs(runs_z))
 
     mean = add(x, lambda y: y) / n
     power = add(x, lambda y: (y - mean) * (y - mean))
     lagged = F.zip_with(x, later(x), lambda a, b: F.coalesce((a - mean) * (b - mean), F.lit(0.0)))
-    serial_z = F.when(power > 0, add(lagged, lambda y: y) / power * F.sqrt(n)).otherwise(F.lit(12.0))
-    serial = 2 * (1 - _normal_below(F.abs(serial_z)))
+    serial_z = F.when(power > 0, add(lagged, lambda y: y) / power * F.sqrt(n)).otherwise(F.lit(36.0))
+    serial = 2 * _normal_above(F.abs(serial_z))
 
     away = (n - 1) * F.greatest(F.lit(0.0), k * TEXT_COINCIDENCE - 1)
-    text_chi = _normal_below((chi2 - (k - 1 + away)) / F.sqrt(2 * (k - 1 + 2 * away)))
+    text_chi = _normal_above(-(v["text_chi2"] - (k - 1 + away)) / F.sqrt(2 * (k - 1 + 2 * away)))
     expected = TEXT_CHANGES * (n - 1)
-    text_changes = 1 - _normal_below((v["blocks"] - 1 - 0.5 - expected) / F.sqrt(expected * (1 - TEXT_CHANGES)))
-    steps = add(F.zip_with(x, later(x), lambda a, b: F.coalesce(F.abs(a - b), F.lit(0.0))), lambda y: y) / (n - 1)
-    text_steps = 1 - _normal_below((steps - TEXT_STEP) / TEXT_STEP_SPREAD * F.sqrt(n - 1))
-    tiny = F.lit(1e-60)
+    text_changes = _normal_above((v["blocks"] - 1 - 0.5 - expected) / F.sqrt(expected * (1 - TEXT_CHANGES)))
+    steps = add(F.zip_with(v["text_x"], later(v["text_x"]), lambda a, b: F.coalesce(F.abs(a - b), F.lit(0.0))), lambda y: y) / (n - 1)
+    text_steps = _normal_above((steps - TEXT_STEP) / TEXT_STEP_SPREAD * F.sqrt(n - 1))
+    tiny = F.lit(1e-290)
     statistic = -F.log(F.greatest(text_chi, tiny)) - F.log(F.greatest(text_changes, tiny)) - F.log(F.greatest(text_steps, tiny))
     minus_log = statistic - F.log(1 + statistic + statistic * statistic / 2)  # Fisher's method for three p-values
     return F.struct(

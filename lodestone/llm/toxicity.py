@@ -218,7 +218,11 @@ def fit(
     kept_features: int = 1_500,
     lexicon_voters: int = 200,
 ) -> Classifier | None:
-    """A classifier from the labels of rows where `usable`, a condition on the id, holds."""
+    """A classifier from the labels of rows where `usable`, a condition on the id, holds.
+
+    None where there is nothing to tell apart: no labelled row has a text in `df`, or all
+    that have one are of one class. Every document then scores 0 and stays.
+    """
     spark = df.sparkSession
     sample, everywhere = _sample(labels, usable, key, label, positives, negatives)
     if not sample:
@@ -241,6 +245,8 @@ def fit(
     read_rows = cut(map_batches(texts, "_y int, features array<string>, hand array<int>", read))
     size = {r._y: r.n for r in read_rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
+    if not n1 or not n0:
+        return None
 
     spoken = read_rows.select("_y", F.explode("features").alias("f"))
     counts = spoken.groupBy("f").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
