@@ -12,9 +12,7 @@ from lodestone.operators.chunks import article_chunks, paper_chunks
 from lodestone.operators.merges import delete, embedded_state
 from lodestone.operators.retrieval import hashed_embedding
 from lodestone.scratch import cut
-from lodestone.sources.catalog import has_table, open_path
-from lodestone.sources.publish import publish
-from lodestone.sources.settings import fix_dimension
+from lodestone.sources.store import Store, Transaction
 
 
 def changed(articles: DataFrame, meta: DataFrame) -> DataFrame:
@@ -70,30 +68,43 @@ def embed_abstracts(papers: DataFrame, meta: DataFrame, dimension: int, embed=ha
     return todo.select("id", "oai_datestamp", "state", embed(X.paper_prompt(F.col("title"), F.col("abstract"), F.col("categories")), dimension).alias("embedding"))
 
 
-def _stored(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    return open_path(spark, path) if has_table(spark, path) else spark.createDataFrame([], columns)
-
-
 def run_embedding(spark: SparkSession, articles: DataFrame, folder: str, dimension: int, embed=hashed_embedding) -> dict[str, int]:
     """One job over a corpus's articles (page_id, title, revision_id, text), all or one: what changed is chunked, embedded and indexed anew.
 
-    Below `folder`: `chunks` with their vectors, `articles_meta` with what is embedded,
-    `settings` with the dimension, `index` over the chunks. `articles_meta` is swapped
-    last: a job that broke off leaves its pages to be done again.
+    `folder` is a store: `chunks` with their vectors, `articles_meta` with what is embedded,
+    the index over the chunks and the dimension change in one commit, so a job that breaks
+    off has changed nothing, and one that meets another starts again from what that has
+    written. Pages without a chunk, such as redirects, are recorded too; a page with a chunk
+    that `embed` gives null for has failed and stays to be done.
     """
-    fix_dimension(spark, f"{folder}/settings", dimension)
-    meta = _stored(spark, f"{folder}/articles_meta", "page_id bigint, title string, revision_id bigint")
-    new = cut(_with_ids(embed_articles(articles, meta, dimension, embed)))
-    old = _stored(spark, f"{folder}/chunks", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema))
-    state = cut(embedded_state(articles, meta, "page_id", "revision_id"))
-    todo = state.filter("state <> 'skipped'").select("page_id")
-    gone = cut(old.join(todo, "page_id", "left_semi").select("chunk_id"))
-    counts = embed_counts(articles, meta, new).first().asDict()
-    done = cut(new_meta(meta, new))
-    publish(delete(old, todo, "page_id").unionByName(new), f"{folder}/chunks")
-    index.write(new, f"{folder}/index", "chunk_id", F.col("text"), gone=gone)
-    publish(done, f"{folder}/articles_meta")
-    return counts
+
+    def work(tx: Transaction) -> dict[str, int]:
+        known = tx.values.setdefault("embedding_dim", dimension)
+        if known != dimension:
+            raise ValueError(f"vectors have {dimension} components, the corpus has {known}")
+        meta = tx.read("articles_meta") if tx.has("articles_meta") else spark.createDataFrame([], "page_id bigint, title string, revision_id bigint")
+        state = cut(embedded_state(articles, meta, "page_id", "revision_id"))
+        new = cut(_with_ids(embed_articles(articles, meta, dimension, embed)))
+        failed = cut(new.filter("embedding IS NULL").select("page_id").distinct())
+        todo = cut(state.filter("state <> 'skipped'").join(failed, "page_id", "left_anti"))
+        good = new.join(failed, "page_id", "left_anti")
+        counts = good.groupBy("page_id").agg(F.count("*").alias("n"))
+        of = lambda s: F.count_if((F.col("state") == s) & F.col("n").isNotNull())
+        found = todo.join(counts, "page_id", "left").agg(
+            of("new").alias("new"), of("updated").alias("updated"), F.count_if(F.col("n").isNull()).alias("empty"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks")
+        ).first()
+        out = {**found.asDict(), "skipped": state.filter("state = 'skipped'").count(), "failed": failed.count()}
+        if out["new"] + out["updated"] + out["empty"]:
+            tx.create("chunks", new.schema, ["page_id"])
+            tx.create("articles_meta", meta.schema, ["page_id"])
+            gone = cut(tx.read("chunks").join(todo, "page_id", "left_semi").select("chunk_id")) if tx.has("chunks") else None
+            tx.delete("chunks", todo)
+            tx.append("chunks", good)
+            index.add(tx, good.select("chunk_id", "text"), "chunk_id", F.col("text"), gone=gone)
+            tx.upsert("articles_meta", articles.join(todo, "page_id", "left_semi"))
+        return out
+
+    return Store(spark, folder).transact(work)
 
 
 def _with_ids(chunks: DataFrame) -> DataFrame:
@@ -102,9 +113,38 @@ def _with_ids(chunks: DataFrame) -> DataFrame:
 
 
 def forget_pages(spark: SparkSession, folder: str, pages: DataFrame) -> None:
-    """Take pages (page_id) out of chunks, index and what is recorded as embedded."""
-    chunks, meta = open_path(spark, f"{folder}/chunks"), open_path(spark, f"{folder}/articles_meta")
-    gone = cut(chunks.join(pages, "page_id", "left_semi").select("chunk_id"))
-    publish(delete(meta, pages, "page_id"), f"{folder}/articles_meta")
-    publish(delete(chunks, pages, "page_id"), f"{folder}/chunks")
-    index.delete(spark, f"{folder}/index", gone)
+    """Take pages (page_id) out of chunks, index and what is recorded as embedded, in one commit."""
+
+    def work(tx: Transaction) -> None:
+        index.remove(tx, tx.read("chunks").join(pages, "page_id", "left_semi").select("chunk_id"))
+        tx.delete("chunks", pages)
+        tx.delete("articles_meta", pages)
+
+    Store(spark, folder).transact(work)
+
+
+def run_papers(spark: SparkSession, papers: DataFrame, html: Column, folder: str, dimension: int, embed=hashed_embedding) -> dict[str, int]:
+    """Full texts of papers, their chunks and the status of each paper in one commit to the store `folder`.
+
+    A status is embedded, no_html, or failed where `embed` gives null for a chunk; of a failed
+    paper no chunk is kept, and a later run takes it up again. Papers that are embedded or
+    have no HTML are left alone.
+    """
+
+    def work(tx: Transaction) -> dict[str, int]:
+        old = tx.read("papers") if tx.has("papers") else None
+        todo = papers if old is None else papers.join(old.filter("status <> 'failed'").select("id"), "id", "left_anti")
+        done, chunks = embed_papers(todo, html, dimension, embed)
+        chunks = cut(chunks)
+        failed = cut(chunks.filter("embedding IS NULL").select("id").distinct())
+        status = done.join(failed.withColumn("_failed", F.lit(True)), "id", "left")
+        bad = F.col("_failed").isNotNull()
+        status = cut(status.select("id", F.when(bad, "failed").otherwise(F.col("status")).alias("status"), F.when(bad, 0).otherwise(F.col("chunk_count")).alias("chunk_count")))
+        tx.create("papers", status.schema, ["id"])
+        tx.create("paper_chunks", chunks.schema, ["id"])
+        if not status.isEmpty():
+            tx.upsert("papers", status)
+            tx.append("paper_chunks", chunks.join(failed, "id", "left_anti"))
+        return {r.status: r.n for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
+
+    return Store(spark, folder).transact(work)

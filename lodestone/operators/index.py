@@ -1,163 +1,421 @@
-"""A stored inverted index: postings clustered by term, read only for the terms of a query.
-
-An index is a folder of segments. `postings` (bucket, term, key, length, positions) lie in
-folders by a hash of their term and are sorted by it, so a query opens the folders of its
-terms and skips all row groups of others; a term of very many documents spans several
-files. `lengths` (key, length) has one row for each document and is read only when
-documents change. `gone` (key) names the documents whose postings in earlier segments no
-longer count. `totals` has one row of sums for each segment; it is written last, and a
-segment without it does not exist for readers.
+"""A stored inverted index in document blocks, whose highest impacts let a search skip most of it.
+
+Documents are cut into blocks of `BLOCK`. A task reads the documents of a block, folds their
+tokens in place and gives one row for each term of the block, so tokens are never shuffled:
+(term, block, n, cf, frontier, docs, positions). `docs` has slot, key, tf and length of the
+documents that hold the term, `frontier` the pairs of tf and length that no other document
+of the row beats in both, so the highest score of the row is known for any statistics of
+the corpus. Rows lie in folders by a hash of their term and are sorted by term and block: a
+search opens the folders of its terms and reads `docs` of the blocks it needs, `positions`
+only for phrases.
+
+`top` finds the k best documents in three passes. The first reads the narrow columns and
+adds up what each block can reach; the second scores the most promising blocks and so
+learns what the k-th document has at least; the third scores the blocks that can reach that.
+
+An index is a group of tables of a store (`<name>_postings`, `<name>_lengths` with the place
+of each document, `<name>_gone` with the places that no longer count) and its totals among
+the store's values, so it changes in one commit with other tables. Documents of equal keys
+within one write are kept apart. A task must give the same rows when it is tried again, so
+documents are put in the order of their keys where they are dealt anew.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lodestone.functions import tokens as T
+from lodestone.cluster import ship
 from lodestone.operators.retrieval import bm25_term, idf, phrases
+from lodestone.sources.store import Store, Transaction
 
-BUCKETS = 64
+BLOCK = 64
+#: Pairs of tf and length kept for a row; further ones are covered by a pair that is better than both.
+FRONTIER = 6
+_TOKEN = re.compile("[a-z0-9\x80-\U0010ffff]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def words_of(text: str) -> list[str]:
+    return _TOKEN.findall(text.translate(_LOWER))
 
 
-def _segments(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{path}/totals")
-    except Exception as e:  # an index that was never written
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
-
-
-def _last(spark: SparkSession, path: str) -> int:
-    """The number of the last segment that was written to the end; -1 for none."""
-    totals = _segments(spark, path)
-    return -1 if totals is None else totals.agg(F.coalesce(F.max("segment"), F.lit(-1))).first()[0]
-
-
-def postings(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, key, length, positions): one row for each distinct token of a document."""
-    listed = df.select(F.col(key).alias("key"), T.words(text).alias("w"))
-    flat = listed.select("key", F.size("w").alias("length"), F.posexplode("w").alias("at", "term"))
-    grouped = flat.groupBy("term", "key").agg(F.first("length").alias("length"), F.sort_array(F.collect_list("at")).alias("positions"))
-    return grouped.select("term", "key", "length", "positions")
-
-
-def _clustered(found: DataFrame) -> DataFrame:
-    """Postings side by side by their bucket and sorted in it; adaptive execution cuts a bucket with a term of very many documents into several files."""
-    return found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "key")
-
-
-def write(df: DataFrame, path: str, key: str, text: Column, gone: DataFrame | None = None, buckets: int = BUCKETS) -> int:
-    """Add a segment with the documents of `df`, in place of what the index has of their ids and of those in `gone` (key); gives its number."""
-    spark = df.sparkSession
-    last = _last(spark, path)
-    number, at = last + 1, f"segment={last + 1}"
-    found = postings(df, key, text).withColumn("bucket", _bucket(F.col("term"), buckets))
-    _clustered(found).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{at}")
-    lengths = df.select(F.col(key).alias("key"), F.size(T.words(text)).alias("length"))
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths/{at}")
-    lengths = spark.read.parquet(f"{path}/lengths/{at}")
-    replaced = lengths.select("key") if gone is None else lengths.select("key").unionByName(gone.select(F.col(gone.columns[0]).alias("key")))
-    replaced.distinct().write.mode("overwrite").parquet(f"{path}/gone/{at}")
-    old = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("words"))
-    if last >= 0:
-        names = spark.read.parquet(f"{path}/gone/{at}")
-        before = _alive(spark, path, "lengths", last).join(names, "key", "left_semi")
-        old = before.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
-        old = F.struct(F.lit(old.n).cast("long").alias("n"), F.lit(old.words).cast("long").alias("words"))
-    new = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
-    totals = new.select(F.lit(number).alias("segment"), (F.col("n") - old["n"]).alias("n_docs"), (F.col("words") - old["words"]).alias("n_words"), F.lit(buckets).alias("buckets"))
-    totals.coalesce(1).write.mode("append").parquet(f"{path}/totals")
-    return number
-
-
-def delete(spark: SparkSession, path: str, keys: DataFrame) -> int:
-    """Take documents out of the index: their names go to a segment without postings."""
-    kind = spark.read.parquet(f"{path}/lengths").schema["key"].dataType.simpleString()
-    nothing = spark.createDataFrame([], f"key {kind}, text string")
-    return write(nothing, path, "key", F.col("text"), gone=keys)
-
-
-def _alive(spark: SparkSession, path: str, part: str, last: int, keep: Column | None = None) -> DataFrame:
-    """Rows of all segments up to `last` that `keep` holds for and no later segment has replaced."""
-    rows = spark.read.parquet(f"{path}/lengths")
-    if part == "postings":  # a segment without a token has no file that would tell its columns
-        kind = rows.schema["key"].dataType.simpleString()
-        rows = spark.read.schema(f"term string, key {kind}, length int, positions array<int>, segment int, bucket int").parquet(f"{path}/postings")
-    rows = rows.filter(F.col("segment") <= last)
-    if keep is not None:
-        rows = rows.filter(keep)
-    if last == 0:
-        return rows.drop("segment", "bucket")
-    gone = spark.read.parquet(f"{path}/gone").filter(F.col("segment").between(1, last)).groupBy("key").agg(F.max("segment").alias("_since"))
-    # a key that is named in its own segment is that segment's own new version
-    return rows.join(gone, "key", "left").filter(F.col("_since").isNull() | (F.col("segment") >= F.col("_since"))).drop("segment", "bucket", "_since")
-
-
-def compact(spark: SparkSession, path: str, new: str, buckets: int = BUCKETS) -> None:
-    """Write the index anew at `new`, as one segment without replaced rows; no text is read."""
-    last = _last(spark, path)
-    found = _alive(spark, path, "postings", last).withColumn("bucket", _bucket(F.col("term"), buckets))
-    _clustered(found).write.mode("overwrite").partitionBy("bucket").parquet(f"{new}/postings/segment=0")
-    lengths = _alive(spark, path, "lengths", last)
-    lengths.write.mode("overwrite").parquet(f"{new}/lengths/segment=0")
-    lengths.select("key").write.mode("overwrite").parquet(f"{new}/gone/segment=0")
-    totals = lengths.agg(F.lit(0).alias("segment"), F.count("*").alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_words"), F.lit(buckets).alias("buckets"))
-    totals.coalesce(1).write.mode("append").parquet(f"{new}/totals")
-
-
-def terms(spark: SparkSession, path: str, wanted: list[str] | None = None) -> DataFrame:
-    """(term, key, length, positions) of the index; of the `wanted` terms their folders only."""
-    totals = _segments(spark, path)
-    state = totals.agg(F.max("segment").alias("last"), F.max("buckets").alias("buckets")).first()
-    keep = None
-    if wanted is not None:
-        places = spark.createDataFrame([(w,) for w in wanted], "term string").select(_bucket(F.col("term"), state.buckets).alias("b"))
-        keep = F.col("bucket").isin([r.b for r in places.collect()]) & F.col("term").isin(wanted)
-    return _alive(spark, path, "postings", state.last, keep).select("term", "key", "length", "positions")
+def trigrams_of(text: str) -> list[str]:
+    low = text.lower()
+    return [low[i : i + 3] for i in range(len(low) - 2)]
 
 
-def search(spark: SparkSession, path: str, query: list[list[str]] | str, all_terms: bool = True) -> DataFrame:
-    """(key, score) by BM25 of the documents that hold all phrases of `query`, or any; a phrase given twice counts twice.
+KINDS = {"words": words_of, "trigrams": trigrams_of}
 
-    `query` is free text or a list of phrases of tokens. Without a token nothing is found.
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _shapes(key: str) -> tuple[str, str]:
+    docs = f"array<struct<slot:int,key:{key},tf:int,length:int>>"
+    return (
+        f"term string, block bigint, n int, cf int, frontier array<struct<tf:int,length:int>>, docs {docs}, positions array<array<int>>",
+        f"key {key}, block bigint, slot int, length int",
+    )
+
+
+def _frontier(tf: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs such that every document has at most the tf and at least the length of one of them."""
+    order = np.lexsort((length, -tf))
+    tf, length = tf[order], length[order]
+    keep = np.r_[True, length[1:] < np.minimum.accumulate(length)[:-1]]
+    pairs = list(zip(tf[keep].tolist(), length[keep].tolist(), strict=True))
+    rest = pairs[FRONTIER - 1 :]
+    return pairs if len(pairs) <= FRONTIER else [*pairs[: FRONTIER - 1], (rest[0][0], rest[-1][1])]
+
+
+def _postings_of(keys: pa.Array, tokens: list[list[str]], block: int) -> dict[str, object]:
+    """Columns of the posting rows of one block."""
+    numbers: dict[str, int] = {}
+    codes = np.fromiter((numbers.setdefault(w, len(numbers)) for ws in tokens for w in ws), dtype=np.int64)
+    sizes = np.array([len(ws) for ws in tokens], dtype=np.int64)
+    slot = np.repeat(np.arange(len(tokens)), sizes)
+    at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((slot, codes))  # stable, so places stay in order
+    codes, slot, at = codes[order], slot[order], at[order]
+    new = np.ones(len(codes), dtype=bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (slot[1:] != slot[:-1])
+    first = np.flatnonzero(new)  # of each term and document
+    tf = np.diff(np.append(first, len(codes)))
+    term, doc = codes[first], slot[first]
+    begin = np.flatnonzero(np.r_[True, term[1:] != term[:-1]][: len(term)])
+    end = np.append(begin[1:], len(term)).astype(np.int64)[: len(begin)]
+    length = sizes[doc]
+    n, lists = end - begin, np.append(begin, len(term)).astype(np.int32)
+    frontier = [[{"tf": int(tf[a]), "length": int(length[a])}] if z - a == 1 else [{"tf": x, "length": y} for x, y in _frontier(tf[a:z], length[a:z])] for a, z in zip(begin.tolist(), end.tolist(), strict=True)]
+    names = list(numbers)  # a term's number is its place
+    int_ = lambda x: pa.array(x.astype(np.int32))
+    docs = pa.StructArray.from_arrays([int_(doc), keys.take(pa.array(doc)), int_(tf), int_(length)], names=["slot", "key", "tf", "length"])
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(codes)).astype(np.int32)), int_(at))
+    return {
+        "term": pa.array([names[t] for t in term[begin].tolist()], type=pa.string()), "block": np.full(len(begin), block),
+        "n": n.astype(np.int32), "cf": np.add.reduceat(tf, begin).astype(np.int32) if len(begin) else n.astype(np.int32),
+        "frontier": frontier, "docs": pa.ListArray.from_arrays(pa.array(lists), docs), "positions": pa.ListArray.from_arrays(pa.array(lists), places),
+    }
+
+
+def _blocks(df: DataFrame, schema: str, kind: str, segment: int, lengths: bool) -> DataFrame:
+    """Posting rows of `df` (key, text), or the place of each document with its length."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship(df.sparkSession)
+    split, arrow = KINDS[kind], to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        block = segment << 44 | TaskContext.get().partitionId() << 22
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                tokens = [split(t or "") for t in part.column(1).to_pylist()]
+                if lengths:
+                    out = {"key": part.column(0), "block": np.full(len(tokens), block), "slot": np.arange(len(tokens), dtype=np.int32), "length": np.array([len(t) for t in tokens], dtype=np.int32)}
+                else:
+                    out = _postings_of(part.column(0), tokens, block)
+                arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(n).type) for n, v in out.items()]
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
+                block += 1
+
+    return df.mapInArrow(run, schema)
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Documents on all cores, in an order that is the same each time; a table of many files is read as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, "key").sortWithinPartitions("key")
+
+
+def _buckets_for(df: DataFrame, store: Store) -> int:
+    """Folders such that each has some 64 MB of what is written first, 4 to 4,096."""
+    files = df.inputFiles()
+    total = sum(store.files.fs.getContentSummary(store.files.at(f)).getLength() for f in files) if files else 0
+    return int(min(4096, max(4, 2 ** np.ceil(np.log2(max(1, total / 64e6))))))
+
+
+def add(tx: Transaction, df: DataFrame, key: str, text: Column, name: str = "index", gone: DataFrame | None = None, kind: str = "words", buckets: int | None = None) -> None:
+    """Put the documents of `df` into the index, in place of what it has of their keys and of those in `gone`; seen when `tx` commits.
+
+    `df` is read twice: it should be a stored table, or cheap.
     """
-    given = phrases(query) if isinstance(query, str) else query
-    wanted = list(dict.fromkeys(map(tuple, given)))
-    tokens = sorted({t for p in wanted for t in p})
-    if not tokens:
-        kind = spark.read.parquet(f"{path}/lengths").schema["key"].dataType.simpleString()
-        return spark.createDataFrame([], f"key {kind}, score double")
-    found = terms(spark, path, tokens)
-    # one row for each document that has any of the tokens: their positions side by side
-    own = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{i}") for i, t in enumerate(tokens)]
-    side = found.groupBy("key").agg(F.first("length").alias("_length"), *own)
-    number = {t: i for i, t in enumerate(tokens)}
-
-    def times(phrase: tuple[str, ...]) -> Column:
-        begins = F.col(f"_p{number[phrase[0]]}")
-        for step, token in enumerate(phrase[1:], 1):
-            begins = F.array_intersect(begins, _back(F.col(f"_p{number[token]}"), step))
-        return F.coalesce(F.size(begins), F.lit(0))
-
-    counted = side.select("key", "_length", *(F.greatest(times(p), F.lit(0)).alias(f"_tf{i}") for i, p in enumerate(wanted)))
-    stats = counted.agg(*(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(wanted))))
-    totals = _segments(spark, path).agg(F.sum("n_docs").alias("_n"), (F.sum("n_words") / F.sum("n_docs")).alias("_mean"))
-    hits = [F.col(f"_tf{i}") > 0 for i in range(len(wanted))]
-    match, score = hits[0], F.lit(0.0)
-    for h in hits[1:]:
-        match = match & h if all_terms else match | h
-    for i, p in enumerate(wanted):
-        weight = idf(F.col("_n"), F.col(f"_df{i}")) * sum(tuple(w) == p for w in given)
-        score = score + bm25_term(weight, F.col(f"_tf{i}"), F.col("_length"), F.col("_mean"))
-    # both statistics are one row each
-    return counted.filter(match).join(F.broadcast(stats)).join(F.broadcast(totals)).select("key", score.alias("score"))
+    docs = df.select(F.col(key).alias("key"), text.alias("text"))
+    shape = docs.schema["key"].dataType.simpleString()
+    postings, lengths = _shapes(shape)
+    fresh = f"{name}_lengths" not in tx.tables
+    if fresh:
+        tx.create(f"{name}_postings", StructType.fromDDL(postings), ["term"], buckets or _buckets_for(df, tx.store))
+        tx.create(f"{name}_lengths", StructType.fromDDL(lengths), ["key"])
+        tx.create(f"{name}_gone", StructType.fromDDL("block bigint, slot int"), ["block"], 1)
+        tx.values[f"{name}_kind"] = kind
+    else:
+        replaced = docs.select("key") if gone is None else docs.select("key").unionByName(gone.select(F.col(gone.columns[0]).alias("key")))
+        remove(tx, replaced, name)
+    dealt = _dealt(docs)
+    kind = tx.values[f"{name}_kind"]
+    found = _blocks(dealt, postings, kind, tx.seq, lengths=False)
+    tx.append(f"{name}_postings", found, _bucket(F.col("term"), tx.tables[f"{name}_postings"]["buckets"]), ["term", "block"])
+    before = len(tx.tables[f"{name}_lengths"]["rows"])
+    tx.append(f"{name}_lengths", _blocks(dealt, lengths, kind, tx.seq, lengths=True))
+    added = tx.tables[f"{name}_lengths"]["rows"][before:]
+    n = words = 0
+    if added:
+        written = tx.store.spark.read.parquet(*(tx.store._part(f"{name}_lengths", p["part"]) for p in added))
+        n, words = written.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    _count(tx, name, n, words)
+
+
+def _count(tx: Transaction, name: str, n: int, words: int) -> None:
+    old = tx.values.get(f"{name}_totals", [0, 0])
+    tx.values[f"{name}_totals"] = [old[0] + n, old[1] + words]
+
+
+def remove(tx: Transaction, keys: DataFrame, name: str = "index") -> None:
+    """Take documents (one column of keys) out of the index; seen when `tx` commits."""
+    named = keys.select(F.col(keys.columns[0]).alias("_key")).distinct()
+    places = tx.read(f"{name}_lengths")
+    found = places.join(named, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+    n, words = found.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    if n:
+        tx.append(f"{name}_gone", found.select("block", "slot"))
+        tx.delete(f"{name}_lengths", found.select("key"))
+    _count(tx, name, -n, -words)
+
+
+def write(df: DataFrame, path: str, key: str, text: Column, gone: DataFrame | None = None, kind: str = "words", buckets: int | None = None) -> None:
+    """`add` as a commit of its own to the store at `path`."""
+    Store(df.sparkSession, path).transact(lambda tx: add(tx, df, key, text, gone=gone, kind=kind, buckets=buckets))
+
+
+def delete(spark: SparkSession, path: str, keys: DataFrame) -> None:
+    """`remove` as a commit of its own."""
+    Store(spark, path).transact(lambda tx: remove(tx, keys))
+
+
+def compact(spark: SparkSession, path: str, name: str = "index") -> None:
+    """Write the index anew without the documents that no longer count, as one part; no text is read."""
+
+    def work(tx: Transaction) -> None:
+        shape = tx.read(f"{name}_lengths").schema["key"].dataType.simpleString()
+        rows = _Reader(spark, path, name, tx.base).rows(None)
+        rows = rows.select("term", "block", F.size("docs").alias("n"), F.expr("aggregate(docs, 0, (a, d) -> a + d.tf)").alias("cf"), "frontier", "docs", "positions").filter("n > 0")
+        known = tx.tables[f"{name}_postings"]
+        rows = rows.select(*StructType.fromDDL(_shapes(shape)[0]).names)
+        known["rows"] = []
+        tx.append(f"{name}_postings", rows, _bucket(F.col("term"), known["buckets"]), ["term", "block"])
+        tx.clear(f"{name}_gone")
+
+    Store(spark, path).transact(work)
+
+
+class _Reader:
+    """One version of an index."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str = "index", at=None):
+        self.spark, self.store, self.name = spark, Store(spark, path), name
+        self.at = at or self.store.version()
+        if f"{name}_postings" not in self.at.tables:
+            raise LookupError(f"there is no index {name} at {path}")
+        self.n, self.words = self.at.values[f"{name}_totals"]
+        self.buckets = self.at.tables[f"{name}_postings"]["buckets"]
+        has_gone = self.at.tables[f"{name}_gone"]["rows"]
+        # by block; a compaction ends them
+        self.gone = self.store.read(f"{name}_gone", self.at).groupBy("block").agg(F.collect_set("slot").alias("_gone")) if has_gone else None
+        self.key = self.store.read(f"{name}_lengths", self.at).schema["key"].dataType
+
+    @property
+    def mean(self) -> float:
+        return self.words / self.n if self.n else 0.0
+
+    def stored(self, terms: list[str] | None) -> DataFrame:
+        rows = self.store.parts(f"{self.name}_postings", at=self.at)
+        if rows is None:
+            return self.spark.createDataFrame([], StructType.fromDDL(_shapes(self.key.simpleString())[0]))
+        if terms is None:
+            return rows
+        places = self.spark.range(1).select(*(_bucket(F.lit(t), self.buckets).alias(f"b{i}") for i, t in enumerate(terms))).first()
+        return rows.filter(F.col("_bucket").isin(sorted(set(places))) & F.col("term").isin(terms))
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        """Rows that have `_gone`, without the documents named there."""
+        here = lambda d: ~F.array_contains("_gone", d["slot"])
+        out = rows
+        if "positions" in rows.columns:
+            both = F.filter(F.arrays_zip("docs", "positions"), lambda x: here(x["docs"]))
+            out = out.withColumn("_both", F.when(F.col("_gone").isNull(), F.arrays_zip("docs", "positions")).otherwise(both))
+            return out.withColumns({"docs": F.col("_both.docs"), "positions": F.col("_both.positions")}).drop("_both", "_gone")
+        return out.withColumn("docs", F.when(F.col("_gone").isNull(), F.col("docs")).otherwise(F.filter("docs", here))).drop("_gone")
+
+    def rows(self, terms: list[str] | None, places: bool = True) -> DataFrame:
+        """(term, block, frontier, docs, positions) of the documents that count."""
+        found = self.stored(terms).select("term", "block", "frontier", "docs", *(["positions"] if places else []))
+        return found if self.gone is None else self._alive(found.join(self.gone, "block", "left"))
+
+    def heads(self, terms: list[str] | None) -> DataFrame:
+        """(term, block, n, cf, frontier): the narrow columns; `docs` only of blocks with documents that no longer count."""
+        found = self.stored(terms)
+        narrow = ["term", "block", "n", "cf", "frontier"]
+        if self.gone is None:
+            return found.select(*narrow)
+        dirty = self._alive(found.select("term", "block", "frontier", "docs").join(self.gone, "block"))
+        dirty = dirty.select("term", "block", F.size("docs").alias("n"), F.expr("aggregate(docs, 0, (a, d) -> a + d.tf)").alias("cf"), "frontier")
+        return found.select(*narrow).join(self.gone, "block", "left_anti").unionByName(dirty.filter("n > 0"))
+
+
+def frequencies(spark: SparkSession, path: str, name: str = "index") -> DataFrame:
+    """(term, df, cf) of all terms, from the narrow columns."""
+    return _Reader(spark, path, name).heads(None).groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
+
+
+def terms(spark: SparkSession, path: str, wanted: list[str] | None = None, name: str = "index") -> DataFrame:
+    """(term, key, length, positions) of the index; of the `wanted` terms their folders only."""
+    rows = _Reader(spark, path, name).rows(wanted)
+    flat = rows.select("term", F.explode(F.arrays_zip("docs", "positions")).alias("x"))
+    return flat.select("term", F.col("x.docs.key").alias("key"), F.col("x.docs.length").alias("length"), F.col("x.positions").alias("positions"))
 
 
 def _back(places: Column, steps: int) -> Column:
     return F.transform(places, lambda x: x - steps)
+
+
+class _Query:
+    """A query's phrases with their tokens, and the documents of posting rows that hold them."""
+
+    def __init__(self, query: list[list[str]] | str):
+        self.given = phrases(query) if isinstance(query, str) else query
+        self.wanted = list(dict.fromkeys(map(tuple, self.given)))
+        self.tokens = sorted({t for p in self.wanted for t in p})
+        self.number = {t: i for i, t in enumerate(self.tokens)}
+        self.single = all(len(p) == 1 for p in self.wanted)
+        self.weight = [sum(tuple(w) == p for w in self.given) for p in self.wanted]
+
+    def counted(self, rows: DataFrame) -> DataFrame:
+        """(block, key, slot, _length, _tf0, _tf1, ...): how often each phrase stands in each document of the rows."""
+        x = F.explode("docs") if self.single else F.explode(F.arrays_zip("docs", "positions"))
+        flat = rows.select("term", "block", x.alias("x"))
+        doc = F.col("x") if self.single else F.col("x.docs")
+        value = doc["tf"] if self.single else F.col("x.positions")
+        flat = flat.select("term", "block", doc["slot"].alias("slot"), doc["key"].alias("key"), doc["length"].alias("_length"), value.alias("_v"))
+        own = [F.max(F.when(F.col("term") == t, F.col("_v"))).alias(f"_p{i}") for i, t in enumerate(self.tokens)]
+        side = flat.groupBy("block", "slot").agg(F.first("key").alias("key"), F.first("_length").alias("_length"), *own)
+
+        def times(p: tuple[str, ...]) -> Column:
+            first = F.col(f"_p{self.number[p[0]]}")
+            if self.single:
+                return first
+            for step, token in enumerate(p[1:], 1):
+                first = F.array_intersect(first, _back(F.col(f"_p{self.number[token]}"), step))
+            return F.size(first)
+
+        return side.select("block", "slot", "key", "_length", *(F.greatest(F.coalesce(times(p), F.lit(0)), F.lit(0)).alias(f"_tf{i}") for i, p in enumerate(self.wanted)))
+
+    def match(self, all_terms: bool, has=lambda i: F.col(f"_tf{i}") > 0) -> Column:
+        out = has(0)
+        for i in range(1, len(self.wanted)):
+            out = out & has(i) if all_terms else out | has(i)
+        return out
+
+    def score(self, weights: list[Column], mean: Column) -> Column:
+        out = F.lit(0.0)
+        for i, w in enumerate(weights):
+            out = out + bm25_term(w * self.weight[i], F.col(f"_tf{i}"), F.col("_length"), mean)
+        return out
+
+
+def search(spark: SparkSession, path: str, query: list[list[str]] | str, all_terms: bool = True, name: str = "index") -> DataFrame:
+    """(key, score) by BM25 of all documents that hold all phrases of `query`, or any; a phrase given twice counts twice.
+
+    `query` is free text or a list of phrases of tokens. Without a token nothing is found.
+    """
+    asked, reader = _Query(query), _Reader(spark, path, name)
+    if not asked.tokens:
+        return spark.createDataFrame([], StructType().add("key", reader.key).add("score", "double"))
+    counted = asked.counted(reader.rows(asked.tokens, places=not asked.single))
+    if asked.single:
+        stats = reader.heads(asked.tokens).agg(*(F.coalesce(F.sum(F.when(F.col("term") == p[0], F.col("n"))), F.lit(0)).alias(f"_df{i}") for i, p in enumerate(asked.wanted)))
+    else:
+        stats = counted.agg(*(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(asked.wanted))))
+    weights = [idf(F.lit(float(reader.n)), F.col(f"_df{i}")) for i in range(len(asked.wanted))]
+    # the statistics are one row
+    return counted.filter(asked.match(all_terms)).join(F.broadcast(stats)).select("key", asked.score(weights, F.lit(reader.mean)).alias("score"))
+
+
+def top(spark: SparkSession, path: str, query: list[list[str]] | str, k: int, all_terms: bool = True, name: str = "index", report: dict | None = None, first: int = 16) -> DataFrame:
+    """(key, score) of the k best of `search`, best first and then by key, without scoring blocks that cannot reach them.
+
+    `report` takes the numbers of `postings` of the terms and of those `decoded`. Queries
+    with phrases of several tokens are searched as a whole, since only positions tell how
+    often a phrase stands in a block.
+    """
+    asked, reader = _Query(query), _Reader(spark, path, name)
+    best = lambda df: df.orderBy(F.desc("score"), "key").limit(k)
+    if not asked.tokens or not asked.single:
+        return best(search(spark, path, query, all_terms, name))
+    heads = reader.heads(asked.tokens)
+    held = heads.groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each token of the query
+    df = {r.term: r.n for r in held}
+    weights = [idf(F.lit(float(reader.n)), F.lit(df.get(p[0], 0))) for p in asked.wanted]
+    mean = F.lit(reader.mean)
+    # what a block can reach: the best pair of each row
+    reach = F.lit(None).cast("double")
+    for i, p in enumerate(asked.wanted):
+        weight = weights[i] * asked.weight[i]
+        most = F.array_max(F.transform("frontier", lambda f: bm25_term(weight, f["tf"], f["length"], mean)))  # noqa: B023
+        reach = F.when(F.col("term") == p[0], most).otherwise(reach)
+    blocks = heads.select("block", "n", reach.alias("reach")).groupBy("block").agg(F.sum("reach").alias("reach"), F.count("*").alias("terms"), F.sum("n").alias("n"))
+    if all_terms:
+        blocks = blocks.filter(F.col("terms") == len(asked.wanted))
+    rows = reader.rows(asked.tokens, places=False)
+    scored = lambda rows: asked.counted(rows).filter(asked.match(all_terms)).select("block", "key", asked.score(weights, mean).alias("score"))
+    start = [r.block for r in blocks.orderBy(F.desc("reach"), "block").limit(max(first, -(-k // BLOCK) * 2)).collect()]
+    one = sorted((-r.score, r.key) for r in best(scored(rows.filter(F.col("block").isin(start)))).collect())
+    least = -one[k - 1][0] * (1 - 1e-9) if len(one) == k else None
+    good = blocks if least is None else blocks.filter(F.col("reach") >= least)
+    if report is not None:
+        report |= {"postings": sum(df.values()), "decoded": good.unionByName(blocks.filter(F.col("block").isin(start))).distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], "blocks": good.count()}
+    return best(scored(rows.join(good.select("block"), "block", "left_semi")).select("key", "score"))
+
+
+def phrase_search(spark: SparkSession, path: str, query: str, limit: int = 20, name: str = "index") -> DataFrame:
+    """(key, score) of texts that hold `query` in any case, by BM25 over a trigram index; queries of three characters and more.
+
+    The grams of the query are rows of an index by `trigrams`; blocks without its rarest gram
+    are not read, and places tell where the grams follow each other. A query counts as often
+    as it stands without overlap in the text.
+    """
+    reader = _Reader(spark, path, name)
+    grams = trigrams_of(query)
+    if not grams:
+        raise ValueError("a phrase has three characters at least")
+    heads = {r.term: r.n for r in reader.heads(sorted(set(grams))).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    nothing = spark.createDataFrame([], StructType().add("key", reader.key).add("score", "double"))
+    if len(heads) < len(set(grams)):
+        return nothing
+    distinct = sorted(set(grams), key=lambda g: (heads[g], g))
+    rows = reader.rows(distinct)
+    rare = rows.filter(F.col("term") == distinct[0]).select("block")
+    rows = rows.join(rare, "block", "left_semi")
+    flat = rows.select("term", "block", F.explode(F.arrays_zip("docs", "positions")).alias("x"))
+    flat = flat.select("term", "block", F.col("x.docs.slot").alias("slot"), F.col("x.docs.key").alias("key"), F.col("x.docs.length").alias("_length"), F.col("x.positions").alias("_at"))
+    own = [F.max(F.when(F.col("term") == g, F.col("_at"))).alias(f"_p{i}") for i, g in enumerate(distinct)]
+    side = flat.groupBy("block", "slot").agg(F.first("key").alias("key"), F.first("_length").alias("_length"), *own)
+    number = {g: i for i, g in enumerate(distinct)}
+    begins = F.col(f"_p{number[grams[0]]}")
+    for step, g in enumerate(grams[1:], 1):
+        begins = F.array_intersect(begins, _back(F.col(f"_p{number[g]}"), step))
+    # places from the left, each at least a query's length behind the one before
+    apart = F.aggregate(F.array_sort(begins), F.struct(F.lit(0).alias("n"), F.lit(-(1 << 30)).alias("last")), lambda a, x: F.when(x >= a["last"] + len(query.lower()), F.struct((a["n"] + 1).alias("n"), x.alias("last"))).otherwise(a))
+    counted = side.select("key", "_length", apart["n"].alias("_tf")).filter("_tf > 0")
+    stats = counted.agg(F.count("*").alias("_df"))
+    weight = idf(F.lit(float(reader.n)), F.col("_df"))
+    scored = counted.join(F.broadcast(stats)).select("key", bm25_term(weight, F.col("_tf"), F.col("_length"), F.lit(reader.mean)).alias("score"))
+    return scored.orderBy(F.desc("score"), "key").limit(limit)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def last_wins(feed: DataFrame, key: str, order: Column | str) -> DataFrame:
@@ -21,23 +22,26 @@ def refresh_actions(target: DataFrame, feed: DataFrame, key: str = "page_id", re
     return feed.join(old, feed[key] == old["_k"], "left").withColumn("action", action).drop("_k", "_rev")
 
 
+def with_kept(old: DataFrame, changed: DataFrame, schema: StructType, key: str, kept: list[str]) -> DataFrame:
+    """Rows of `changed` (a feed with `action`) with the columns of `schema`; an update has those of `kept`, and those that the feed lacks, from its row in `old`."""
+    own = [f.name for f in schema if f.name != key and (f.name in kept or f.name not in changed.columns)]
+    before = old.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_o_{c}") for c in own))
+    rows = changed.join(before, F.col(key) == F.col("_k"), "left") if own else changed
+    update = F.col("action") == "update"
+    fresh = lambda c: F.col(c) if c in changed.columns else F.lit(None).cast(schema[c].dataType)
+    return rows.select(*(F.when(update, F.col(f"_o_{f.name}")).otherwise(fresh(f.name)).alias(f.name) if f.name in own else F.col(f.name) for f in schema))
+
+
 def refresh(target: DataFrame, feed: DataFrame, key: str = "page_id", revision: str = "revision_id", kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(new target, rows to archive). Pages absent from the feed stay; columns of `kept` survive an update; old rows of updates are archived.
 
     What changes is found from keys and revisions alone; rows of the target that stay are
     only passed on, and a feed that is small against it is broadcast by its keys.
     """
-    kept = kept or []
     changed = refresh_actions(target, feed, key, revision).filter("action <> 'skip'")
-    own = [c for c in target.columns if c != key and (c in kept or c not in feed.columns)]
-    old = target.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_o_{c}") for c in own))
-    rows = changed.join(old, F.col(key) == F.col("_k"), "left") if own else changed
-    update = F.col("action") == "update"
-    fresh = lambda c: F.col(c) if c in feed.columns else F.lit(None).cast(target.schema[c].dataType)
-    columns = [F.when(update, F.col(f"_o_{c}")).otherwise(fresh(c)).alias(c) if c in own else F.col(c) for c in target.columns]
     names = changed.select(F.col(key).alias("_k"), "action")
     same = target[key] == F.col("_k")
-    merged = target.join(names, same, "left_anti").unionByName(rows.select(*columns))
+    merged = target.join(names, same, "left_anti").unionByName(with_kept(target, changed, target.schema, key, kept or []))
     return merged, target.join(names.filter("action = 'update'"), same, "left_semi")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.links import resolve_redirects
+from lodestone.scratch import cut
+from lodestone.sources.store import Store, Transaction
 
 OPEN = ["queued", "in_progress"]
 TERMINAL = ["complete", "failed", "not_found", "skipped_redirect", "skipped_unchanged", "embedded", "no_html", "skipped"]
@@ -99,11 +101,7 @@ def finish(items: DataFrame, results: DataFrame, now: Column) -> DataFrame:
 
 
 def promote(jobs: DataFrame, now: Column) -> DataFrame:
-    """`jobs` (job_id, corpus, status, cancel_requested, started_at): the oldest queued job of each corpus without a running one starts.
-
-    Written by `sources.publish`, it is one exchange for all corpora: a job is running
-    only in the table that readers see after the swap.
-    """
+    """`jobs` (job_id, corpus, status, cancel_requested, started_at): the oldest queued job of each corpus without a running one starts."""
     state = jobs.groupBy("corpus").agg(
         F.count_if(F.col("status") == "running").alias("_running"),
         F.min(F.when((F.col("status") == "queued") & (F.col("cancel_requested") == 0), F.col("job_id"))).alias("_next"),
@@ -113,6 +111,23 @@ def promote(jobs: DataFrame, now: Column) -> DataFrame:
     return joined.withColumns({"status": F.when(F.col("_starts"), "running").otherwise(F.col("status")), "started_at": F.when(F.col("_starts"), now).otherwise(F.col("started_at"))}).select(*jobs.columns)
 
 
+def start_next(store: Store, now: Column, table: str = "jobs") -> DataFrame:
+    """`promote` on a stored table: what has started, by this call and no other.
+
+    Two calls that meet commit against the same version; one loses, looks again and finds
+    the job running, so a corpus never runs two jobs.
+    """
+
+    def work(tx: Transaction) -> DataFrame:
+        jobs = tx.read(table)
+        started = cut(promote(jobs, now).join(jobs.filter("status = 'queued'").select("job_id"), "job_id", "left_semi").filter("status = 'running'").select(*jobs.columns))
+        if not started.isEmpty():
+            tx.upsert(table, started)
+        return started
+
+    return store.transact(work)
+
+
 def cancel(jobs: DataFrame, items: DataFrame, job_ids: list[int]) -> tuple[DataFrame, DataFrame]:
     """(jobs, items) after a request to stop: queued jobs are cancelled at once, running ones carry the flag; items that wait are left out."""
     asked = F.col("job_id").isin(job_ids)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,40 +12,60 @@ from lodestone.functions import text as X
 from lodestone.operators import index as I
 from lodestone.operators import links as L
 from lodestone.scratch import cut, shared_folder
+from lodestone.sources.publish import _Files
 
-_built: dict[tuple[str, str, str], object] = {}
+_built: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build):
-    """What `build()` gives, made once for each application and folder; the stored tables of a corpus."""
+def _state(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
+    """What the files of the tables are just now: names, sizes and times of change."""
+    files = _Files(spark, sf_dir)
+    found = []
+    for name in [f for t in tables for f in table(spark, sf_dir, t).inputFiles()]:
+        status = files.fs.getFileStatus(files.at(name))
+        found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build, tables: list[str] | None = None):
+    """What `build()` gives, made once for each application and state of the tables; the stored tables of a corpus.
+
+    Where a table's files have changed it is made anew.
+    """
     at = (spark.sparkContext.applicationId, sf_dir, name)
-    if at not in _built:
-        _built[at] = build()
-    return _built[at]
+    state = _state(spark, sf_dir, tables or ["documents"])
+    if at not in _built or _built[at][0] != state:
+        _built[at] = (state, build())
+    return _built[at][1]
 
 
-def _index(spark: SparkSession, sf_dir: str, name: str, text: Column) -> str:
-    """The path of a stored index over a text of the documents, written when it is first asked for."""
+def _index(spark: SparkSession, sf_dir: str, name: str, source: str, key: str, text: Column, kind: str = "words") -> str:
+    """The path of a stored index over a text of a table, written when it is first asked for."""
 
     def build() -> str:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        I.write(table(spark, sf_dir, "documents"), path, "doc_id", text)
+        I.write(table(spark, sf_dir, source), path, key, text, kind=kind)
         return path
 
-    return _once(spark, sf_dir, name, build)
+    return _once(spark, sf_dir, name, build, [source])
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> str:
+    """A trigram index over the names of parts, which stand for titles."""
+    return _index(spark, sf_dir, "names", "part", "p_partkey", F.col("p_name"), "trigrams")
 
 
 def documents_index(spark: SparkSession, sf_dir: str) -> str:
-    return _index(spark, sf_dir, "index", F.col("text"))
+    return _index(spark, sf_dir, "index", "documents", "doc_id", F.col("text"))
 
 
 def papers_index(spark: SparkSession, sf_dir: str) -> str:
     """Documents as papers: title, abstract and categories in one text."""
-    return _index(spark, sf_dir, "papers", X.paper_prompt(F.col("source"), F.coalesce("text", F.lit("")), F.col("lang")))
+    return _index(spark, sf_dir, "papers", "documents", "doc_id", X.paper_prompt(F.col("source"), F.coalesce("text", F.lit("")), F.col("lang")))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

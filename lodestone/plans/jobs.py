@@ -64,7 +64,7 @@ def paper_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paper_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and vectors for a free query over papers, hydrated with their authors."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    hits, _ = R.retrieve(PAPER_QUERY, lambda q: _paper_hits(spark, sf_dir, q), "doc_id", vectors, F.col("embedding"), lambda _: QUERY, _paper_meta(spark, sf_dir), top_k=20)
+    hits, _ = R.retrieve(PAPER_QUERY, lambda q: I.top(spark, papers_index(spark, sf_dir), q, 50).withColumnRenamed("key", "doc_id"), "doc_id", vectors, F.col("embedding"), lambda _: QUERY, _paper_meta(spark, sf_dir), top_k=20)
     return hits.select("doc_id", F.round("score", 9).alias("score"), "rank", "authors")
 
 

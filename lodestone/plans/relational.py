@@ -336,7 +336,7 @@ _JOBS = """jobs AS (SELECT o_orderkey AS job_id, o_custkey AS corpus, CASE o_ord
 
 
 @query(f"""WITH {_JOBS}, n AS (SELECT corpus, min(job_id) FILTER (status = 'queued' AND cancel_requested = 0) AS first, count(*) FILTER (status = 'running') AS running FROM jobs GROUP BY 1)
-SELECT job_id, CASE WHEN running = 0 AND job_id = first THEN 'running' ELSE status END AS status, (running = 0 AND job_id = first)::INT AS started FROM jobs JOIN n USING (corpus)""")
+SELECT job_id, CASE WHEN running = 0 AND job_id = first THEN 'running' ELSE status END AS status, coalesce(running = 0 AND job_id = first, false)::INT AS started FROM jobs JOIN n USING (corpus)""")
 def queue_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as jobs of their customers: the oldest queued one starts where none runs."""
     jobs = table(spark, sf_dir, "orders")

@@ -9,7 +9,7 @@ from lodestone.functions import text as X
 from lodestone.functions import tokens as T
 from lodestone.operators import index as I
 from lodestone.operators import retrieval as R
-from lodestone.plans.corpus import documents_index, table
+from lodestone.plans.corpus import documents_index, part_names, table
 
 TERMS = ["the", "of", "der"]
 QUERY = [((i * 37) % 64 - 31.5) / 200 for i in range(64)]
@@ -33,9 +33,13 @@ def _found(spark: SparkSession, sf_dir: str, terms: list[str], all_terms: bool =
     return I.search(spark, documents_index(spark, sf_dir), [[t] for t in terms], all_terms).withColumnRenamed("key", "doc_id")
 
 
+def _best(spark: SparkSession, sf_dir: str, terms: list[str], k: int) -> DataFrame:
+    """(doc_id, score) of the k best documents; blocks that cannot reach them are not scored."""
+    return I.top(spark, documents_index(spark, sf_dir), [[t] for t in terms], k).withColumnRenamed("key", "doc_id")
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _found(spark, sf_dir, TERMS[:2])
-    return hits.orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"))
+    return _best(spark, sf_dir, TERMS[:2], 50).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,13 +53,12 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = I.terms(spark, documents_index(spark, sf_dir))
-    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
+    return I.frequencies(spark, documents_index(spark, sf_dir))
 
 
 def stemmed_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     # distinct tokens are counted first, so each is stemmed once
-    tokens = I.terms(spark, documents_index(spark, sf_dir)).groupBy("term").agg(F.sum(F.size("positions")).alias("cf"))
+    tokens = I.frequencies(spark, documents_index(spark, sf_dir))
     return tokens.groupBy(T.porter("term").alias("stem")).agg(F.sum("cf").alias("cf"), F.count("*").alias("n_words"))
 
 
@@ -66,7 +69,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    hits = R.hybrid(_found(spark, sf_dir, TERMS[:2]), "doc_id", vectors, F.col("embedding"), QUERY, top_k=10)
+    hits = R.hybrid(_best(spark, sf_dir, TERMS[:2], 50), "doc_id", vectors, F.col("embedding"), QUERY, top_k=10)
     return hits.select("doc_id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -78,7 +81,7 @@ def sparse_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hydrated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    search = lambda q: I.search(spark, documents_index(spark, sf_dir), q).withColumnRenamed("key", "doc_id")
+    search = lambda q: I.top(spark, documents_index(spark, sf_dir), q, 50).withColumnRenamed("key", "doc_id")
     meta = documents.select("doc_id", "source", "lang", "n_chars")
     hits, _ = R.retrieve(" ".join(TERMS[:2]), search, "doc_id", vectors, F.col("embedding"), lambda _: QUERY, meta, top_k=10)
     return hits.select("doc_id", F.round("score", 9).alias("score"), "rank", "source", "lang", "n_chars")
@@ -92,6 +95,14 @@ def hits_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the stored trigram index; the names are read for the hits only."""
+    hits = I.phrase_search(spark, part_names(spark, sf_dir), "RED").withColumnRenamed("key", "p_partkey")
+    named = hits.join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    return named.select("p_partkey", "p_name", F.round("score", 6).alias("score"))
+
+
+def title_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without an index: every name is read."""
     hits = R.title_search(table(spark, sf_dir, "part"), "p_partkey", "p_name", "RED")
     return hits.select("p_partkey", "p_name", F.round("score", 6).alias("score"))
 
@@ -128,7 +139,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_all, corpus_stats, document_frequency, stemmed_frequency, dense_topk, rrf_hybrid, sparse_only,
-        hydrated_hits, hits_per_source, title_search, title_prefix, prompts, hashed_embeddings, corpus_info,
+        hydrated_hits, hits_per_source, title_search, title_scan, title_prefix, prompts, hashed_embeddings, corpus_info,
     )
 }
 
@@ -159,3 +170,4 @@ FROM c, s WHERE tf > 0 ORDER BY (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0
 md5(source || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || 'Categories: ' || lang) AS paper_md5, 'search_query: ' || source AS query FROM documents""",
     "corpus_info": "SELECT source AS corpus, count(quality) AS embedded, count(*) AS articles FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1",
 }
+ORACLE_SQL["title_scan"] = ORACLE_SQL["title_search"]

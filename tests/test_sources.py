@@ -11,7 +11,6 @@ from lodestone.operators import merges as M
 from lodestone.operators import queue as Q
 from lodestone.operators import retrieval as R
 from lodestone.sources import catalog, harvest, publish, settings, wiki_dump
-from lodestone.streaming.refresh import refresh_stream
 
 PAGE = "<page><title>{t}</title><ns>{n}</ns><id>{i}</id><revision><id>{r}</id><timestamp>2026</timestamp><contributor><username>u</username><id>7</id></contributor><text bytes=\"3\" xml:space=\"preserve\"> {x} </text></revision></page>"
 
@@ -57,36 +56,6 @@ def test_publish(spark, tmp_path):
     assert publish.read_with_defaults(spark, path, {"id": "0", "flag": "1"}).columns == ["id", "flag"]
 
 
-def test_refresh_stream(spark, tmp_path):
-    schema = "page_id bigint, revision_id bigint, body string, seq bigint"
-    target, archive, feed = (str(tmp_path / n) for n in ("target", "archive", "feed"))
-    publish.publish(spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 5, "c")], "page_id bigint, revision_id bigint, body string"), target)
-    rows = [(1, 1, "skip", 1), (2, 2, "first", 2), (2, 3, "last", 3), (3, 4, "older", 4), (9, 1, "new", 5)]
-    spark.createDataFrame(rows, schema).write.parquet(feed)
-    run = lambda: refresh_stream(spark, feed, spark.read.parquet(feed).schema, target, archive, str(tmp_path / "cp")).awaitTermination()
-    merged = {1: (1, "a"), 2: (3, "last"), 3: (4, "older"), 9: (1, "new")}
-
-    def check():
-        assert {r.page_id: (r.revision_id, r.body) for r in spark.read.parquet(target).collect()} == merged
-        assert sorted(r.body for r in spark.read.parquet(archive).collect()) == ["b", "c"]
-
-    run()
-    check()
-    run()
-    check()
-    # the batch ended, but Spark did not get to note it: it is tried again
-    for name in ("0", ".0.crc"):
-        (tmp_path / "cp" / "commits" / name).unlink()
-    run()
-    check()
-    # the job died between the two renames of the swap
-    (tmp_path / "target").rename(tmp_path / "target.old-x")
-    (tmp_path / "cp" / "commits" / "0").unlink()
-    (tmp_path / "cp" / "commits" / ".0.crc").unlink()
-    run()
-    check()
-
-
 def test_refresh_keeps_columns(spark):
     old = spark.createDataFrame([(1, 1, "a", 10, "x"), (2, 1, "b", 20, "y")], "page_id int, revision_id int, body string, created int, own string")
     feed = spark.createDataFrame([(1, 2, "A", 99), (3, 1, "C", 98), (2, 1, "skip", 97)], "page_id int, revision_id int, body string, created int")
@@ -174,72 +143,6 @@ def test_settings(spark, tmp_path):
         settings.fix_dimension(spark, path, 64)
 
 
-def test_index_changes(spark, tmp_path):
-    from lodestone.operators import index as I
-
-    schema = "id bigint, t string"
-    texts = {1: "a b c", 2: "a a d", 3: "b d", 4: None, 5: ""}
-    path, fresh = str(tmp_path / "i"), iter(range(10))
-
-    def same():
-        other = str(tmp_path / f"f{next(fresh)}")
-        I.write(spark.createDataFrame(list(texts.items()), schema), other, "id", F.col("t"))
-        for query in ("a", "b d", "a-b", "d z"):
-            got, wanted = (dict(I.search(spark, p, query).collect()) for p in (path, other))
-            assert set(got) == set(wanted) and all(abs(got[k] - wanted[k]) < 1e-12 for k in got), query
-
-    I.write(spark.createDataFrame(list(texts.items()), schema), path, "id", F.col("t"))
-    same()
-    texts |= {2: "b b", 6: "a b d d"}
-    I.write(spark.createDataFrame([(k, texts[k]) for k in (2, 6)], schema), path, "id", F.col("t"))
-    same()
-    I.delete(spark, path, spark.createDataFrame([(1,), (77,)], "id bigint"))
-    texts.pop(1)
-    same()
-    # a segment that was not written to the end does not count, and its number is used again
-    I.postings(spark.createDataFrame([(9, "a a a")], schema), "id", F.col("t")).selectExpr("*", "0 AS bucket").write.partitionBy("bucket").parquet(f"{path}/postings/segment=3")
-    same()
-    texts[9] = "a z"
-    I.write(spark.createDataFrame([(9, "a z")], schema), path, "id", F.col("t"))
-    same()
-    new = str(tmp_path / "n")
-    I.compact(spark, path, new)
-    path = new
-    same()
-
-
-def test_index_reads_only_the_terms(spark, tmp_path):
-    from lodestone.operators import index as I
-
-    path = str(tmp_path / "i")
-    I.write(spark.createDataFrame([(k, f"word{k} common") for k in range(500)], "id bigint, t string"), path, "id", F.col("t"))
-    every, one = (set(I.terms(spark, path, w).inputFiles()) for w in (None, ["word7"]))
-    plan = I.terms(spark, path, ["word7"])._jdf.queryExecution().toString()
-    assert one and "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[-1] and "In(term" not in plan.split("PartitionFilters")[0]
-    assert every
-
-
-def test_embedding_job(spark, tmp_path):
-    from lodestone.operators import embedding as E
-    from lodestone.operators import index as I
-
-    folder = str(tmp_path)
-    schema = "page_id bigint, title string, revision_id bigint, text string"
-    pages = {1: ("A", 1, "cats purr\n== S ==\nmore cats"), 2: ("B", 1, "dogs bark"), 3: ("R", 1, "#REDIRECT [[A]]")}
-    run = lambda: E.run_embedding(spark, spark.createDataFrame([(k, *v) for k, v in pages.items()], schema), folder, 8)
-    find = lambda q: {r.key.split("-")[0] for r in I.search(spark, f"{folder}/index", q).collect()}
-    assert run() == {"new": 2, "updated": 0, "skipped": 0, "failed": 1, "chunks": 3}
-    assert find("cats") == {"1"} and find("dogs") == {"2"}
-    pages |= {1: ("A", 2, "birds sing")}
-    assert run() == {"new": 0, "updated": 1, "skipped": 1, "failed": 1, "chunks": 1}
-    assert find("cats") == set() and find("birds") == {"1"} and find("dogs") == {"2"}
-    assert sorted((r.page_id, r.text) for r in spark.read.parquet(f"{folder}/chunks").collect()) == [(1, "birds sing"), (2, "dogs bark")]
-    E.forget_pages(spark, folder, spark.createDataFrame([(2,)], "page_id bigint"))
-    assert find("dogs") == set() and [r.page_id for r in spark.read.parquet(f"{folder}/articles_meta").collect()] == [1]
-    with pytest.raises(ValueError):
-        E.run_embedding(spark, spark.createDataFrame([], schema), folder, 16)
-
-
 def test_retrieve(spark, tmp_path):
     from lodestone.operators import index as I
 
