@@ -128,6 +128,18 @@ def elapsed(seconds: Column) -> Column:
     )
 
 
+def started_display(text: Column) -> Column:
+    """An ISO time as `5 Jan 2026 07:08 UTC`, its own clock kept; other text as it is."""
+    time = text.try_cast("timestamp_ntz")
+    return F.when(time.isNull(), text).otherwise(F.concat(F.date_format(time, "d MMM yyyy HH:mm"), F.lit(" UTC")))
+
+
+def embedded_display(text: Column) -> Column:
+    """An ISO time as `2026-01-05 07:08`, a dash where there is none; other text as it is."""
+    time = text.try_cast("timestamp_ntz")
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("—")).when(time.isNull(), text).otherwise(F.date_format(time, "yyyy-MM-dd HH:mm"))
+
+
 def from_unix(seconds: Column) -> Column:
     """Seconds since 1970 as `YYYY-MM-DD HH:MM:SS` in UTC, whatever the session's time zone."""
     clock = F.pmod(seconds, F.lit(86400))

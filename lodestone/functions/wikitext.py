@@ -1,13 +1,15 @@
 """Bracketed wiki markup that regexes cannot follow: templates, tables, info boxes and formulas of one text.
 
-Small helpers for Arrow batches (`operators.chunks`). All of them read a text once and
-keep a stack of what is open, so their time is linear in the text.
+Small helpers for Arrow batches (`operators.chunks`). They read a text once, keep a stack
+of what is open and look closings up in a list made once, so unclosed or deeply nested
+markup takes no longer than other text. Nothing recurses.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable
 
 #: Templates that are formulas, chemical formulas, tables of species and lists.
 MATH_NAMES = ["math", "tmath", "mvar", "bigmath"]
@@ -23,41 +25,90 @@ IMAGE_FIELDS = [
 SILENT_TAGS = ["ce", "chem", "gallery", "graph", "imagemap", "math", "score", "timeline"]
 
 _BRACKETS = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
-_FORMULA_TAG = re.compile(r"(?is)<(math|chem|ce)\b[^>]*>(.*?)</\1\s*>")
 _FORMULA_OPEN = re.compile(r"(?i)\{\{\s*(" + "|".join(MATH_NAMES + CHEM_NAMES) + r")\s*([|}])")
-_SILENT = re.compile(r"(?is)<(" + "|".join(SILENT_TAGS) + r")\b[^>/]*>.*?</\1\s*>")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
-_NOTE = re.compile(r"(?is)<ref\b[^>/]*>.*?</ref\s*>|<ref\b[^>]*/>")
-_COMMENT = re.compile(r"(?s)<!--.*?-->")
 _MEDIA = re.compile(r"(?i)\s*(?:file|image|media)\s*:")
-_WEB_LINK = re.compile(r"\[(?:https?:|ftp:)?//[^\s\]]+([^\]]*)\]")
+_WEB_LINK = re.compile(r"\[(?:https?:|ftp:)?//[^\s\[\]]+([^\[\]]*)\]")
 
 
-def templates(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, parts) of the outermost templates; parts are cut at the bars that stand in no inner template or link."""
-    out: list[tuple[int, int, list[str]]] = []
-    open_: list[tuple[str, int]] = []
-    bars: list[int] = []
+def _next(places: list[int], at: int) -> int:
+    """The first of sorted places from `at` on; -1 if there is none."""
+    k = bisect_left(places, at)
+    return places[k] if k < len(places) else -1
+
+
+def _uncommented(text: str) -> str:
+    out, at = [], 0
+    while (a := text.find("<!--", at)) >= 0 and (z := text.find("-->", a + 4)) >= 0:
+        out.append(text[at:a])
+        at = z + 3
+    return "".join([*out, text[at:]])
+
+
+def _elements(text: str, names: list[str], inside: Callable[[str], str], slash: bool = True, single: bool = False) -> str:
+    """`inside(body)` in place of each element of the tags `names`, in any case; unclosed ones stay.
+
+    Without `slash` an opening tag holds none; with `single` tags that close themselves go.
+    """
+    shape = "|".join(names)
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in re.finditer(rf"(?i)</({shape})\s*>", text):
+        ends.setdefault(m[1].lower(), []).append(m.span())
+    rights, slashes = [m.start() for m in re.finditer(">", text)], [m.start() for m in re.finditer("/", text)]
+    out, at = [], 0
+    for m in re.finditer(rf"(?i)<({shape})\b", text):
+        right = _next(rights, m.end())
+        if m.start() < at or right < 0:
+            continue
+        closing = ends.get(m[1].lower(), [])
+        k = bisect_left(closing, (right + 1,))
+        slashed = 0 <= _next(slashes, m.end()) < right
+        if k < len(closing) and not (slashed and not slash):
+            out += [text[at : m.start()], inside(text[right + 1 : closing[k][0]])]
+            at = closing[k][1]
+        elif single and slashed and text[right - 1] == "/":
+            out.append(text[at : m.start()])
+            at = right + 1
+    return "".join([*out, text[at:]])
+
+
+def every_template(text: str) -> list[tuple[int, int, list[int], bool]]:
+    """(start, end, bars, outermost) of all templates in order, but those in links; a bar in an inner template or link is not the outer one's."""
+    out: list[tuple[int, int, list[int], int]] = []
+    open_: list[tuple[str, int, list[int], int]] = []  # sign, place, bars, place of the template around it: -1 for none, -2 in a link
     for m in _BRACKETS.finditer(text):
         sign, at = m[0], m.start()
-        inside = bool(open_) and open_[0][0] == "{{"
         if sign in ("{{", "[["):
-            open_.append((sign, at))
+            around = -1 if not open_ else open_[-1][1] if open_[-1][0] == "{{" else -2
+            open_.append((sign, at, [], around))
         elif sign == "|":
-            if inside and len(open_) == 1:
-                bars.append(at)
+            if open_ and open_[-1][0] == "{{":
+                open_[-1][2].append(at)
+        elif sign == "]]":
+            if open_ and open_[-1][0] == "[[":
+                open_.pop()
         else:
-            partner = "{{" if sign == "}}" else "[["
-            while open_ and open_[-1][0] != partner and (partner == "{{" or open_[-1][0] == "[["):
+            while open_ and open_[-1][0] == "[[":
                 open_.pop()  # a link that is never closed ends with the template around it
-            if open_ and open_[-1][0] == partner:
-                start = open_.pop()[1]
-                if not open_ and partner == "{{":
-                    cuts = [start + 1, *(b for b in bars if b > start), at]
-                    out.append((start, m.end(), [text[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False)]))
-                if not open_:
-                    bars = []
-    return out
+            if open_:
+                _, start, bars, around = open_.pop()
+                out.append((start, m.end(), bars, around))
+    found, kept = [], {-1}
+    for start, end, bars, around in sorted(out):
+        if around in kept:  # what stands around it is closed, and no link
+            kept.add(start)
+            found.append((start, end, bars, around == -1))
+    return found
+
+
+def _parts(text: str, start: int, end: int, bars: list[int]) -> list[str]:
+    cuts = [start + 1, *bars, end - 2]
+    return [text[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def templates(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, parts) of the outermost templates; parts are cut at the bars that stand in no inner template or link."""
+    return [(start, end, _parts(text, start, end, bars)) for start, end, bars, outermost in every_template(text) if outermost]
 
 
 def _named(part: str) -> tuple[str | None, str]:
@@ -69,7 +120,7 @@ def _named(part: str) -> tuple[str | None, str]:
 
 def plain(text: str) -> str:
     """Text without comments, templates, silent tags, media links and quotes; labels of links and insides of tags stay."""
-    text = _folded(_SILENT.sub("", _COMMENT.sub("", text)), "{{", "}}", lambda body: "")
+    text = _folded(_elements(_uncommented(text), SILENT_TAGS, lambda body: "", slash=False), "{{", "}}", lambda body: "")
     text = _TAG.sub("", _folded(text, "[[", "]]", _label))
     return re.sub("'{2,5}", "", _WEB_LINK.sub(lambda m: m[1].strip(), text)).strip()
 
@@ -94,15 +145,12 @@ def _folded(text: str, left: str, right: str, render: Callable[[str], str]) -> s
         else:
             stack[-1].append(right)
     stack[-1].append(text[at:])
-    while len(stack) > 1:
-        rest = left + "".join(stack.pop())
-        stack[-1].append(rest)
-    return "".join(stack[0])
+    return left.join("".join(pieces) for pieces in stack)
 
 
 def link_targets(text: str) -> list[str]:
     """Targets of all closed links in order, those inside of templates and of other links too; comments hold none."""
-    text, found, stack = _COMMENT.sub("", text), [], []
+    text, found, stack = _uncommented(text), [], []
     for m in re.finditer(r"\[\[|\]\]", text):
         if m[0] == "[[":
             stack.append(m.end())
@@ -112,17 +160,24 @@ def link_targets(text: str) -> list[str]:
     return [target for _, target in sorted(found) if target and "\n" not in target]
 
 
-def _formula_end(text: str, at: int) -> int:
-    """Where the braces that close a template begin, single ones inside counted; -1 if they are missing."""
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(text, at):
-        if m[0] == "{":
-            depth += 1
-        elif depth:
-            depth -= 1
-        elif text.startswith("}}", m.start()):
-            return m.start()
-    return -1
+def _formula_ends(text: str) -> Callable[[int], int]:
+    """For a place in `text`, where the braces that close a template open there begin, single ones inside counted; -1 if they are missing."""
+    braces = [(m.start(), m[0]) for m in re.finditer(r"[{}]", text)]
+    waiting, partner = [], {}
+    for k, (_, sign) in enumerate(braces):
+        if sign == "{":
+            waiting.append(k)
+        elif waiting:
+            partner[waiting.pop()] = k
+    ends = [-1] * (len(braces) + 1)
+    for k in range(len(braces) - 1, -1, -1):  # from the back: the answer for a place before each brace
+        at, sign = braces[k]
+        if sign == "{":
+            ends[k] = ends[partner[k] + 1] if k in partner else -1
+        else:
+            ends[k] = at if text.startswith("}}", at) else ends[k + 1]
+    places = [at for at, _ in braces]
+    return lambda at: ends[bisect_left(places, at)]
 
 
 def _top_level(body: str) -> list[str]:
@@ -140,7 +195,7 @@ def _top_level(body: str) -> list[str]:
 
 def inline_formulas(text: str) -> str:
     """Formulas as text: the bodies of `math`, `chem` and `ce` tags, the first part of formula templates, the parts of chemical ones in a row; named parts go."""
-    out, at = [], 0
+    out, at, end_of = [], 0, _formula_ends(text)
     while m := _FORMULA_OPEN.search(text, at):
         out.append(text[at : m.start()])
         if m[2] == "}":
@@ -148,7 +203,7 @@ def inline_formulas(text: str) -> str:
             out.append("" if empty else m[0])
             at = m.end() + empty
             continue
-        end = _formula_end(text, m.end())
+        end = end_of(m.end())
         if end < 0:
             out.append(m[0])
             at = m.end()
@@ -159,7 +214,7 @@ def inline_formulas(text: str) -> str:
         else:
             out.append(re.sub(r"^\s*1\s*=", "", body).strip())
         at = end + 2
-    return _FORMULA_TAG.sub(lambda m: m[2], "".join([*out, text[at:]]))
+    return _elements("".join([*out, text[at:]]), ["math", "chem", "ce"], lambda body: body)
 
 
 def packed_lines(head: str, lines: list[str], limit: int) -> list[str]:
@@ -259,28 +314,22 @@ def _value(raw: str) -> str:
     if text:
         return text
     items, loose = [], []
-    for name, parts in _every_template(raw):
-        if name.lower() in LIST_NAMES and not items:
+    for start, end, bars, _ in every_template(raw):
+        name, *parts = _parts(raw, start, end, bars)
+        if name.strip().lower() in LIST_NAMES and not items:
             for key, value in map(_named, parts):
                 if key not in ("style", "class", "indent") and not items:
-                    items = [x for x in (plain(line.strip().lstrip("*#")) for line in _NOTE.sub("", value).split("\n")) if x]
+                    value = _elements(value, ["ref"], lambda body: "", slash=False, single=True)
+                    items = [x for x in (plain(line.strip().lstrip("*#")) for line in value.split("\n")) if x]
         loose += [v.strip() for key, v in map(_named, parts) if (key is None or key.isdigit()) and v.strip()]
     return " / ".join(items) if items else " ".join(loose)
 
 
-def _every_template(text: str) -> Iterator[tuple[str, list[str]]]:
-    """Name and parts of all templates, outer ones first."""
-    for _, _, (name, *parts) in templates(text):
-        yield name.strip(), parts
-        for part in parts:
-            yield from _every_template(part)
-
-
 def info_boxes(text: str, title: str) -> list[tuple[str, list[str]]]:
     """(heading, `field: value` lines) of each outermost info box or species box; pictures and empty fields are left out."""
     found = []
     for _, _, (name, *parts) in templates(text):
-        name = _COMMENT.sub("", name).strip()
+        name = _uncommented(name).strip()
         fields = [(str(k + 1) if key is None else key, v.strip()) for k, (key, v) in enumerate(map(_named, parts))]
         if name.lower().startswith("infobox"):
             kind = name[len("infobox") :].strip(" _")

@@ -359,3 +359,15 @@ def item_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = SQL
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate::TIMESTAMP + to_minutes(o_orderkey % 1440), '%-d %b %Y %H:%M UTC') AS started,
+CASE WHEN o_orderkey % 7 = 0 THEN '—' WHEN o_orderkey % 7 = 1 THEN 'soon' ELSE strftime(o_orderdate::TIMESTAMP + to_minutes(o_orderkey % 1440), '%Y-%m-%d %H:%M') END AS embedded FROM orders""")
+def display_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of orders as times of jobs, as they are shown; some are missing and some are no times."""
+    orders = table(spark, sf_dir, "orders")
+    minutes = F.col("o_orderkey") % 1440
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    iso = F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit("T"), two(minutes / 60), F.lit(":"), two(minutes % 60), F.lit(":09"))
+    given = F.when(F.col("o_orderkey") % 7 == 1, "soon").when(F.col("o_orderkey") % 7 != 0, iso)
+    return orders.select("o_orderkey", X.started_display(iso).alias("started"), X.embedded_display(given).alias("embedded"))

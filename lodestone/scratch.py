@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,7 +11,14 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """The open scopes of a thread, innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,20 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Delete at its end all tables that `cut` writes inside: for work whose result has been written by then."""
-    _scopes.append([])
+    """Delete at its end all tables that `cut` writes inside, in this thread: for work whose result has been written by then."""
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _scopes.open.pop():
             _delete(spark, path)
 
 

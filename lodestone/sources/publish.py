@@ -94,6 +94,15 @@ def log_run(spark: SparkSession, path: str, run: dict[str, object], schema: str)
 
 
 def write_side_files(df: DataFrame, folder: str, name: str, text: str) -> None:
-    """The column `text` of each row as a text file below `folder/<name>`, one folder for each value of the column `name`."""
-    named = df.filter(F.col(text).isNotNull()).select(F.regexp_replace(name, "[^A-Za-z0-9._-]", "_").alias("name"), F.col(text).alias("value"))
-    named.write.mode("overwrite").partitionBy("name").text(folder)
+    """The column `text` of each row as a text file below `folder`, one folder `name=...` for each value of the column `name`.
+
+    Folders of other names stay as they are, one of the same name is replaced. Signs that a
+    file system does not take are written as codes, so no two names share a folder.
+    """
+    named = df.filter(F.col(text).isNotNull()).select(F.col(name).cast("string").alias("name"), F.col(text).alias("value"))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(folder)
+
+
+def read_side_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, value) of all side files, whole."""
+    return spark.read.schema("value string, name string").text(folder, wholetext=True).select("name", "value")

@@ -91,8 +91,9 @@ def test_small_sinks(spark, tmp_path):
         publish.log_run(spark, str(tmp_path / "log"), {"run": n, "rows": 10 * n}, "run int, rows int")
     assert sorted(r.rows for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [10, 20]
     publish.write_side_files(spark.createDataFrame([("a/1", "# x\ny"), ("b", None)], "id string, md string"), str(tmp_path / "side"), "id", "md")
-    got = spark.read.text(str(tmp_path / "side"), wholetext=True).collect()
-    assert [(r.name, r.value) for r in got] == [("a_1", "# x\ny\n")]
+    publish.write_side_files(spark.createDataFrame([("a_1", "other"), ("c", "1")], "id string, md string"), str(tmp_path / "side"), "id", "md")
+    publish.write_side_files(spark.createDataFrame([("c", "2")], "id string, md string"), str(tmp_path / "side"), "id", "md")
+    assert sorted(map(tuple, publish.read_side_files(spark, str(tmp_path / "side")).collect())) == [("a/1", "# x\ny\n"), ("a_1", "other\n"), ("c", "2\n")]
 
 
 def test_catalog(spark, tmp_path):

@@ -277,3 +277,37 @@ def test_free_queries_against_sqlite(spark, tmp_path):
             assert all(abs(got[k] - wanted[k]) < 1e-9 for k in got), query
     assert I.search(spark, path, '"?" ""').count() == 0
     assert sparse_search(df, "doc_id", F.col("t"), '"?" ""').count() == 0
+
+
+def test_markup_readers_are_linear():
+    """16,000 openers of each kind take no more than twice the time for each that 1,000 take; deep nesting doesn't recurse."""
+    import time
+
+    from lodestone.functions import wikitext as T
+
+    def took(work, text):
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            work(text)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    for opener in ("{{math|", "{{chem|a", "<math>", "<math ", "<ce", "<!-- ", "<ref>", "<ref name=", "[[a|", "{{infobox x|", "[http://a b ", "{|\n", "{", "<gallery"):
+        for work in (T.inline_formulas, T.plain, T.link_targets, lambda t: T.info_boxes(t, "t"), T.cut_tables):
+            few, many = (took(work, opener * n) for n in (1_000, 16_000))
+            assert many <= 2 * 16 * max(few, 2e-4), (opener, few, many)
+    deep = "{{infobox x|a={{b|" * 3_000 + "}}" * 6_000
+    assert T.info_boxes(deep, "t") and T.plain("[[a|" * 5_000 + "x" + "]]" * 5_000) == "x"
+
+
+def test_elements_and_formulas():
+    from lodestone.functions import wikitext as T
+
+    drop = lambda body: ""
+    assert T._elements('a<ref name="x"/>b<ref>c</ref>d<REF>e</ref >f<ref>g', ["ref"], drop, slash=False, single=True) == "abdf<ref>g"
+    assert T._elements("<math>x<math>y</math>z</math>", ["math"], lambda b: f"({b})") == "(x<math>y)z</math>"
+    assert T._uncommented("a<!-- b -->c<!-- d") == "ac<!-- d"
+    assert T.inline_formulas("{{math|a{b}}} {{math|{c}} {{math|d}}}") == "a{b} {{math|{c}} d}"
+    text = "{{a|x={{b|1}}|[[l|{{c}}]]|y}} {{d {{e}}"
+    assert [(text[a:z][:3], out) for a, z, _, out in T.every_template(text)] == [("{{a", True), ("{{b", False)]
