@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators import index as I
 from lodestone.operators import links as L
+from lodestone.operators import vectors as V
 from lodestone.scratch import cut, shared_folder
 from lodestone.sources.publish import _Files
 
@@ -31,7 +32,7 @@ def _state(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build, tables: list[str] | None = None):
+def built_once(spark: SparkSession, sf_dir: str, name: str, build, tables: list[str] | None = None):
     """What `build()` gives, made once for each application and state of the tables; the stored tables of a corpus.
 
     Where a table's files have changed it is made anew.
@@ -51,7 +52,7 @@ def _index(spark: SparkSession, sf_dir: str, name: str, source: str, key: str, t
         I.write(table(spark, sf_dir, source), path, key, text, kind=kind)
         return path
 
-    return _once(spark, sf_dir, name, build, [source])
+    return built_once(spark, sf_dir, name, build, [source])
 
 
 def part_names(spark: SparkSession, sf_dir: str) -> str:
@@ -59,6 +60,17 @@ def part_names(spark: SparkSession, sf_dir: str) -> str:
     return _index(spark, sf_dir, "names", "part", "p_partkey", F.col("p_name"), "trigrams")
 
 
+def packed_vectors(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the stored vectors, packed and in clusters."""
+
+    def build() -> str:
+        path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+        V.write(table(spark, sf_dir, "embeddings"), path, "vec_id", F.col("embedding"))
+        return path
+
+    return built_once(spark, sf_dir, "vectors", build, ["embeddings"])
+
+
 def documents_index(spark: SparkSession, sf_dir: str) -> str:
     return _index(spark, sf_dir, "index", "documents", "doc_id", F.col("text"))
 
@@ -70,13 +82,13 @@ def papers_index(spark: SparkSession, sf_dir: str) -> str:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, pos): the stored link table of the articles."""
-    return _once(spark, sf_dir, "edges", lambda: cut(L.edges(articles(spark, sf_dir))))
+    return built_once(spark, sf_dir, "edges", lambda: cut(L.edges(articles(spark, sf_dir))))
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, title, revision_id, redirect_to, is_redirect): the articles without their texts, stored."""
     narrow = lambda: cut(L.with_redirects(articles(spark, sf_dir)).select("page_id", "title", "revision_id", "redirect_to", "is_redirect"))
-    return _once(spark, sf_dir, "titles", narrow)
+    return built_once(spark, sf_dir, "titles", narrow)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,14 @@ from lodestone.functions import text as X
 from lodestone.functions import tokens as T
 from lodestone.operators import index as I
 from lodestone.operators import retrieval as R
-from lodestone.plans.corpus import documents_index, part_names, table
+from lodestone.operators import vectors as V
+from lodestone.plans.corpus import documents_index, packed_vectors, part_names, table
 
 TERMS = ["the", "of", "der"]
 QUERY = [((i * 37) % 64 - 31.5) / 200 for i in range(64)]
 _POINT = "[" + ", ".join(repr(x) for x in QUERY) + "]::DOUBLE[]"
+#: A hundred points, as a formula of their number and place.
+POINTS = [[((i * 37 + q * 11) % 64 - 31.5) / (150 + q) for i in range(64)] for q in range(100)]
 _TOKENS = r"tok AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\x{80}-\x{10FFFF}]+') IF x <> ''] AS w FROM documents)"
 
 
@@ -67,6 +70,12 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def dense_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of a hundred points at once, from packed vectors by clusters."""
+    near = V.nearest(spark, packed_vectors(spark, sf_dir), POINTS, 10)
+    return near.select("query", F.col("key").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     hits = R.hybrid(_best(spark, sf_dir, TERMS[:2], 50), "doc_id", vectors, F.col("embedding"), QUERY, top_k=10)
@@ -138,7 +147,7 @@ def corpus_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_all, corpus_stats, document_frequency, stemmed_frequency, dense_topk, rrf_hybrid, sparse_only,
+        bm25_topk, bm25_all, corpus_stats, document_frequency, stemmed_frequency, dense_topk, dense_many, rrf_hybrid, sparse_only,
         hydrated_hits, hits_per_source, title_search, title_scan, title_prefix, prompts, hashed_embeddings, corpus_info,
     )
 }
@@ -157,6 +166,9 @@ ORACLE_SQL = {
     "corpus_stats": f"WITH {_TOKENS} SELECT count(*) AS n_docs, round(avg(len(w)), 6) AS mean_length FROM tok",
     "document_frequency": f"WITH {_TOKENS}, u AS (SELECT doc_id, unnest(w) AS term FROM tok) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM u GROUP BY term",
     "dense_topk": f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_POINT}), 6) AS distance FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_POINT}), vec_id LIMIT 50",
+    "dense_many": """WITH q AS (SELECT query::INT AS query, [((i * 37 + query * 11) % 64 - 31.5)::DOUBLE / (150 + query) FOR i IN range(64)] AS p FROM range(100) t(query))
+SELECT query, vec_id, round(d, 6) AS distance, rank FROM (SELECT query, vec_id, d, row_number() OVER (PARTITION BY query ORDER BY d, vec_id)::INT AS rank
+FROM (SELECT query, vec_id, list_distance(embedding::DOUBLE[], p) AS d FROM q, embeddings)) WHERE rank <= 10""",
     "rrf_hybrid": f"WITH {_RRF} SELECT doc_id, round(s, 9) AS score, rank FROM top",
     "hydrated_hits": f"WITH {_RRF} SELECT doc_id, round(s, 9) AS score, rank, source, lang, n_chars FROM top JOIN documents USING (doc_id)",
     "sparse_only": f"WITH {_bm25_sql(TERMS[:2], 'AND')}, sp AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM bm) SELECT doc_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, rank FROM sp WHERE rank <= 20",

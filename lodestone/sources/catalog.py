@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.presence import may_have
 from lodestone.sources.publish import _Files, restore
 
 
@@ -15,7 +16,7 @@ def table_path(base: str, corpus: str, name: str) -> str:
 def corpora(spark: SparkSession, base: str, name: str) -> list[str]:
     """The corpora below `base` that have the table `name`, sorted."""
     found = _Files(spark, base).like(f"{base}/*/{name}")
-    return sorted({path.rstrip("/").rsplit("/", 2)[1] for path in found})
+    return sorted({path.rstrip("/").rsplit("/", 2)[1] for path in found} - {"_presence"})
 
 
 def has_table(spark: SparkSession, path: str) -> bool:
@@ -50,5 +51,18 @@ def corpus_info(spark: SparkSession, base: str, corpus: str, settings: dict[str,
 
 
 def corpora_with(spark: SparkSession, base: str, name: str, column: str, value: str) -> list[str]:
-    """The corpora whose table `name` has a row with `value` in `column`; each is asked for one row, by a filter that its files prune."""
-    return [c for c in corpora(spark, base, name) if not open_table(spark, base, c, name).filter(F.col(column) == value).select(column).limit(1).isEmpty()]
+    """The corpora whose table `name` has a row with `value` in `column`.
+
+    Filters beside the tables say which corpora may have it; those, and corpora without a
+    filter, are asked together in one job, each by a condition that its files prune.
+    """
+    known = corpora(spark, base, name)
+    filtered = {p.rstrip("/").rsplit("corpus=", 1)[1] for p in _Files(spark, base).like(f"{base}/_presence/{name}.{column}/corpus=*")}
+    values = spark.range(1).select(F.lit(value).alias("value"))
+    maybe = {r.corpus for r in may_have(spark, base, name, column, values).collect()} if filtered else set()
+    asked = [c for c in known if c in maybe or c not in filtered]
+    rows = None
+    for c in asked:
+        one = open_table(spark, base, c, name).filter(F.col(column) == value).limit(1).select(F.lit(c).alias("corpus"))
+        rows = one if rows is None else rows.unionByName(one)
+    return sorted(r.corpus for r in rows.collect()) if rows is not None else []

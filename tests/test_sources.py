@@ -10,7 +10,7 @@ from lodestone.operators import links as L
 from lodestone.operators import merges as M
 from lodestone.operators import queue as Q
 from lodestone.operators import retrieval as R
-from lodestone.sources import catalog, harvest, publish, settings, wiki_dump
+from lodestone.sources import catalog, harvest, paging, presence, publish, settings, wiki_dump
 
 PAGE = "<page><title>{t}</title><ns>{n}</ns><id>{i}</id><revision><id>{r}</id><timestamp>2026</timestamp><contributor><username>u</username><id>7</id></contributor><text bytes=\"3\" xml:space=\"preserve\"> {x} </text></revision></page>"
 
@@ -119,6 +119,42 @@ def test_catalog(spark, tmp_path):
     assert (info["corpus"], info["embedded"], info["display_name"]) == ("simple", 2, "Simple")
 
 
+def test_pages_of_any_place(spark, tmp_path):
+    """The first, a middle and the last page, and one behind it, from two files at most."""
+    names = [f"{k % 40:02d}" for k in range(1_000)]
+    df = spark.createDataFrame(list(enumerate(names)), "k int, name string").repartition(5)
+    paging.write_pages(df, str(tmp_path), ["name", "k"], rows_per_file=120)
+    every = sorted((n, k) for k, n in enumerate(names))
+    for number in (1, 7, 20, 21, 0):
+        got = paging.page(spark, str(tmp_path), ["name", "k"], number, 50)
+        first = (max(1, number) - 1) * 50
+        assert [(r.name, r.k) for r in got.collect()] == every[first : first + 50]
+        assert len(paging.files_of(spark, str(tmp_path), first, 50)) <= 2
+        assert number == 21 or "PartitionFilters: [isnotnull(_range" in got._jdf.queryExecution().toString() or "PartitionFilters: [_range" in got._jdf.queryExecution().toString()
+    paging.write_pages(df.limit(0), str(tmp_path / "e"), ["name", "k"])
+    assert paging.page(spark, str(tmp_path / "e"), ["name", "k"], 1, 50).count() == 0
+
+
+def test_presence(spark, tmp_path):
+    """No value is missed, few others pass, added values are there, and only corpora that may have a value are opened."""
+    base = str(tmp_path)
+    for corpus, step in (("a", 2), ("b", 3), ("c", 5)):
+        titles = spark.range(0, 100_000, step).selectExpr("concat('t', id) AS title")
+        if corpus != "c":
+            presence.write_presence(titles, base, corpus, "titles", "title")
+        publish.publish(titles, f"{base}/{corpus}/titles")
+    asked = spark.range(0, 110_000).selectExpr("concat('t', id) AS value", "id")
+    found = presence.may_have(spark, base, "titles", "title", asked).join(asked, "value").groupBy("corpus").agg(F.count("*").alias("n"), F.count_if(F.col("id") < 100_000).alias("low"), F.count_if((F.col("corpus") == "a") & (F.col("id") % 2 == 0) & (F.col("id") < 100_000)).alias("a"), F.count_if((F.col("corpus") == "b") & (F.col("id") % 3 == 0) & (F.col("id") < 100_000)).alias("b"))
+    got = {r.corpus: r for r in found.collect()}
+    assert got["a"].a == 50_000 and got["b"].b == 33_334
+    assert got["a"].n < 50_000 + 1_000 and got["b"].n < 33_334 + 1_500
+    assert catalog.corpora_with(spark, base, "titles", "title", "t6") == ["a", "b"]
+    assert catalog.corpora_with(spark, base, "titles", "title", "t25") == ["c"]
+    presence.add_presence(spark.createDataFrame([("new",), (None,)], "title string"), base, "a", "titles", "title")
+    some = spark.createDataFrame([("new",), ("t2",)], "value string")
+    assert sorted(map(tuple, presence.may_have(spark, base, "titles", "title", some).filter("corpus = 'a'").collect())) == [("new", "a"), ("t2", "a")]
+
+
 def test_scratch_tables(spark):
     with scratch.scope(spark):
         inner = scratch.cut(spark.range(3))
