@@ -13,8 +13,9 @@ Training reads a bounded sample of every language: at most `per_language` rows a
 `landmarks_each` landmarks of each, the rows smallest by a hash of their id. Of more than
 `max_languages` languages the totals for that many are divided among all, so that each
 has fewer (one row and one landmark at least, without which its alphabet would be
-unknown); none is left out. What comes to the driver is presence
-tables, of one size whatever the text's length, and the languages' counts.
+unknown); none is left out. What comes to the driver is packed
+presence tables, 2.7 KB each whatever the text's length, and the languages' counts; they are
+unpacked in slices.
 Every document is then scored over its whole text.
 
 Defined results: a null text, or one without a letter (Unicode category L), is `und` with score 0; rows
@@ -93,23 +94,28 @@ def _landmark_matrix(seen: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(seen: np.ndarray, languages: list[str], landmarks_each: int, ridge: float) -> Model:
+def train(bits: np.ndarray, languages: list[str], landmarks_each: int, ridge: float, slice_rows: int = 256) -> Model:
+    """A model from packed presence rows, which are unpacked in slices: the regression needs sums over them only."""
     names, label = np.unique(np.array(languages), return_inverse=True)
     names = names.tolist()
+    unpacked = lambda rows: np.unpackbits(bits[rows], axis=1, count=WIDTH)
     chosen = np.concatenate([np.flatnonzero(label == k)[:landmarks_each] for k in range(len(names))])
     none = np.zeros((len(chosen), len(names)), dtype=np.float32)
-    model = Model(names, _landmark_matrix(seen[chosen]), none, none[0])
-    among = model.kernel(seen[chosen]).astype(np.float64)
+    model = Model(names, _landmark_matrix(unpacked(chosen)), none, none[0])
+    slices = [np.arange(i, min(i + slice_rows, len(bits))) for i in range(0, len(bits), slice_rows)]
+    among = np.concatenate([model.kernel(unpacked(chosen[i : i + slice_rows])) for i in range(0, len(chosen), slice_rows)]).astype(np.float64)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # Nyström coordinates are kernel values times this
-    x = np.concatenate([model.kernel(seen[i : i + 256]) for i in range(0, len(seen), 256)]).astype(np.float64) @ root
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    share = np.bincount(label, minlength=len(names))[label]
-    weight = 1.0 / share  # languages count alike, whatever their number of rows
-    y = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
-    left = (x1 * weight[:, None]).T @ x1 + ridge * np.eye(x1.shape[1])
-    solved = np.linalg.solve(left, (x1 * weight[:, None]).T @ y)
+    size = root.shape[1] + 1
+    left, right = ridge * np.eye(size), np.zeros((size, len(names)))
+    weight = 1.0 / np.bincount(label, minlength=len(names))  # languages count alike, whatever their number of rows
+    for rows in slices:
+        x = np.hstack([model.kernel(unpacked(rows)).astype(np.float64) @ root, np.ones((len(rows), 1))])
+        weighted = x * weight[label[rows]][:, None]
+        left += weighted.T @ x
+        right += weighted.T @ np.where(label[rows][:, None] == np.arange(len(names)), 1.0, -1.0)
+    solved = np.linalg.solve(left, right)
     model.weights = (root @ solved[:-1]).astype(np.float32)
     model.offset = solved[-1].astype(np.float32)
     return model
@@ -155,9 +161,13 @@ def fit(
         return {"_k": batch.column(0), "lang": batch.column(1), "bits": pa.array([b.tobytes() for b in bits], type=pa.binary())}
 
     got = map_batches(sample, f"_k {kind}, lang string, bits binary", rows_of, rows=128).collect()
-    got = sorted(got, key=lambda r: (r.lang, r._k))
-    seen = np.unpackbits(np.array([np.frombuffer(r.bits, dtype=np.uint8) for r in got]), axis=1, count=WIDTH)
-    return train(seen, [r.lang for r in got], landmarks_each, ridge)
+    got.sort(key=lambda r: (r.lang, r._k))
+    packed = np.empty((len(got), WIDTH // 8), dtype=np.uint8)  # 2.7 KB for a row of the sample
+    for i, r in enumerate(got):
+        packed[i] = np.frombuffer(r.bits, dtype=np.uint8)
+    languages = [r.lang for r in got]
+    del got
+    return train(packed, languages, landmarks_each, ridge)
 
 
 def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:

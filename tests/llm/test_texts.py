@@ -555,7 +555,7 @@ def test_language_scores_against_a_direct_computation(spark):
     assert all(set(np.flatnonzero(row)) == set().union(*g) for row, g in zip(langid.presence(texts), every, strict=True))
     kernel = lambda a, b: sum(len(x & y) / math.sqrt(max(1, len(x)) * max(1, len(y))) for x, y in zip(a, b, strict=True)) / 3
     each, ridge = 4, 1e-3
-    model = langid.train(langid.presence(texts), langs, each, ridge)
+    model = langid.train(np.packbits(langid.presence(texts), axis=1), langs, each, ridge, slice_rows=7)
     chosen = [i for lang in sorted(sounds) for i in [j for j in range(36) if langs[j] == lang][:each]]
     among = np.array([[kernel(every[i], every[j]) for j in chosen] for i in chosen])
     to = np.array([[kernel(g, every[j]) for j in chosen] for g in every])
