@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.links import edges, resolve_redirects, with_redirects
 from lodestone.scratch import cut
-from lodestone.sources.store import Store, Transaction
+from lodestone.sources.store import BUCKETS, Store, Transaction
 
 HOPS = 5
 PAGES = "title string, redirect_to string, is_redirect boolean"
@@ -35,7 +35,7 @@ def _open(pages: DataFrame, embedded: DataFrame) -> DataFrame:
     return real.join(embedded.select(F.col("title").alias("target")), "target", "left_anti")
 
 
-def build(spark: SparkSession, folder: str, articles: DataFrame, embedded: DataFrame) -> None:
+def build(spark: SparkSession, folder: str, articles: DataFrame, embedded: DataFrame, buckets: int = BUCKETS) -> None:
     """The state for all `articles` (title, text) and what is `embedded` (title), taken anew."""
     pages = cut(with_redirects(articles).select("title", "redirect_to", "is_redirect"))
     links = cut(edges(articles).select("src", "dst").distinct())
@@ -45,7 +45,7 @@ def build(spark: SparkSession, folder: str, articles: DataFrame, embedded: DataF
 
     def work(tx: Transaction) -> None:
         for name, df, key in (("pages", pages, "title"), ("links", links, "src"), ("resolved", resolved, "title"), ("pairs", pairs, "src"), ("embedded", embedded.select("title").distinct(), "title"), ("counts", counts, "src")):
-            tx.create(name, df.schema, [key])
+            tx.create(name, df.schema, [key], buckets)
             tx.replace(name, df)
 
     Store(spark, folder).transact(work)
