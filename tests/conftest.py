@@ -30,3 +30,12 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture
+def few(spark):
+    """One shuffle partition, for tests of many small jobs."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", old)

@@ -7,6 +7,7 @@ import pytest
 
 from lodestone.sources.store import Conflict, Store
 
+pytestmark = pytest.mark.usefixtures("few")
 SCHEMA = "k bigint, v string"
 
 

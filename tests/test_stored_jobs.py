@@ -13,6 +13,7 @@ from lodestone.operators import retrieval as R
 from lodestone.sources.store import Store, Transaction
 from lodestone.streaming.refresh import merge_batch, refresh_stream
 
+pytestmark = pytest.mark.usefixtures("few")
 PAGES = "page_id bigint, title string, revision_id bigint, text string"
 
 

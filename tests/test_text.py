@@ -281,17 +281,11 @@ def test_free_queries_against_sqlite(spark, tmp_path):
 
 def test_markup_readers_are_linear():
     """16,000 openers of each kind take no more than twice the time for each that 1,000 take; deep nesting doesn't recurse."""
-    import time
+    import timeit
 
     from lodestone.functions import wikitext as T
 
-    def took(work, text):
-        best = 1e9
-        for _ in range(3):
-            began = time.perf_counter()
-            work(text)
-            best = min(best, time.perf_counter() - began)
-        return best
+    took = lambda work, text: min(timeit.repeat(lambda: work(text), number=1, repeat=5))  # noqa: E731  without garbage collection
 
     for opener in ("{{math|", "{{chem|a", "<math>", "<math ", "<ce", "<!-- ", "<ref>", "<ref name=", "[[a|", "{{infobox x|", "[http://a b ", "{|\n", "{", "<gallery"):
         for work in (T.inline_formulas, T.plain, T.link_targets, lambda t: T.info_boxes(t, "t"), T.cut_tables):
