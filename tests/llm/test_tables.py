@@ -112,5 +112,5 @@ def test_sql(spark, sf_dir, name):
     assert spark_rows(queries.QUERIES[name](spark, sf_dir)) == sql_rows(sf_dir, queries.ORACLE_SQL[name])
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
