@@ -22,8 +22,6 @@ documents are put in the order of their keys where they are dealt anew.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -38,17 +36,18 @@ from lodestone.sources.store import Store, Transaction
 BLOCK = 64
 #: Pairs of tf and length kept for a row; further ones are covered by a pair that is better than both.
 FRONTIER = 6
-_TOKEN = re.compile("[a-z0-9\x80-\U0010ffff]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Letters and digits of ASCII, folded, and all bytes above stay; the rest parts words.
+_FOLD = bytes(c if c >= 0x80 or chr(c).isdigit() else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256))
 
 
-def words_of(text: str) -> list[str]:
-    return _TOKEN.findall(text.translate(_LOWER))
+def words_of(text: bytes) -> list[bytes]:
+    """The words of UTF-8 bytes."""
+    return text.translate(_FOLD).split()
 
 
-def trigrams_of(text: str) -> list[str]:
-    low = text.lower()
-    return [low[i : i + 3] for i in range(len(low) - 2)]
+def trigrams_of(text: bytes) -> list[bytes]:
+    low = text.decode().lower()
+    return [low[i : i + 3].encode() for i in range(len(low) - 2)]
 
 
 KINDS = {"words": words_of, "trigrams": trigrams_of}
@@ -66,43 +65,55 @@ def _shapes(key: str) -> tuple[str, str]:
     )
 
 
-def _frontier(tf: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs such that every document has at most the tf and at least the length of one of them."""
-    order = np.lexsort((length, -tf))
-    tf, length = tf[order], length[order]
-    keep = np.r_[True, length[1:] < np.minimum.accumulate(length)[:-1]]
-    pairs = list(zip(tf[keep].tolist(), length[keep].tolist(), strict=True))
-    rest = pairs[FRONTIER - 1 :]
-    return pairs if len(pairs) <= FRONTIER else [*pairs[: FRONTIER - 1], (rest[0][0], rest[-1][1])]
-
+def _frontier(row: np.ndarray, tf: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tf, length) of pairs such that every document has at most the tf and at least the length of one pair of its row.
 
-def _postings_of(keys: pa.Array, tokens: list[list[str]], block: int) -> dict[str, object]:
+    `row` numbers the rows from 0 on. A pair stays if it is shorter than all of its row that
+    have its tf or more; of a row with too many the last takes the place of those behind it.
+    """
+    order = np.lexsort((length, -tf, row))
+    row, tf, length = row[order], tf[order], length[order]
+    # rows lie one below the other, so one running minimum serves them all
+    level = length - row * (int(length.max(initial=0)) + 1)
+    keep = np.ones(len(row), dtype=bool)
+    keep[1:] = level[1:] < np.minimum.accumulate(level)[:-1]
+    row, tf, length = row[keep], tf[keep], length[keep]
+    begin = np.flatnonzero(np.diff(row, prepend=-1))
+    count = np.diff(np.append(begin, len(row)))
+    place = np.arange(len(row)) - np.repeat(begin, count)
+    many = count > FRONTIER
+    length[begin[many] + FRONTIER - 1] = length[(begin + count - 1)[many]]
+    keep = place < FRONTIER
+    return row[keep], tf[keep], length[keep]
+
+
+def _postings_of(keys: pa.Array, tokens: list[list[bytes]], block: int) -> dict[str, object]:
     """Columns of the posting rows of one block."""
-    numbers: dict[str, int] = {}
+    numbers: dict[bytes, int] = {}
     codes = np.fromiter((numbers.setdefault(w, len(numbers)) for ws in tokens for w in ws), dtype=np.int64)
     sizes = np.array([len(ws) for ws in tokens], dtype=np.int64)
     slot = np.repeat(np.arange(len(tokens)), sizes)
     at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = np.lexsort((slot, codes))  # stable, so places stay in order
+    order = np.argsort(codes, kind="stable")  # so documents and places stay in order
     codes, slot, at = codes[order], slot[order], at[order]
     new = np.ones(len(codes), dtype=bool)
     new[1:] = (codes[1:] != codes[:-1]) | (slot[1:] != slot[:-1])
     first = np.flatnonzero(new)  # of each term and document
     tf = np.diff(np.append(first, len(codes)))
-    term, doc = codes[first], slot[first]
-    begin = np.flatnonzero(np.r_[True, term[1:] != term[:-1]][: len(term)])
-    end = np.append(begin[1:], len(term)).astype(np.int64)[: len(begin)]
-    length = sizes[doc]
-    n, lists = end - begin, np.append(begin, len(term)).astype(np.int32)
-    frontier = [[{"tf": int(tf[a]), "length": int(length[a])}] if z - a == 1 else [{"tf": x, "length": y} for x, y in _frontier(tf[a:z], length[a:z])] for a, z in zip(begin.tolist(), end.tolist(), strict=True)]
-    names = list(numbers)  # a term's number is its place
+    term, doc = codes[first], slot[first]  # terms are numbered as they come: a term's number is its row
+    begin = np.flatnonzero(np.diff(term, prepend=-1))
+    n = np.diff(np.append(begin, len(term)))
     int_ = lambda x: pa.array(x.astype(np.int32))
-    docs = pa.StructArray.from_arrays([int_(doc), keys.take(pa.array(doc)), int_(tf), int_(length)], names=["slot", "key", "tf", "length"])
-    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(codes)).astype(np.int32)), int_(at))
+    lists = int_(np.append(begin, len(term)))
+    row, most, least = _frontier(term, tf, sizes[doc])
+    frontier = pa.StructArray.from_arrays([int_(most), int_(least)], names=["tf", "length"])
+    docs = pa.StructArray.from_arrays([int_(doc), keys.take(pa.array(doc)), int_(tf), int_(sizes[doc])], names=["slot", "key", "tf", "length"])
+    places = pa.ListArray.from_arrays(int_(np.append(first, len(codes))), int_(at))
     return {
-        "term": pa.array([names[t] for t in term[begin].tolist()], type=pa.string()), "block": np.full(len(begin), block),
-        "n": n.astype(np.int32), "cf": np.add.reduceat(tf, begin).astype(np.int32) if len(begin) else n.astype(np.int32),
-        "frontier": frontier, "docs": pa.ListArray.from_arrays(pa.array(lists), docs), "positions": pa.ListArray.from_arrays(pa.array(lists), places),
+        "term": pa.array(list(numbers), type=pa.binary()).cast(pa.string()), "block": np.full(len(begin), block), "n": int_(n),
+        "cf": int_(np.add.reduceat(tf, begin)) if len(begin) else int_(n),
+        "frontier": pa.ListArray.from_arrays(int_(np.searchsorted(row, np.arange(len(begin) + 1))), frontier),
+        "docs": pa.ListArray.from_arrays(lists, docs), "positions": pa.ListArray.from_arrays(lists, places),
     }
 
 
@@ -118,7 +129,7 @@ def _blocks(df: DataFrame, schema: str, kind: str, segment: int, lengths: bool)
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)
-                tokens = [split(t or "") for t in part.column(1).to_pylist()]
+                tokens = [split(t or b"") for t in part.column(1).cast(pa.binary()).to_pylist()]
                 if lengths:
                     out = {"key": part.column(0), "block": np.full(len(tokens), block), "slot": np.arange(len(tokens), dtype=np.int32), "length": np.array([len(t) for t in tokens], dtype=np.int32)}
                 else:
@@ -393,7 +404,7 @@ def phrase_search(spark: SparkSession, path: str, query: str, limit: int = 20, n
     as it stands without overlap in the text.
     """
     reader = _Reader(spark, path, name)
-    grams = trigrams_of(query)
+    grams = [g.decode() for g in trigrams_of(query.encode())]
     if not grams:
         raise ValueError("a phrase has three characters at least")
     heads = {r.term: r.n for r in reader.heads(sorted(set(grams))).groupBy("term").agg(F.sum("n").alias("n")).collect()}

@@ -224,14 +224,20 @@ def test_frontier_bounds_every_document():
     import numpy as np
 
     rng = np.random.default_rng(2)
-    for n in (1, 5, 64):
-        for _ in range(50):
-            tf, length = rng.integers(1, 30, n), rng.integers(1, 200, n)
-            pairs = I._frontier(tf, length)
-            assert len(pairs) <= I.FRONTIER
-            assert all(any(a >= t and b <= x for a, b in pairs) for t, x in zip(tf, length, strict=True))
-            if len(pairs) < I.FRONTIER:
-                assert set(pairs) <= set(zip(tf.tolist(), length.tolist(), strict=True))
+    for n in (1, 5, 64, 500):
+        for rows in (1, 3, n):
+            for _ in range(20):
+                row = np.sort(rng.integers(0, rows, n))
+                row = np.unique(row, return_inverse=True)[1]
+                tf, length = rng.integers(1, 30, n), rng.integers(1, 200, n)
+                found = I._frontier(row, tf, length)
+                for k in range(row.max() + 1):
+                    pairs = [(a, b) for r, a, b in zip(*map(np.ndarray.tolist, found), strict=True) if r == k]
+                    here = list(zip(tf[row == k].tolist(), length[row == k].tolist(), strict=True))
+                    assert 0 < len(pairs) <= I.FRONTIER
+                    assert all(any(a >= t and b <= x for a, b in pairs) for t, x in here)
+                    if len(pairs) < I.FRONTIER:
+                        assert set(pairs) <= set(here)
 
 
 def test_index_reads_only_the_terms(spark, tmp_path):
