@@ -14,10 +14,12 @@ A retrieved item is then verified. It is split into question and answer (after a
 "answer:" mark, else at its last sentence, else at two thirds of its words), and the
 shares of their five-word runs that the window has must reach `question` and `answer`.
 
-Repeated rows of the benchmark are one item with a count. Items are collected in blocks of
-about half of `block_bytes` of text, chosen by a hash of id and text; each block's index is
-broadcast, and one pass over the documents asks `INDEXES` of them, so that what a worker
-holds is bounded and documents are read once for each 16 MB of benchmark. Document
+Repeated rows of the benchmark are one item with a count. A benchmark of up to `block_bytes`
+is one index. A larger one is cut into blocks of about half of that, by a hash of id and
+text; a task builds the index of each block, and the driver hands them on one by one as
+broadcasts, which lie on disk. One pass over the documents asks all of them: a worker keeps
+the first `INDEXES` open and reads the others again for each `ROWS` documents, so what the
+driver and a worker hold is bounded whatever the size of the benchmark. Document
 frequencies, mean length and window size are those of all items, so scores do not depend
 on which items share a block.
 
@@ -30,12 +32,13 @@ are reported each; of items of equal id each is matched on its own.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +53,10 @@ K1, B = 1.2, 0.75
 RUN = 5
 #: Items of a block at least, and blocks at most.
 BLOCK, BLOCKS = 4, 64
-#: Indexes asked in one pass over the documents.
-INDEXES = 16
+#: Indexes a worker keeps open, and documents it takes at a time where there are more.
+INDEXES, ROWS = 16, 2048
+#: Bytes an item counts for beside its text.
+ITEM = 64
 _TO_SPACE = bytes(
     c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)
 )
@@ -224,15 +229,22 @@ class Index:
         return sorted(best.values())
 
 
-def _blocks(items: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[Index]:
-    """Indexes of the distinct items; where there are several, all score by the statistics of all items."""
-    every = items.groupBy(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t")).agg(F.count("*").alias("_c"))
-    size = every.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
+def _indexes(items: DataFrame, key: str, text: str, block_bytes: int) -> list[Broadcast]:
+    """Broadcasts of the packed indexes of the distinct items with words; where there are several, all score by the statistics of all items."""
+    context = items.sparkSession.sparkContext
+    spoken = items.filter(F.col(text).rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]"))
+    every = spoken.groupBy(F.col(key).alias("_k"), F.col(text).alias("_t")).agg(F.count("*").alias("_c"))
+    size = every.agg(F.coalesce(F.sum(F.octet_length("_t") + ITEM), F.lit(0))).first()[0]
     if size <= block_bytes:
         rows = every.collect()
-        yield Index([(r._k, r._t) for r in rows], [r._c for r in rows])
-        return
-    n = -(-2 * size // block_bytes)
+        return [context.broadcast(pickle.dumps(Index([(r._k, r._t) for r in rows], [r._c for r in rows])))]
+    built = _built(every, -(-2 * size // block_bytes))
+    # one at a time: the driver keeps none, a broadcast's bytes lie in a file
+    return [context.broadcast(bytes(r.packed)) for r in built.toLocalIterator()]
+
+
+def _built(every: DataFrame, n: int) -> DataFrame:
+    """(packed): the indexes of `n` blocks of the items (_k, _t, _c), each built in a task."""
     every = cut(every.withColumn("_b", F.pmod(F.xxhash64("_k", "_t"), F.lit(n)).cast("int")))
 
     def read(batch: pa.RecordBatch) -> dict[str, object]:
@@ -242,15 +254,41 @@ def _blocks(items: DataFrame, key: str, text: str, block_bytes: int) -> Iterator
             "words": pa.array([sorted(set(w)) for w in words], type=pa.list_(pa.binary())),
         }
 
-    counted = cut(map_batches(every.select("_t", "_c", "_b"), "_c bigint, _b int, n bigint, words array<binary>", read).filter("n > 0"))
+    counted = cut(map_batches(every.select("_t", "_c", "_b"), "_c bigint, _b int, n bigint, words array<binary>", read))
     total = counted.agg(F.sum("_c").alias("items"), F.sum(F.col("n") * F.col("_c")).alias("words"), F.max("n").alias("longest")).first()
-    spoken = counted.select("_b", "_c", F.explode("words").alias("word"))
-    frequency = cut(spoken.groupBy("word").agg(F.sum("_c").alias("df"), F.collect_set("_b").alias("blocks")))
-    for k in range(n):
-        rows = every.filter(F.col("_b") == k).collect()
-        here = {bytes(r.word): r.df for r in frequency.filter(F.array_contains("blocks", k)).select("word", "df").collect()}
-        over_all = Statistics(total.items or 0, total.words or 0, total.longest or 0, here)
-        yield Index([(r._k, r._t) for r in rows], [r._c for r in rows], over_all)
+    # a word is one row for each block, so a common one meets n rows at most
+    here = counted.select("_b", "_c", F.explode("words").alias("word")).groupBy("_b", "word").agg(F.sum("_c").alias("c"))
+    here = cut(here)
+    frequency = here.groupBy("word").agg(F.sum("c").alias("df"))
+    here = here.select("_b", "word").join(frequency, "word")
+    items, words, longest = total.items, total.words, total.longest
+
+    def build(block: pa.Table, spoken: pa.Table) -> pa.Table:
+        over_all = Statistics(items, words, longest, dict(zip(spoken["word"].to_pylist(), spoken["df"].to_pylist(), strict=True)))
+        rows = sorted(zip(*(block[c].to_pylist() for c in ("_k", "_t", "_c")), strict=True), key=repr)
+        index = Index([(k, t) for k, t, _ in rows], [c for _, _, c in rows], over_all)
+        return pa.table({"packed": pa.array([pickle.dumps(index)], type=pa.binary())})
+
+    return cut(every.groupBy("_b").cogroup(here.groupBy("_b")).applyInArrow(build, "packed binary"))
+
+
+class _Open:
+    """The indexes of a task: the first are kept, the others read when they are asked for."""
+
+    def __init__(self, shared: list[Broadcast]):
+        self.shared, self.kept = shared, {}
+        self.rows = 512 if len(shared) <= INDEXES else ROWS
+
+    def __iter__(self) -> Iterator[Index]:
+        for k, one in enumerate(self.shared):
+            index = self.kept.get(k)
+            if index is None:
+                # `value` would keep every index for as long as the worker lives
+                path = getattr(one, "_path", None)
+                index = pickle.loads(one.load_from_path(path) if path else one.value)
+                if k < INDEXES:
+                    self.kept[k] = index
+            yield index
 
 
 def contaminated(
@@ -271,34 +309,25 @@ def contaminated(
         f"{key} {kinds[0]}, {item_key} {kinds[1]}, score double, first_word bigint, "
         "question_overlap double, answer_overlap double"
     )
-    out = None
-    for shared in _shared(documents, _blocks(items, item_key, item_text, block_bytes)):
-
-        def rows(batch: pa.RecordBatch, shared=shared) -> dict[str, object]:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            which, ids, found = [], [], []
-            for one in shared:
-                index = one.value
-                for m in index.matches(texts, retrieve, question, answer):
-                    for _ in range(index.copies[m[1]]):
-                        which.append(m[0])
-                        ids.append(index.ids[m[1]])
-                        found.append(m[2:])
-            score, start, q, a = zip(*found, strict=True) if found else ((),) * 4
-            return {
-                key: batch.column(0).take(pa.array(which, type=pa.int64())), item_key: ids,
-                "score": score, "first_word": start, "question_overlap": q, "answer_overlap": a,
-            }
-
-        part = map_batches(documents.select(key, text), schema, rows)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _shared(documents: DataFrame, indexes: Iterator[Index]) -> Iterator[list[Broadcast]]:
-    """Broadcasts of the indexes, as many at a time as one pass over the documents asks."""
-    while some := [documents.sparkSession.sparkContext.broadcast(i) for i in islice(indexes, INDEXES)]:
-        yield some
+    ship(documents.sparkSession)
+    indexes = _Open(_indexes(items, item_key, item_text, block_bytes))
+
+    def rows(batch: pa.RecordBatch) -> dict[str, object]:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        which, ids, found = [], [], []
+        for index in indexes:
+            for m in index.matches(texts, retrieve, question, answer):
+                for _ in range(index.copies[m[1]]):
+                    which.append(m[0])
+                    ids.append(index.ids[m[1]])
+                    found.append(m[2:])
+        score, start, q, a = zip(*found, strict=True) if found else ((),) * 4
+        return {
+            key: batch.column(0).take(pa.array(which, type=pa.int64())), item_key: ids,
+            "score": score, "first_word": start, "question_overlap": q, "answer_overlap": a,
+        }
+
+    return map_batches(documents.select(key, text), schema, rows, indexes.rows)
 
 
 def decontaminate(
@@ -315,18 +344,17 @@ def decontaminate(
     """The rows of `documents` that match no item, all columns as they are; nothing is shuffled."""
     ship(documents.sparkSession)
     place = documents.columns.index(text)
-    for shared in _shared(documents, _blocks(items, item_key, item_text, block_bytes)):
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    for one in shared:
-                        texts = [t or "" for t in part.column(place).to_pylist()]
-                        bad = {m[0] for m in one.value.matches(texts, retrieve, question, answer)}
-                        part = part.filter(pa.array([k not in bad for k in range(len(texts))], type=pa.bool_()))
-                    yield part
-            give_back()
-
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+    indexes = _Open(_indexes(items, item_key, item_text, block_bytes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, indexes.rows):
+                part = batch.slice(at, indexes.rows)
+                for index in indexes:
+                    texts = [t or "" for t in part.column(place).to_pylist()]
+                    bad = {m[0] for m in index.matches(texts, retrieve, question, answer)}
+                    part = part.filter(pa.array([k not in bad for k in range(len(texts))], type=pa.bool_()))
+                yield part
+        give_back()
+
+    return documents.mapInArrow(run, documents.schema)
