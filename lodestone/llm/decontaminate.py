@@ -53,8 +53,8 @@ K1, B = 1.2, 0.75
 RUN = 5
 #: Items of a block at least, and blocks at most.
 BLOCK, BLOCKS = 4, 64
-#: Indexes a worker keeps open, and documents it takes at a time where there are more.
-INDEXES, ROWS = 16, 2048
+#: Indexes a worker keeps open, some 15 MB packed and several times that open, and documents it takes at a time where there are more.
+INDEXES, ROWS = 2, 2048
 #: Bytes an item counts for beside its text.
 ITEM = 64
 _TO_SPACE = bytes(
