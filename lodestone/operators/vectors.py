@@ -123,11 +123,10 @@ def vectors(spark: SparkSession, path: str, name: str = "vectors") -> DataFrame:
 def _scan(rows: DataFrame, queries: np.ndarray, wanted: dict[int, list[tuple[int, float, float]]], k: int) -> DataFrame:
     """(query, key, distance, read): of the clusters in `wanted`, cluster -> (query, least and most radius), each query's k nearest in every task."""
     reach = [(c, min(lo for _, lo, _ in w), max(hi for _, _, hi in w)) for c, w in wanted.items()]
-    # clusters by folder, radii by the files' statistics
-    near = F.lit(False)
-    for c, lo, hi in reach:
-        near = near | ((F.col("_bucket") == c) & F.col("radius").between(lo, hi))
-    found = rows.filter(F.col("_bucket").isin([c for c, _, _ in reach]) & near).select("key", "cluster", "radius", "packed")
+    # clusters by folder; their ranges are a small table, as a condition for each would nest a thousand deep
+    near = F.col("_bucket").isin([c for c, _, _ in reach]) & F.col("radius").between(min((lo for _, lo, _ in reach), default=0.0), max((hi for *_, hi in reach), default=0.0))
+    ranges = rows.sparkSession.createDataFrame(reach, "cluster int, _low double, _high double")
+    found = rows.filter(near).join(F.broadcast(ranges), "cluster").filter(F.col("radius").between(F.col("_low"), F.col("_high"))).select("key", "cluster", "radius", "packed")
     kind = rows.schema["key"].dataType.simpleString()
     dimension = queries.shape[1]
 

@@ -66,6 +66,20 @@ def test_nearest_of_few_and_equal_vectors(spark, tmp_path):
     assert V.vectors(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_nearest_of_many_clusters(few, tmp_path):
+    """600 clusters of which every query opens all: vectors without groups."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1800, 6)).astype(np.float32)
+    V.write(few.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id bigint, v array<float>"), str(tmp_path), "id", F.col("v"), pivots=600)
+    queries, report = [[9.0] * 6, [0.0] * 6], {}
+    got = {}
+    for r in V.nearest(few, str(tmp_path), queries, 1500, report=report).orderBy("rank").collect():
+        got.setdefault(r.query, []).append(r.key)
+    assert report["clusters"] > 1000
+    for q, point in enumerate(queries):
+        assert got[q] == np.lexsort((np.arange(len(x)), np.sqrt(((x - np.array(point)) ** 2).sum(axis=1))))[:1500].tolist()
+
+
 def test_counts_follow_changes(few, tmp_path):
     """After each of five random refreshes the counts equal those taken anew: links, redirects, pages and embeddings come and go."""
     spark, rng = few, random.Random(12)
