@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def last_wins(feed: DataFrame, key: str, order: Column | str) -> DataFrame:
-    """One row of each key, the last by `order`."""
-    newest = W.partitionBy(key).orderBy(F.desc(order))
+def last_wins(feed: DataFrame, key: str, order: Column | str, *then: Column | str) -> DataFrame:
+    """One row of each key, the last by `order`; where several are last, the first of them by `then`."""
+    newest = W.partitionBy(key).orderBy(F.desc(order), *then)
     return feed.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")
 
 

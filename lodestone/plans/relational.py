@@ -214,7 +214,9 @@ def upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, max(l_linenumber) AS l_linenumber, arg_max(l_partkey, l_linenumber) AS l_partkey FROM lineitem GROUP BY 1")
 def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.last_wins(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "l_linenumber")
+    """Of lines of one number the first in the table, which only its files tell."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "_metadata.file_path", "_metadata.row_index")
+    return M.last_wins(lines, "l_orderkey", "l_linenumber", "file_path", "row_index").drop("file_path", "row_index")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")

@@ -28,3 +28,17 @@ def test_queue_takes_all_pages(spark, sf_dir):
     asked = catalog.QUERIES["queue_states"](spark, sf_dir).select("title")
     drained = catalog.QUERIES["queue_drain"](spark, sf_dir).select("title")
     assert asked.join(drained, "title", "left_anti").count() == 0
+
+
+def test_last_of_equal_lines_stands_first_in_the_table(few, tmp_path):
+    """Spark reads the larger file first; of lines of one order and number the one in the first file and row counts."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, n, part in (("part-0", 50, 1_000), ("part-1", 5_000, 100_000)):
+        at = range(n)
+        lines = {"l_orderkey": [i % 25 for i in at], "l_linenumber": [1 + i % 2 for i in at], "l_partkey": [part + i for i in at]}
+        pq.write_table(pa.table(lines, schema=pa.schema([("l_orderkey", pa.int64()), ("l_linenumber", pa.int32()), ("l_partkey", pa.int64())])), tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["last_wins"](few, str(tmp_path)).collect()}
+    assert got == {(k, 2, 1_000 + (k if k % 2 else k + 25)) for k in range(25)}
