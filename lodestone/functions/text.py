@@ -141,10 +141,12 @@ def embedded_display(text: Column) -> Column:
 
 
 def from_unix(seconds: Column) -> Column:
-    """Seconds since 1970 as `YYYY-MM-DD HH:MM:SS` in UTC, whatever the session's time zone."""
+    """Seconds since 1970 as `YYYY-MM-DD HH:MM:SS` in UTC, whatever the session's time zone; years of other than four digits as plain numbers."""
     clock = F.pmod(seconds, F.lit(86400))
     two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
     day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("string")
+    # Spark writes +10000 and -0001
+    day = F.regexp_replace(day, r"^\+|(?<=^-)0+", "")
     return F.concat_ws(" ", day, F.concat_ws(":", two(clock / 3600), two(clock % 3600 / 60), two(clock % 60)))
 
 

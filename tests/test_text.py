@@ -174,6 +174,12 @@ def test_bm25_against_sqlite(spark, sf_dir):
     assert all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
 
 
+def test_years_of_five_digits(spark):
+    given = ["253402300799", "253402300800", "518393913601", "-62135596801", "-62167219201", "-99999999999"]
+    wanted = ["9999-12-31 23:59:59", "10000-01-01 00:00:00", "18397-04-01 13:20:01", "0000-12-31 23:59:59", "-1-12-31 23:59:59", "-1199-02-15 14:13:21"]  # DuckDB's strftime
+    assert values(spark, X.from_unix(F.col("t").cast("long")), given) == wanted
+
+
 def test_small_forms(spark):
     assert values(spark, X.from_unix(F.col("t").cast("long")), ["0", "86399", "1700000000", "-1"]) == ["1970-01-01 00:00:00", "1970-01-01 23:59:59", "2023-11-14 22:13:20", "1969-12-31 23:59:59"]
     assert values(spark, X.elapsed(F.col("t").cast("int")), ["5", "65", "3725"]) == ["5s", "1m 5s", "1h 2m"]
