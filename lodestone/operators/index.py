@@ -1,13 +1,14 @@
 """A stored inverted index in document blocks, whose highest impacts let a search skip most of it.
 
 Documents are cut into blocks of `BLOCK`. A task reads the documents of a block, folds their
-tokens in place and gives one row for each term of the block, so tokens are never shuffled:
+tokens in place and makes one row for each term of the block, so tokens are never shuffled:
 (term, block, n, cf, frontier, docs, positions). `docs` has slot, key, tf and length of the
 documents that hold the term, `frontier` the pairs of tf and length that no other document
 of the row beats in both, so the highest score of the row is known for any statistics of
 the corpus. Rows lie in folders by a hash of their term and are sorted by term and block: a
 search opens the folders of its terms and reads `docs` of the blocks it needs, `positions`
-only for phrases.
+only for phrases. Rows go to their folders packed: all that a task has for a folder from some
+thousand documents is one compressed Arrow table, which is opened where it is sorted and written.
 
 `top` finds the k best documents in three passes. The first reads the narrow columns and
 adds up what each block can reach; the second scores the most promising blocks and so
@@ -22,6 +23,8 @@ documents are put in the order of their keys where they are dealt anew.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -36,6 +39,8 @@ from lodestone.sources.store import Store, Transaction
 BLOCK = 64
 #: Pairs of tf and length kept for a row; further ones are covered by a pair that is better than both.
 FRONTIER = 6
+#: Bytes of rows that a task packs at once, and of packed rows that are sorted by one task: opened they are some fifteen times as large.
+PACK, SORTED = 32 << 20, 16 << 20
 #: Letters and digits of ASCII, folded, and all bytes above stay; the rest parts words.
 _FOLD = bytes(c if c >= 0x80 or chr(c).isdigit() else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256))
 
@@ -53,8 +58,13 @@ def trigrams_of(text: bytes) -> list[bytes]:
 KINDS = {"words": words_of, "trigrams": trigrams_of}
 
 
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def _bucket(term: Column, buckets: int, hashed: str) -> Column:
+    """The folder of a term; indexes from before rows were packed go by `xxhash64`, which tasks in Python lack."""
+    return F.pmod(F.crc32(term) if hashed == "crc32" else F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _hash(values: dict, name: str) -> str:
+    return values.get(f"{name}_hash", "xxhash64")
 
 
 def _shapes(key: str) -> tuple[str, str]:
@@ -117,11 +127,10 @@ def _postings_of(keys: pa.Array, tokens: list[list[bytes]], block: int) -> dict[
     }
 
 
-def _blocks(df: DataFrame, schema: str, kind: str, segment: int, lengths: bool) -> DataFrame:
-    """Posting rows of `df` (key, text), or the place of each document with its length."""
+def _folded(schema: str, kind: str, segment: int, lengths: bool):
+    """A function from batches of (key, text) to posting rows of their blocks, or to the place of each document with its length."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    ship(df.sparkSession)
     split, arrow = KINDS[kind], to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -138,7 +147,61 @@ def _blocks(df: DataFrame, schema: str, kind: str, segment: int, lengths: bool)
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
                 block += 1
 
-    return df.mapInArrow(run, schema)
+    return run
+
+
+def _blocks(df: DataFrame, schema: str, kind: str, segment: int, lengths: bool) -> DataFrame:
+    """Posting rows of `df` (key, text), or the place of each document with its length."""
+    ship(df.sparkSession)
+    return df.mapInArrow(_folded(schema, kind, segment, lengths), schema)
+
+
+def _packed(rows: pa.Table, buckets: int) -> pa.RecordBatch:
+    """(_bucket, rows): posting rows by the folder of their term, those of a folder as one Arrow stream."""
+    bucket = np.fromiter((zlib.crc32(t) % buckets for t in rows.column("term").cast(pa.binary()).to_pylist()), dtype=np.int32, count=rows.num_rows)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows.combine_chunks().take(pa.array(order)), bucket[order]
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    streams = []
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows.slice(lo, hi - lo))
+        streams.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(streams, type=pa.binary())], names=["_bucket", "rows"])
+
+
+def _pack(df: DataFrame, schema: str, kind: str, segment: int, buckets: int) -> DataFrame:
+    """The posting rows of `df` (key, text), packed."""
+    fold = _folded(schema, kind, segment, lengths=False)
+    ship(df.sparkSession)
+
+    def run(batches):
+        held, size = [], 0
+        for rows in fold(batches):
+            held.append(rows)
+            size += rows.nbytes
+            if size >= PACK:
+                yield _packed(pa.Table.from_batches(held), buckets)
+                held, size = [], 0
+        if size:
+            yield _packed(pa.Table.from_batches(held), buckets)
+
+    return df.mapInArrow(run, "_bucket int, rows binary")
+
+
+def _opened(packed: DataFrame, schema: str) -> DataFrame:
+    """The rows of `_pack` with their `_bucket`."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, stream in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for rows in pa.ipc.open_stream(stream.as_buffer()):
+                    for start in range(0, rows.num_rows, 10_000):
+                        part = rows.slice(start, 10_000)
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, bucket, dtype=np.int32))], names=[*part.schema.names, "_bucket"])
+
+    return packed.mapInArrow(run, f"{schema}, _bucket int")
 
 
 def _dealt(df: DataFrame) -> DataFrame:
@@ -167,14 +230,18 @@ def add(tx: Transaction, df: DataFrame, key: str, text: Column, name: str = "ind
         tx.create(f"{name}_postings", StructType.fromDDL(postings), ["term"], buckets or _buckets_for(df, tx.store))
         tx.create(f"{name}_lengths", StructType.fromDDL(lengths), ["key"])
         tx.create(f"{name}_gone", StructType.fromDDL("block bigint, slot int"), ["block"], 1)
-        tx.values[f"{name}_kind"] = kind
+        tx.values |= {f"{name}_kind": kind, f"{name}_hash": "crc32"}
     else:
         replaced = docs.select("key") if gone is None else docs.select("key").unionByName(gone.select(F.col(gone.columns[0]).alias("key")))
         remove(tx, replaced, name)
     dealt = _dealt(docs)
     kind = tx.values[f"{name}_kind"]
-    found = _blocks(dealt, postings, kind, tx.seq, lengths=False)
-    tx.append(f"{name}_postings", found, _bucket(F.col("term"), tx.tables[f"{name}_postings"]["buckets"]), ["term", "block"])
+    folders, hashed = tx.tables[f"{name}_postings"]["buckets"], _hash(tx.values, name)
+    if hashed == "crc32":
+        packed = _pack(dealt, postings, kind, tx.seq, folders)
+        tx.append_packed(f"{name}_postings", packed, lambda df: _opened(df, postings), ["term", "block"], SORTED)
+    else:
+        tx.append(f"{name}_postings", _blocks(dealt, postings, kind, tx.seq, lengths=False), _bucket(F.col("term"), folders, hashed), ["term", "block"])
     before = len(tx.tables[f"{name}_lengths"]["rows"])
     tx.append(f"{name}_lengths", _blocks(dealt, lengths, kind, tx.seq, lengths=True))
     added = tx.tables[f"{name}_lengths"]["rows"][before:]
@@ -222,7 +289,7 @@ def compact(spark: SparkSession, path: str, name: str = "index") -> None:
         known = tx.tables[f"{name}_postings"]
         rows = rows.select(*StructType.fromDDL(_shapes(shape)[0]).names)
         known["rows"] = []
-        tx.append(f"{name}_postings", rows, _bucket(F.col("term"), known["buckets"]), ["term", "block"])
+        tx.append(f"{name}_postings", rows, _bucket(F.col("term"), known["buckets"], _hash(tx.values, name)), ["term", "block"])
         tx.clear(f"{name}_gone")
 
     Store(spark, path).transact(work)
@@ -253,7 +320,7 @@ class _Reader:
             return self.spark.createDataFrame([], StructType.fromDDL(_shapes(self.key.simpleString())[0]))
         if terms is None:
             return rows
-        places = self.spark.range(1).select(*(_bucket(F.lit(t), self.buckets).alias(f"b{i}") for i, t in enumerate(terms))).first()
+        places = self.spark.range(1).select(*(_bucket(F.lit(t), self.buckets, _hash(self.at.values, self.name)).alias(f"b{i}") for i, t in enumerate(terms))).first()
         return rows.filter(F.col("_bucket").isin(sorted(set(places))) & F.col("term").isin(terms))
 
     def _alive(self, rows: DataFrame) -> DataFrame:

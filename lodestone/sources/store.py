@@ -226,14 +226,15 @@ class Transaction:
         known["columns"] = shape.add(StructType.fromDDL(f"`{name}` {kind}")[0]).json()
         known.setdefault("defaults", {})[name] = [default, self.seq]
 
-    def _write(self, table: str, kind: str, df: DataFrame, bucket: Column | None = None, order: list[str] | None = None) -> None:
+    def _write(self, table: str, kind: str, df: DataFrame, bucket: Column | None = None, order: list[str] | None = None, unpack: Callable[[DataFrame], DataFrame] | None = None) -> None:
         known = self.tables[table]
         part = uuid.uuid4().hex
         path = self.store._part(table, part)
         bucket = F.pmod(F.xxhash64(*known["key"]), F.lit(known["buckets"])).cast("int") if bucket is None else bucket
         # adaptive execution gives small buckets one file and splits very large ones
-        rows = df.withColumn("_bucket", bucket).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *(order or known["key"]))
-        rows.write.partitionBy("_bucket").parquet(path)
+        rows = df.withColumn("_bucket", bucket).hint("rebalance", "_bucket")
+        rows = rows if unpack is None else unpack(rows)
+        rows.sortWithinPartitions("_bucket", *(order or known["key"])).write.partitionBy("_bucket").parquet(path)
         folders = self.store.files.like(f"{path}/_bucket=*")
         found = sorted(int(f.rsplit("=", 1)[1]) for f in folders)
         if found:
@@ -245,6 +246,16 @@ class Transaction:
         cast = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in shape]
         self._write(table, "rows", df.select(*cast), bucket, order)
 
+    def append_packed(self, table: str, packed: DataFrame, unpack: Callable[[DataFrame], DataFrame], order: list[str], size: int) -> None:
+        """More rows, which are shuffled as `packed` (`_bucket` and anything) and opened by `unpack`, to all columns and `_bucket`, where they are sorted; `size` is the bytes of packed rows for one task."""
+        conf, name = self.store.spark.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+        old = conf.get(name)
+        conf.set(name, str(size))
+        try:
+            self._write(table, "rows", packed, F.col("_bucket"), order, unpack)
+        finally:
+            conf.set(name, old)
+
     def delete(self, table: str, keys: DataFrame) -> None:
         """Rows of these keys, from before this transaction, no longer count."""
         known = self.tables[table]

@@ -263,3 +263,33 @@ def test_phrases_by_trigrams(spark, tmp_path):
         assert [(r.key, round(r.score, 9)) for r in I.phrase_search(spark, path, query).collect()] == wanted, query
     with pytest.raises(ValueError):
         I.phrase_search(spark, path, "ab")
+
+
+def test_index_rows_are_shuffled_packed(spark, sf_dir, tmp_path, monkeypatch):
+    """A few packed rows for each task and folder go through the shuffle, and every posting arrives once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition(2, "doc_id").sortWithinPartitions("doc_id")
+    moved, write = [], Transaction._write
+    monkeypatch.setattr(Transaction, "_write", lambda self, table, kind, df, *a: (moved.append(df.count()) if table == "index_postings" else None, write(self, table, kind, df, *a))[1])
+    I.write(docs, str(tmp_path), "doc_id", F.col("text"), buckets=4)
+    wanted = {(w.decode(), r.doc_id) for r in docs.collect() for w in I.words_of((r.text or "").encode())}
+    found = [(r.term, r.key) for r in I.terms(spark, str(tmp_path)).select("term", "key").collect()]
+    assert len(found) == len(wanted) and set(found) == wanted
+    assert moved[0] <= 4 * 2 * spark.sparkContext.defaultParallelism < len(wanted) / 100
+
+
+def test_index_of_the_older_hash(few, tmp_path):
+    """Folders by xxhash64, as indexes were written before: they are read, take more documents and can be written anew."""
+    path = str(tmp_path)
+    store = Store(few, path)
+
+    def begin(tx):
+        I.add(tx, few.createDataFrame([], "id bigint, t string"), "id", F.col("t"), buckets=4)
+        del tx.values["index_hash"]
+
+    store.transact(begin)
+    assert "index_hash" not in store.version().values
+    I.write(few.createDataFrame([(1, "a b c d e f"), (2, "b f g")], "id bigint, t string"), path, "id", F.col("t"))
+    I.write(few.createDataFrame([(2, "a g h"), (3, "h b")], "id bigint, t string"), path, "id", F.col("t"))
+    for _ in range(2):
+        assert {t: {r.key for r in I.search(few, path, t).collect()} for t in "abfgh"} == {"a": {1, 2}, "b": {1, 3}, "f": {1}, "g": {2}, "h": {2, 3}}
+        I.compact(few, path)
