@@ -34,6 +34,7 @@ from pyspark.sql.types import StructType
 
 from lodestone.cluster import ship
 from lodestone.operators.retrieval import bm25_term, idf, phrases
+from lodestone.sources.publish import _Files
 from lodestone.sources.store import Store, Transaction
 
 BLOCK = 64
@@ -212,8 +213,8 @@ def _dealt(df: DataFrame) -> DataFrame:
 
 def _buckets_for(df: DataFrame, store: Store) -> int:
     """Folders such that each has some 64 MB of what is written first, 4 to 4,096."""
-    files = df.inputFiles()
-    total = sum(store.files.fs.getContentSummary(store.files.at(f)).getLength() for f in files) if files else 0
+    # the input may lie in another file system than the store
+    total = sum(_Files(store.spark, f).fs.getFileStatus(store.files.at(f)).getLen() for f in df.inputFiles())
     return int(min(4096, max(4, 2 ** np.ceil(np.log2(max(1, total / 64e6))))))
 
 

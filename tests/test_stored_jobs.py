@@ -293,3 +293,10 @@ def test_index_of_the_older_hash(few, tmp_path):
     for _ in range(2):
         assert {t: {r.key for r in I.search(few, path, t).collect()} for t in "abfgh"} == {"a": {1, 2}, "b": {1, 3}, "f": {1}, "g": {2}, "h": {2, 3}}
         I.compact(few, path)
+
+
+def test_index_of_documents_in_another_file_system(few, tmp_path):
+    few.createDataFrame([(1, "a b"), (2, "b c")], "id bigint, t string").write.parquet(str(tmp_path / "in" / "d"))
+    few.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.other.link./in", f"file://{tmp_path}/in")
+    I.write(few.read.parquet("viewfs://other/in/d"), str(tmp_path / "i"), "id", F.col("t"))
+    assert {r.key for r in I.search(few, str(tmp_path / "i"), "b").collect()} == {1, 2}
